@@ -10,12 +10,14 @@ from ferrolith.llm.language_id import op9_language_id
 from ferrolith.llm.line_dedup import OP1_SQL, op1_line_dedup
 from ferrolith.llm.packing import op6_packing
 from ferrolith.llm.quality import op2_quality
+from ferrolith.llm.simhash import op5_simhash
 from ferrolith.llm.token_output import op3_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality": op2_quality,
     "op3_token_output": op3_token_output,
+    "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op9_language_id": op9_language_id,
 }
