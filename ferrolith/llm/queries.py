@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ferrolith.llm.language_id import op9_language_id
 from ferrolith.llm.line_dedup import OP1_SQL, op1_line_dedup
+from ferrolith.llm.mixing import op8_mixing
 from ferrolith.llm.packing import op6_packing
 from ferrolith.llm.quality import op2_quality
 from ferrolith.llm.simhash import op5_simhash
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_output": op3_token_output,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
+    "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
 }
 
