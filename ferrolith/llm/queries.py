@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ferrolith.llm.language_id import op9_language_id
 from ferrolith.llm.line_dedup import OP1_SQL, op1_line_dedup
+from ferrolith.llm.lm_scoring import op4_lm_scoring
 from ferrolith.llm.mixing import op8_mixing
 from ferrolith.llm.packing import op6_packing
 from ferrolith.llm.quality import op2_quality
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality": op2_quality,
     "op3_token_output": op3_token_output,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op8_mixing": op8_mixing,

@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
 #: White space bytes are 0x20 and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
@@ -17,24 +18,10 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-#: An odd multiplier for polynomial hashes modulo 2**64, and its inverse.
-MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(MULTIPLIER, -1, 1 << 64)
-
-#: Bytes hashed in one step.
-STEP = 1 << 20
-
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power_table(base: int, n: int) -> np.ndarray:
-    table = _powers.get(base)
-    if table is None or len(table) < n:
-        with np.errstate(over="ignore"):
-            table = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(max(n, STEP) - 1, base, np.uint64))))
-        if len(table) <= 4 * STEP:
-            _powers[base] = table
-    return table
+#: For a word's last eight bytes or fewer: the bits that belong to it.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG = 1024
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -46,21 +33,21 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end) of ``data``; spans are ascending and do not overlap."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
+    """64-bit hashes of the byte spans [start, end) of ``data``, eight bytes of every span at a time."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    loads = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    size = ends - starts
     with np.errstate(over="ignore"):
-        while i < len(starts):
-            j = max(i + 1, int(np.searchsorted(ends, starts[i] + STEP, "right")))
-            lo, hi = int(starts[i]), int(ends[j - 1])
-            up, down = _power_table(MULTIPLIER, hi - lo), _power_table(INVERSE, hi - lo)
-            sums = np.empty(hi - lo + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=sums[1:])
-            a, b = starts[i:j] - lo, ends[i:j] - lo
-            out[i:j] = (sums[b] - sums[a]) * down[a]
-            i = j
-        return mix(out + (ends - starts).astype(np.uint64))
+        out = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        out = mix(out ^ (loads[starts] & MASKS[np.minimum(size, 8)]))
+        todo, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+        while len(todo):
+            out[todo] = mix(out[todo] ^ (loads[starts[todo] + at] & MASKS[np.minimum(size[todo] - at, 8)]))
+            at += 8
+            todo = todo[size[todo] > at]
+    for i in np.flatnonzero(size > LONG):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
 
 
 @dataclass
