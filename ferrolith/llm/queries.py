@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ferrolith.llm.ann import op7_ann
 from ferrolith.llm.language_id import op9_language_id
 from ferrolith.llm.line_dedup import OP1_SQL, op1_line_dedup
 from ferrolith.llm.lm_scoring import op4_lm_scoring
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lm_scoring": op4_lm_scoring,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
+    "op7_ann": op7_ann,
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
 }
