@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ferrolith.llm.ann import op7_ann
+from ferrolith.llm.embedding_dedup import op10_embedding_dedup
 from ferrolith.llm.language_id import op9_language_id
 from ferrolith.llm.line_dedup import OP1_SQL, op1_line_dedup
 from ferrolith.llm.lm_scoring import op4_lm_scoring
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ann": op7_ann,
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
