@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ferrolith.llm.common import TMP, fold, slices
 from ferrolith.llm.textvec import SPACE
@@ -171,7 +172,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.
     """The rows of ``docs`` whose language is known with a proportion of ``min_score`` or more; columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     plain = docs.select(*[F.col(f"`{c}`").alias(f"{TMP}{i}") for i, c in enumerate(docs.columns)], F.col("text").alias(f"{TMP}text"))
-    schema = plain.schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType([*plain.schema.fields]).add("lang_pred", "string").add("score", "double")
     scored = plain.mapInArrow(_predict(shared, PENALTY), schema)
     kept = scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
     return kept.select(*[F.col(f"{TMP}{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ferrolith.llm.common import TMP, materialize
@@ -156,7 +157,7 @@ def keep_one(docs: DataFrame, groups: int = GROUPS) -> DataFrame:
     without = docs.where(F.col("doc_id").isNull())
     nameless = found.where(F.col("component_id").isNull()).select(F.col("fp").alias(f"{TMP}fp"), F.col("root").alias(f"{TMP}root")).distinct()
     plain = without.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("doc_row"), "text")
-    hashed = plain.mapInArrow(_append_fingerprint, plain.schema.add(f"{TMP}own", "long"))
+    hashed = plain.mapInArrow(_append_fingerprint, StructType([*plain.schema.fields]).add(f"{TMP}own", "long"))
     pick = hashed.join(nameless, F.col(f"{TMP}own") == F.col(f"{TMP}fp")).groupBy(f"{TMP}root").agg(F.min("doc_row").alias("doc_row"))
     rest = pick.select(*[F.col(f"doc_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
     return one.unionByName(rest)
