@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,10 @@ from ferrolith.llm.graph import connected_components
 SHINGLE_WORDS = 4
 SEED = 42
 MOST_BITS = 4
-#: Groups of segments; a grid is over ``GROUPS - MOST_BITS`` of them. More groups, finer cells.
+#: Groups of segments; a grid is over ``GROUPS - MOST_BITS`` of them. More groups: more grids and finer cells.
 GROUPS = 7
+#: What a chance pair in a cell costs, in rows placed in cells.
+PAIR_COST = 10
 #: Shingles whose bits are counted in one step.
 STEP = 50_000
 
@@ -88,10 +91,25 @@ def grid_masks(groups: int = GROUPS, most_bits: int = MOST_BITS) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in chosen]
 
 
+def best_groups(n: int, most_bits: int = MOST_BITS) -> int:
+    """The number of groups with the least work for ``n`` fingerprints: rows in cells, and pairs that meet by chance.
+
+    A two-bit segment's count tells 1.5 bits apart. Any number of groups finds all links.
+    """
+
+    def work(groups: int) -> float:
+        grids = comb(groups, most_bits)
+        return grids + PAIR_COST * n * grids / 2 ** (1.5 * 32 * (groups - most_bits) / groups)
+
+    return min(range(most_bits + 4, most_bits + 9), key=work)
+
+
 def cells(points: DataFrame, groups: int = GROUPS) -> DataFrame:
     """A row for each point and grid: grid, cell, then the columns of ``points`` (one is ``fp``)."""
     masks = F.array(*[F.lit(m).cast("long") for m in grid_masks(groups)])
-    placed = points.withColumn("code", embedding(F.col("fp"))).select("*", F.posexplode(masks).alias("grid", "mask"))
+    # every row becomes many: dealt anew first, so that the many are made in as many tasks as there can be
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = points.repartition(tasks, "fp").withColumn("code", embedding(F.col("fp"))).select("*", F.posexplode(masks).alias("grid", "mask"))
     return placed.select("grid", F.col("code").bitwiseAND(F.col("mask")).alias("cell"), *points.columns)
 
 
@@ -115,9 +133,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def link_components(distinct: DataFrame, groups: int = GROUPS) -> DataFrame:
+def link_components(distinct: DataFrame, groups: int | None = None) -> DataFrame:
     """``distinct`` fingerprints (fp): those in components of two or more, with the component's smallest (node, root)."""
-    placed = cells(distinct.select("fp"), groups)
+    groups = groups or best_groups(distinct.count())
+    placed = cells(distinct.select("fp"), GROUPS)
     sorted_cells = placed.repartitionByRange("grid", "cell", "fp").sortWithinPartitions("grid", "cell", "fp")
     first = connected_components(sorted_cells.mapInArrow(_neighbours, "a bigint, b bigint"))
     grouped = materialize(distinct.join(first, distinct["fp"] == first["node"], "left").select("fp", F.coalesce("root", "fp").alias("comp")), "fp-components")
@@ -133,7 +152,7 @@ def link_components(distinct: DataFrame, groups: int = GROUPS) -> DataFrame:
     return roots
 
 
-def near_duplicates(docs: DataFrame, groups: int = GROUPS) -> DataFrame:
+def near_duplicates(docs: DataFrame, groups: int | None = None) -> DataFrame:
     """doc_id, fp, root and component_id of every document; root names the component, component_id is its smallest doc_id."""
     marked = materialize(fingerprints(docs), "fingerprints")
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-distinct")
@@ -143,7 +162,7 @@ def near_duplicates(docs: DataFrame, groups: int = GROUPS) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, groups: int = GROUPS) -> DataFrame:
+def keep_one(docs: DataFrame, groups: int | None = None) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, the one with the smallest id; columns as they are.
 
     Of rows that share the kept id one stays (the first by text). Rows without an id stay, one to a group, where
