@@ -28,8 +28,7 @@ def strip_orcid(value: Column) -> Column:
 
 def check_digit(digits: Column) -> Column:
     """ISO 7064 MOD 11-2 check character of the first fifteen digits; null if they are not digits."""
-    # (total + digit) * 2, fifteen times over, is each digit times a power of two
-    total = sum(((F.ascii(F.substring(digits, i, 1)) - 48) * (1 << (16 - i)) for i in range(1, 16)), F.lit(0))
+    total = F.aggregate(F.split(F.substring(digits, 1, 15), ""), F.lit(0).cast("bigint"), lambda a, x: (a + F.ascii(x) - 48) * 2)
     digit = F.pmod(12 - F.pmod(total, F.lit(11)), F.lit(11))
     return F.when(digits.rlike("^[0-9]{15}"), F.when(digit == 10, "X").otherwise(digit.cast("string")))
 
