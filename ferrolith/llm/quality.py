@@ -87,25 +87,26 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bucket, _, counts = features([text.encode("utf-8", "replace") if text else b""])
             own, n = np.unique(bucket, return_counts=True)
             rows_b.append(own.astype(np.int32))
-            rows_v.append(n / max(1, counts.sum()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows_b, pa.list_(pa.int32())), pa.array(rows_v, pa.list_(pa.float64()))], names=["doc_id", "label", "bucket", "share"])
+            rows_v.append((n / max(1, counts.sum())).astype(np.float32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows_b, pa.list_(pa.int32())), pa.array(rows_v, pa.list_(pa.float32()))], names=["doc_id", "label", "bucket", "share"])
 
 
 def _shard_updates(state):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z0, n0 = state.value
-        z, n = z0.copy(), n0.copy()
+        z, n, seen = z0.copy(), n0.copy(), 0
         for batch in batches:
+            seen += batch.num_rows
             for y, bucket, share in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 at = np.append(bucket.values.to_numpy(), BIAS)
-                x = np.append(share.values.to_numpy(), 1.0)
+                x = np.append(share.values.to_numpy().astype(np.float64), 1.0)
                 w = _weights(z[at], n[at])
                 gradient = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - y) * x
                 sigma = (np.sqrt(n[at] + gradient**2) - np.sqrt(n[at])) / ALPHA
                 z[at] += gradient - sigma * w
                 n[at] += gradient**2
-        changed = np.flatnonzero((z != z0) | (n != n0))
-        yield pa.RecordBatch.from_arrays([pa.array(changed.astype(np.int32)), pa.array((z - z0)[changed]), pa.array((n - n0)[changed])], names=["bucket", "dz", "dn"])
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (z - z0, n - n0)], names=["dz", "dn"])
 
     return run
 
@@ -117,18 +118,16 @@ def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DO
     n = marked.count()
     if n > max_train_docs:
         marked = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_000)) < int(1e6 * max_train_docs / n))
-    rows = marked.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "text")
-    vectors = rows.mapInArrow(_sparse, "doc_id bigint, label int, bucket array<int>, share array<double>")
-    vectors = materialize(vectors.repartition(shards, F.xxhash64("doc_id", F.lit(3))).sortWithinPartitions(F.xxhash64("doc_id", F.lit(4))), "quality-vectors")
+    rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")  # max_train_docs or so
+    rows = rows.select("doc_id", F.col("label").cast("int").alias("label"), "text")
+    vectors = materialize(rows.mapInArrow(_sparse, "doc_id bigint, label int, bucket array<int>, share array<float>"), "quality-vectors")
+    parts = vectors.coalesce(shards).sortWithinPartitions(F.xxhash64("doc_id", F.lit(4)))  # no shuffle: the files are the shards
     state = np.zeros((2, BIAS + 1))
     for _ in range(epochs):
         shared = spark.sparkContext.broadcast(state)
-        parts = vectors.repartition(shards, F.xxhash64("doc_id", F.lit(3))).sortWithinPartitions(F.xxhash64("doc_id", F.lit(4)))
-        changes = parts.mapInArrow(_shard_updates(shared), "bucket int, dz double, dn double")
-        table = changes.groupBy("bucket").agg((F.sum("dz") / shards).alias("dz"), (F.sum("dn") / shards).alias("dn")).toArrow()  # a row for each bucket at the most
-        at, state = table.column("bucket").to_numpy(), state.copy()
-        state[0, at] += table.column("dz").to_numpy()
-        state[1, at] += table.column("dn").to_numpy()
+        changes = parts.mapInArrow(_shard_updates(shared), "dz binary, dn binary").collect()  # two numbers for each bucket and shard
+        if changes:
+            state = state + np.stack([sum(np.frombuffer(c[i], np.float32).astype(np.float64) for c in changes) / len(changes) for i in (0, 1)])
         shared.unpersist()
     return _weights(state[0], state[1]).astype(np.float32)
 
