@@ -151,12 +151,14 @@ def predict_batch(texts: list[str | None], model: LanguageModel, penalty: float
     return names, np.clip(scores, 0, 1)
 
 
-def _predict(model, penalty: float):
+def _predict(model, penalty: float, text: int):
+    """Appends prediction and score to each row; ``text`` is the number of the column that holds the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 piece = batch.slice(lo, 1000)
-                names, scores = predict_batch(piece.column(piece.num_columns - 1).to_pylist(), model.value, penalty)
+                names, scores = predict_batch(piece.column(text).to_pylist(), model.value, penalty)
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*piece.schema.names, "lang_pred", "score"])
 
     return run
@@ -165,15 +167,15 @@ def _predict(model, penalty: float):
 def identify(docs: DataFrame, model: LanguageModel, penalty: float = PENALTY) -> DataFrame:
     """doc_id, lang_pred and score of every whole text of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages
-    return docs.select("doc_id", "text").mapInArrow(_predict(shared, penalty), "doc_id bigint, text string, lang_pred string, score double").drop("text")
+    return docs.select("doc_id", "text").mapInArrow(_predict(shared, penalty, 1), "doc_id bigint, text string, lang_pred string, score double").drop("text")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is known with a proportion of ``min_score`` or more; columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"{TMP}{i}") for i, c in enumerate(docs.columns)], F.col("text").alias(f"{TMP}text"))
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"{TMP}{i}") for i, c in enumerate(docs.columns)])
     schema = StructType([*plain.schema.fields]).add("lang_pred", "string").add("score", "double")
-    scored = plain.mapInArrow(_predict(shared, PENALTY), schema)
+    scored = plain.mapInArrow(_predict(shared, PENALTY, docs.columns.index("text")), schema)
     kept = scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
     return kept.select(*[F.col(f"{TMP}{i}").alias(c) for i, c in enumerate(docs.columns)])
 

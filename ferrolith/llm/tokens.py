@@ -1,7 +1,8 @@
 """Whole texts to token ids with a public word-level byte-pair tokenizer.
 
 The tokenizer merges within a word only, so a word's ids never depend on its neighbours. Texts are cut at
-spaces and line feeds and each worker remembers the ids of words it has met; forgetting changes no result.
+spaces and line feeds and each worker remembers the ids of words it has met lately: two generations of a bounded
+number, so that frequent words stay and rare ones go. Forgetting changes no result.
 """
 
 from __future__ import annotations
@@ -16,9 +17,8 @@ END_ID = 2
 #: Fixed pattern: the tokenizer file's own word pattern.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
-#: Words and word parts a worker remembers.
-MEMO_CHUNKS = 400_000
-MEMO_PARTS = 600_000
+#: Words, and word parts, in each of the two generations that a worker remembers.
+MEMO = 100_000
 
 
 def default_tokenizer() -> str:
@@ -46,24 +46,37 @@ class WordEncoder(dict):
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.older_parts: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self._ids(chunk)
+        if len(self) >= MEMO:
+            self.older = dict(self)
+            self.clear()
+            self[""] = b""
+        self[chunk] = ids
+        return ids
+
+    def _ids(self, chunk: str) -> bytes:
         # below U+0250 there is nothing to normalise but case; anything else, and marks of special tokens, takes the library's full path
         if max(chunk) < "ɐ" and min(chunk) > " " and "<|" not in chunk:
-            ids = b"".join([self.part(p) for p in WORD.findall(chunk.lower())])
-        else:
-            ids = np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) < MEMO_CHUNKS:
-            self[chunk] = ids
-        return ids
+            return b"".join([self.part(p) for p in WORD.findall(chunk.lower())])
+        return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def part(self, word: str) -> bytes:
         ids = self.parts.get(word)
+        if ids is not None:
+            return ids
+        ids = self.older_parts.get(word)
         if ids is None:
             found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
             ids = np.asarray([t.id for t in found], "<u4").tobytes()
-            if len(self.parts) < MEMO_PARTS:
-                self.parts[word] = ids
+        if len(self.parts) >= MEMO:
+            self.older_parts, self.parts = self.parts, {}
+        self.parts[word] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:
