@@ -6,10 +6,11 @@ for n-gram and skip features of the context (the word before, the one before tha
 the tree's leaves share one leaf, within which a word has its add-one share; so has, once, any word never met in
 training: the probabilities of all known words and of "another word" add up to one.
 
-Training: word counts and the counts of every feature row cover all training documents. Rows become log ratios, and
-how far each feature is trusted, by level and by how often its row was met, is fitted by distributed gradient
-updates of the conditional likelihood, each token's own count left out of its rows. That fit and the classes (words
-in like company) use a bounded sample of the training tokens: ``FIT_TOKENS`` and ``CLASS_TOKENS``, expected.
+Training: word counts, the company that makes the classes (words in like company) and the counts of every feature row
+cover all training documents. The weights of all rows, hashed ones and the tree's, start as damped logarithms of those
+counts and are then fitted by ``ROUNDS`` distributed gradient updates of the conditional likelihood. A round is a pass
+over every training token, each token's own count left out of its rows; the gradient of a weight is its count less the
+count the model expects, and steps are scaled by those counts, so that rows rarely met move little.
 
 Scoring runs over batches of whole texts in numpy: gather rows, add, normalise. Counts of the ``TOP_WORDS`` most
 frequent words are broadcast (a fixed bound); rarer words meet their counts in a join. A 64-bit hash stands for a word.
@@ -44,13 +45,15 @@ ROW_BITS = 15
 ROWS = len(TEMPLATES) << ROW_BITS
 #: Rows of counts that travel as one value.
 BLOCK_ROWS = 256
-#: A row's weight depends on the logarithm of how often it was met, in this many steps.
-BINS = 10
+#: Where the tree's rows of each level follow the hashed ones, and all rows in whole blocks.
+TREE_ROWS = (ROWS, ROWS + 1, ROWS + 1 + WAYS)
+ALL_ROWS = -(-(ROWS + 1 + WAYS + WAYS * WAYS) // BLOCK_ROWS) * BLOCK_ROWS
 SMOOTH = 0.05
-#: Expected numbers of training tokens for the fit of the trust in features, and for the classes.
-FIT_TOKENS, CLASS_TOKENS = 200_000, 4_000_000
+#: Shares of the logarithms that weights start from: hashed rows, rows of the tree.
+START, TREE_START = 0.3, 0.6
 ANCHORS = 64
-ROUNDS, RATE = 8, 0.2
+#: Gradient updates over all training tokens (more gain little), the counts that hold back rare rows, the longest step of a weight.
+ROUNDS, DAMPING, LONGEST = 2, 4.0, 1.0
 END = np.uint64(0x9D39247E33776D41)
 STEP = 2 << 20
 LOG10 = np.log(10)
@@ -165,13 +168,6 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield merged()
 
 
-def _sampled(training: DataFrame, tokens: int, most: int, seed: int) -> DataFrame:
-    """Rows with about ``most`` of the ``tokens`` tokens, chosen by a hash of the text."""
-    if tokens <= most:
-        return training
-    return training.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000)) < max(1, int(1e6 * most / tokens)))
-
-
 def _company(vocabulary):
     """Counts of frequent neighbours, before and after, of each word that has a leaf."""
 
@@ -198,23 +194,27 @@ def _as_blocks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blocks[k].tobytes()], pa.binary())], names=["block", "counts"])
 
 
-def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _add_blocks(kind: type):
     """Sums by block, one value held for each block of the partition."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = np.frombuffer(data, np.int32)
-            sums[k] = sums[k] + own if k in sums else own
-    for k, own in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["block", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(data, kind)
+                sums[k] = sums[k] + own if k in sums else own
+        for k, own in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["block", "counts"])
+
+    return run
 
 
-def _summed(blocks: DataFrame, rows: int) -> np.ndarray:
+def _summed(blocks: DataFrame, rows: int, kind: type = np.int32) -> np.ndarray:
     """The sum of all tasks' count tables: as large as one of them, whatever the corpus."""
-    table = blocks.repartition("block").mapInArrow(_add_blocks, "block int, counts binary").toArrow()
-    out = np.zeros((rows // BLOCK_ROWS, BLOCK_ROWS * WAYS), np.int32)
-    for k, data in zip(table.column("block").to_pylist(), table.column("counts").to_pylist(), strict=True):
-        out[k] = np.frombuffer(data, np.int32)
+    table = blocks.repartition("block").mapInArrow(_add_blocks(kind), "block int, counts binary").toArrow()
+    out = np.zeros((rows // BLOCK_ROWS, BLOCK_ROWS * WAYS), kind)
+    for k, data in zip(table.column("block").to_pylist(), table.column("counts"), strict=True):
+        out[k] = np.frombuffer(data.as_buffer(), kind)
     return out.reshape(rows, WAYS)
 
 
@@ -273,64 +273,64 @@ def _log_share(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + SMOOTH) / (counts.sum(axis=-1, keepdims=True) + SMOOTH * WAYS)).astype(np.float32)
 
 
-def _bins(n: np.ndarray) -> np.ndarray:
-    """0 for a row never met, then by doubling."""
-    return np.minimum(np.ceil(np.log2(np.maximum(n, 0) + 1)), BINS - 1).astype(np.int64)
-
-
-def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities, and the logarithm of each row's normaliser."""
-    top = logits.max(axis=1, keepdims=True)
-    e = np.exp(logits - top)
-    total = e.sum(axis=1, keepdims=True)
-    return e / total, (np.log(total) + top)[:, 0]
-
-
-def _gradient(state, trust: np.ndarray):
-    """Likelihood and gradient for the trust in each feature (templates and tree rows x bins)."""
+def _expected(vocabulary, counts, weights):
+    """The counts that the model expects in all rows, hashed ones and then the tree's, over the tokens of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, base = state.value
-        grad, gain, n = np.zeros_like(trust), 0.0, 0
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 4096):
-                batch = whole.slice(lo, 4096)
-                leaf = batch.column(len(TEMPLATES)).to_numpy()
-                d, above, at = digits(leaf), (leaf * 0, leaf >> 10, leaf >> 5), np.arange(len(leaf))
-                for level in range(LEVELS):
-                    parts = [(len(TEMPLATES) + level, base[level][above[level]], np.zeros(len(leaf), np.int64))]
-                    for k in (k for k, t in enumerate(TEMPLATES) if t[0] == level):
-                        own = counts[batch.column(k).to_numpy()].astype(np.float32)
-                        own[at, d[level]] -= 1  # the token itself
-                        parts.append((k, _log_share(own), _bins(own.sum(axis=1))))
-                    p, norm = _softmax(sum(trust[k, b][:, None] * x for k, x, b in parts))
-                    gain += float(sum((trust[k, b] * x[at, d[level]]).sum() for k, x, b in parts) - norm.sum())
-                    for k, x, b in parts:
-                        grad[k] += np.bincount(b, x[at, d[level]] - np.einsum("ij,ij->i", p, x), BINS)
-                n += len(leaf)
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([gain]), pa.array([grad.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "gain", "grad"])
+        (hashed, tree), met, size = weights.value, counts.value.reshape(-1), 1024
+        out, places, indices = np.zeros(ALL_ROWS * WAYS, np.float32), np.arange(WAYS), np.arange(size)
+        sums, terms, cells, ones = np.empty((size, WAYS), np.float32), np.empty((size, WAYS), np.float32), np.empty((size, WAYS), np.int64), np.ones(WAYS, np.float32)
+        for batch in batches:
+            for _, _, tokens, starts in token_batches(batch.column(0)):
+                leaf = vocabulary.value.leaves(vocabulary.value.table.find(tokens))
+                rows, d, above = feature_rows(tokens, starts, leaf).astype(np.int64), digits(leaf), (leaf * 0, leaf >> 10, leaf >> 5)
+                for lo in range(0, len(leaf), size):
+                    part = slice(lo, lo + size)
+                    n = len(leaf[part])
+                    total, term, cell, at = sums[:n], terms[:n], cells[:n], indices[:n]
+                    for level in range(LEVELS):
+                        own, templates = d[level][part], [k for k, t in enumerate(TEMPLATES) if t[0] == level]
+                        np.take(tree[level], above[level][part], axis=0, out=total, mode="clip")
+                        for k in templates:
+                            total += np.take(hashed, rows[k, part], axis=0, out=term, mode="clip")
+                            c = met[rows[k, part] * WAYS + own]
+                            total[at, own] += np.float32(START) * np.log((c - 1 + SMOOTH) / (c + SMOOTH)).astype(np.float32)  # the token itself
+                        np.clip(total, -80, 80, out=total)
+                        np.exp(total, out=total)
+                        total /= (total @ ones)[:, None]
+                        for at_rows in (TREE_ROWS[level] + above[level][part], *(rows[k, part] for k in templates)):
+                            np.add((at_rows * WAYS)[:, None], places, out=cell)
+                            np.add.at(out, cell.reshape(-1), total.reshape(-1))
+        yield from _as_blocks(out.reshape(ALL_ROWS, WAYS))
 
     return run
 
 
-def fit_trust(rows: DataFrame, counts: np.ndarray, base: list[np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
-    """Gradient ascent with adaptive steps; a round is one pass over ``rows``, a few numbers of each task come back."""
-    trust = np.full((len(TEMPLATES) + LEVELS, BINS), 0.3)
-    trust[: len(TEMPLATES), 0] = 0  # rows never met say nothing
-    trust[len(TEMPLATES) :, 0] = 0.6
-    moment, square = np.zeros_like(trust), np.zeros_like(trust)
-    state = rows.sparkSession.sparkContext.broadcast((counts, base))
-    for step in range(1, rounds + 1):
-        parts = rows.mapInArrow(_gradient(state, trust), "n bigint, gain double, grad array<double>").collect()
-        n = sum(r[0] for r in parts)
-        if not n:
-            break
-        grad = sum(np.array(r[2]).reshape(trust.shape) for r in parts) / n
-        moment, square = 0.8 * moment + 0.2 * grad, 0.95 * square + 0.05 * grad**2
-        trust = trust + RATE * (moment / (1 - 0.8**step)) / (np.sqrt(square / (1 - 0.95**step)) + 1e-6) / step**0.5
-        trust[: len(TEMPLATES), 0] = 0
-    state.unpersist()
-    return trust
+def _step(weights: np.ndarray, counts: np.ndarray, expected: np.ndarray, features: int) -> None:
+    """One gradient update in place; ``features`` rows act on each token."""
+    for lo in range(0, len(weights), 1 << 13):
+        part = slice(lo, lo + (1 << 13))
+        met, want = counts[part].astype(np.float32), expected[part]
+        weights[part] += np.clip((met - want) / (features * (met + want) / 2 + DAMPING), -LONGEST, LONGEST)
+
+
+def fit_weights(texts: DataFrame, vocabulary, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Weights of the hashed rows and of the tree's rows; a round is one pass over all ``texts``, in a task for each core, as each task returns a whole table."""
+    context, above = texts.sparkSession.sparkContext, tree_counts(vocabulary.value)
+    hashed, tree = np.float32(START) * _log_share(counts), [np.float32(TREE_START) * _log_share(c) for c in above]
+    shared, whole = context.broadcast(counts), texts.coalesce(max(1, context.defaultParallelism))
+    for _ in range(rounds):
+        state = context.broadcast((hashed, tree))
+        expected = _summed(whole.mapInArrow(_expected(vocabulary, shared, state), "block int, counts binary"), ALL_ROWS, np.float32)
+        state.unpersist()
+        for level in range(LEVELS):
+            templates = [k for k, t in enumerate(TEMPLATES) if t[0] == level]
+            for k in templates:
+                own = slice(k << ROW_BITS, (k + 1) << ROW_BITS)
+                _step(hashed[own], counts[own], expected[own], 1 + len(templates))
+            _step(tree[level], above[level], expected[TREE_ROWS[level] : TREE_ROWS[level] + len(above[level])], 1 + len(templates))
+    shared.unpersist()
+    return hashed, tree
 
 
 @dataclass
@@ -342,17 +342,6 @@ class LanguageModel:
     tree: list[np.ndarray]
 
 
-def _feature_tokens(vocabulary):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, tokens, starts in token_batches(batch.column(0)):
-                leaf = vocabulary.value.leaves(vocabulary.value.table.find(tokens))
-                columns = [*feature_rows(tokens, starts, leaf), leaf.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f"c{i}" for i in range(len(columns))])
-
-    return run
-
-
 def count_words(training: DataFrame) -> DataFrame:
     """Every word of all texts with its count (word hash, n), written to the shared folder."""
     return materialize(training.select("text").mapInArrow(_count_words, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
@@ -366,7 +355,7 @@ def train(training: DataFrame, words: DataFrame) -> LanguageModel:
     hashes, counts = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
     vocabulary = Vocabulary(WordTable(hashes), counts, np.zeros(0, np.int64), int(totals[0]), int(totals[1]))
     shared = context.broadcast(vocabulary)
-    company = _summed(_sampled(texts, vocabulary.tokens, CLASS_TOKENS, 41).mapInArrow(_company(shared), "block int, counts binary"), LEAVES * 2 * ANCHORS // WAYS)
+    company = _summed(texts.mapInArrow(_company(shared), "block int, counts binary"), LEAVES * 2 * ANCHORS // WAYS)
     shared.unpersist()
     leaf = assign_leaves(company.reshape(LEAVES, 2 * ANCHORS), len(hashes))
     vocabulary.leaf = np.concatenate((leaf, np.full(len(hashes) + 1 - len(leaf), TAIL)))[: len(hashes)].astype(np.int64)
@@ -374,16 +363,9 @@ def train(training: DataFrame, words: DataFrame) -> LanguageModel:
         return LanguageModel(vocabulary, np.zeros((ROWS, WAYS), np.float32), [_log_share(c) for c in tree_counts(vocabulary)])
     shared = context.broadcast(vocabulary)
     table = _summed(texts.mapInArrow(_count_features(shared), "block int, counts binary"), ROWS)
-    base = [_log_share(c) for c in tree_counts(vocabulary)]
-    names = ", ".join(f"c{i} int" for i in range(len(TEMPLATES) + 1))
-    rows = materialize(_sampled(texts, vocabulary.tokens, FIT_TOKENS, 42).mapInArrow(_feature_tokens(shared), names), "lm-fit")
-    trust = fit_trust(rows, table, base)
+    hashed, tree = fit_weights(texts, shared, table)
     shared.unpersist()
-    hashed = _log_share(table)
-    for k in range(len(TEMPLATES)):
-        own = slice(k << ROW_BITS, (k + 1) << ROW_BITS)
-        hashed[own] *= trust[k, _bins(table[own].sum(axis=1))][:, None].astype(np.float32)
-    return LanguageModel(vocabulary, hashed, [b * np.float32(trust[len(TEMPLATES) + i, 0]) for i, b in enumerate(base)])
+    return LanguageModel(vocabulary, hashed, tree)
 
 
 def leaf_log_prob(tokens: np.ndarray, starts: np.ndarray, leaf: np.ndarray, model: LanguageModel) -> np.ndarray:

@@ -158,6 +158,26 @@ def test_lm_against_base_and_brute_force(spark, clashing):
     assert all(r.score == pytest.approx(r.base_score) for r in empty)
 
 
+def test_lm_gradient_runs_over_all_tokens(spark, monkeypatch):
+    rows = spark.createDataFrame(prose(7000), DOC)
+    training, held = rows.where("doc_id < 6900"), rows.where("doc_id >= 6900")
+    words = lm_scoring.count_words(training)
+    seen, fit, summed = [], lm_scoring.fit_weights, lm_scoring._summed
+    monkeypatch.setattr(lm_scoring, "_summed", lambda *a: seen.append(summed(*a)) or seen[-1])
+    model = lm_scoring.train(training, words)
+    tokens = 6900 * 31
+    assert tokens > 200_000 and len(seen) == 2 + lm_scoring.ROUNDS
+    for table in seen[1:]:  # counts, and what each round expects of them: every token has a row of every template
+        shares = table[: lm_scoring.ROWS].reshape(len(lm_scoring.TEMPLATES), -1).sum(axis=1, dtype=float)
+        assert shares == pytest.approx(tokens, rel=1e-3)
+    monkeypatch.setattr(lm_scoring, "fit_weights", lambda *a: fit(*a, rounds=0))
+    start = lm_scoring.train(training, words)
+    met = seen[1] > 100
+    assert (model.hashed[met] != start.hashed[met]).all()
+    total = lambda m: sum(r.score for r in lm_scoring.score_documents(held, m, words).collect())
+    assert total(model) > total(start)
+
+
 def test_lm_rare_words_beyond_the_broadcast(spark, monkeypatch):
     rows = spark.createDataFrame([(i, f"common w{i} w{i // 2}") for i in range(60)], "doc_id bigint, text string")
     words = lm_scoring.count_words(rows)
