@@ -29,7 +29,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
 from ferrolith.llm.common import TMP, materialize
 from ferrolith.llm.graph import connected_components
@@ -165,19 +164,21 @@ def near_duplicates(docs: DataFrame, groups: int | None = None) -> DataFrame:
 def keep_one(docs: DataFrame, groups: int | None = None) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, the one with the smallest id; columns as they are.
 
-    Of rows that share the kept id one stays (the first by text). Rows without an id stay, one to a group, where
-    no row of their group has an id.
+    Of a group's rows that share the smallest id one stays (the first by text); an id that stands for several groups
+    stays once for each. Rows without an id stay, one to a group, where no row of their group has an id.
     """
-    found = near_duplicates(docs, groups)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(f"{TMP}id")).distinct()
-    with_id = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col(f"{TMP}id"), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    one = with_id.withColumn(f"{TMP}n", F.row_number().over(order)).where(F.col(f"{TMP}n") == 1).select(*docs.columns)
-    without = docs.where(F.col("doc_id").isNull())
-    nameless = found.where(F.col("component_id").isNull()).select(F.col("fp").alias(f"{TMP}fp"), F.col("root").alias(f"{TMP}root")).distinct()
-    plain = without.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("doc_row"), "text")
+    found = materialize(near_duplicates(docs, groups), "fp-found")
+    ids = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component"))
+    lone = ids.where((F.col("n") == 1) & (F.col("doc_id") == F.col("component"))).select(F.col("doc_id").alias(f"{TMP}id"))
+    one = docs.join(lone, F.col("doc_id") == F.col(f"{TMP}id"), "left_semi").select(*docs.columns)
+    # rows whose id does not tell them apart: their group is known by the fingerprint
+    shared = ids.where(F.col("n") > 1).select(F.col("doc_id").alias(f"{TMP}id"))
+    rows = docs.where(F.col("doc_id").isNull()).unionByName(docs.join(shared, F.col("doc_id") == F.col(f"{TMP}id"), "left_semi").select(*docs.columns))
+    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(f"{TMP}id"), F.col("fp").alias(f"{TMP}fp"), F.col("root").alias(f"{TMP}root")).distinct()
+    plain = rows.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("doc_row"), "text", F.col("doc_id").alias("own_id"))
     hashed = plain.mapInArrow(_append_fingerprint, StructType([*plain.schema.fields]).add(f"{TMP}own", "long"))
-    pick = hashed.join(nameless, F.col(f"{TMP}own") == F.col(f"{TMP}fp")).groupBy(f"{TMP}root").agg(F.min("doc_row").alias("doc_row"))
+    met = hashed.join(heads, (F.col(f"{TMP}own") == F.col(f"{TMP}fp")) & F.col("own_id").eqNullSafe(F.col(f"{TMP}id")))
+    pick = met.groupBy(f"{TMP}root").agg(F.min(F.struct("text", "doc_row")).alias("first")).select("first.doc_row")
     rest = pick.select(*[F.col(f"doc_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
     return one.unionByName(rest)
 

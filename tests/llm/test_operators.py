@@ -90,6 +90,15 @@ def test_simhash_against_brute_force(spark, clashing):
     assert simhash.near_duplicates(rows.limit(0)).count() == 0
 
 
+def test_keep_one_keeps_each_group_of_a_shared_id(spark, docs):
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
+    assert sorted(t for i, t in kept if i == 4) == ["another text under the same id", "one two three four five"]
+    # a group's smallest id also stands for another group, whose text comes first
+    rows = spark.createDataFrame([(1, "a b c d e f g"), (1, "z y x w v u t"), (2, "z y x w v u t"), (3, "z y x w v u t"), (None, "k l m n o p q"), (None, "k l m n o p q"), (None, "a b c d e f g")], "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(rows).collect()), key=str)
+    assert got == [(1, "a b c d e f g"), (1, "z y x w v u t"), (None, "k l m n o p q")]
+
+
 def test_embedding_bounds_distance():
     rng = np.random.default_rng(2)
     for _ in range(200):
