@@ -3,8 +3,8 @@
 Each language is a distribution over hashed byte n-grams, learned from labelled documents. A document is a
 mixture: each of its words comes from one language, and expectation-maximisation over the words' n-gram
 likelihoods estimates the proportions. The set of languages is selected by penalised likelihood: sets of the
-1, 2, ... strongest languages are fitted anew and the set with the best log-likelihood less a penalty for each
-language wins. The prediction is the language with the largest proportion and the score is that proportion.
+1, 2, ... strongest languages, up to all of them, are fitted anew and the set with the best log-likelihood less a
+penalty for each language wins; the search ends where no larger set can win. The prediction is the language with the largest proportion and the score is that proportion.
 
 Parameters: ``max_train_docs`` bounds the labelled rows that the n-gram tables are fitted on (chosen by a hash of
 the id, so that the choice does not depend on order); ``buckets`` and the number of labels bound the model.
@@ -36,7 +36,6 @@ BUCKET_BITS = 16
 MAX_TRAIN_DOCS = 20_000
 #: Nats a language must add to the log-likelihood, times the logarithm of the number of words.
 PENALTY = 2.0
-MAX_LANGUAGES = 3
 ITERATIONS = 5
 
 
@@ -108,7 +107,7 @@ def _fit(like: np.ndarray, shift: np.ndarray, weight: np.ndarray, counts: np.nda
     return share, np.add.reduceat(np.log(np.maximum(fit, 1e-30)) + shift, first)
 
 
-def mixtures(texts: list[str], model: LanguageModel, penalty: float = PENALTY, max_languages: int = MAX_LANGUAGES) -> np.ndarray:
+def mixtures(texts: list[str], model: LanguageModel, penalty: float = PENALTY) -> np.ndarray:
     """Each text's proportions over the model's languages after the selection of its set; each text holds a letter."""
     buffer, ends = _buffer(texts)
     gram = ngram_buckets(buffer)
@@ -125,7 +124,10 @@ def mixtures(texts: list[str], model: LanguageModel, penalty: float = PENALTY, m
     order = np.argsort(-full, axis=0, kind="stable")
     cost = penalty * np.log(np.maximum(counts, 2))
     best, best_value = np.zeros_like(full, np.float64), np.full(len(texts), -np.inf)
-    for size in range(1, min(k, max_languages) + 1):
+    most = np.add.reduceat(shift.astype(np.float64), np.cumsum(counts) - counts)  # no mixture is likelier than each word's best language
+    for size in range(1, k + 1):
+        if not (most - cost * size > best_value).any():
+            break
         chosen = np.zeros_like(full)
         np.put_along_axis(chosen, order[:size], 1.0, axis=0)
         start = np.maximum(full, 1e-3) * chosen
@@ -170,13 +172,13 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = PENALTY) ->
     return docs.select("doc_id", "text").mapInArrow(_predict(shared, penalty, 1), "doc_id bigint, text string, lang_pred string, score double").drop("text")
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a proportion of ``min_score`` or more; columns as they are."""
+def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of ``docs`` with an identified language, or several of whatever proportions; columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     plain = docs.select(*[F.col(f"`{c}`").alias(f"{TMP}{i}") for i, c in enumerate(docs.columns)])
     schema = StructType([*plain.schema.fields]).add("lang_pred", "string").add("score", "double")
     scored = plain.mapInArrow(_predict(shared, PENALTY, docs.columns.index("text")), schema)
-    kept = scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    kept = scored.where(F.col("lang_pred") != UNKNOWN)
     return kept.select(*[F.col(f"{TMP}{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 

@@ -127,6 +127,18 @@ def test_language_id(spark, clashing):
     assert {r.lang_pred for r in language_id.identify(rows, empty).collect()} == {"und"}
 
 
+def test_documents_of_many_languages_stay(spark):
+    words = {"en": "the river house walks under bright morning", "fr": "le chemin maison rivière sous avec pont", "de": "der fluss und das haus geht unter", "fi": "joki talo kulkee kirkkaan aamun yli silta"}
+    rng = np.random.default_rng(5)
+    say = lambda lang, n: " ".join(rng.choice(words[lang].split(), n))
+    model = language_id.train(spark.createDataFrame([(i, say(x, 40), x, "s", 0) for x in words for i in range(40)], DOC))
+    three, four = " ".join(say(x, 30) for x in ("en", "fr", "de")), " ".join(say(x, 30) for x in words)
+    rows = spark.createDataFrame([(1, three, None, "s", 0), (2, four, None, "s", 0), (3, "12 34 !!", None, "s", 0), (4, None, None, "s", 0)], DOC)
+    assert max(r.score for r in language_id.identify(rows, model).collect()) < 0.5
+    assert sorted(r.doc_id for r in language_id.keep_identified(rows, model).collect()) == [1, 2]
+    assert (language_id.mixtures([four], model)[0] > 0.15).all()
+
+
 def test_quality(spark, clashing):
     good, bad = "A clear sentence ends here. Another follows it.".split(), "BUY now!!! click click FREE $$$ now!!!".split()
     rng = np.random.default_rng(3)
