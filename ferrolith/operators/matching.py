@@ -1,8 +1,8 @@
 """Entity resolution: blocked candidates, scores, the best two with a gap, overrides and combined matches.
 
 Names are resolved once for the whole batch (``distinct_names``): the outcome depends on the name and the country
-only. Candidates meet through shared words; a word that too many registry names share is no block of its own, and
-names that have only such words meet through pairs of them, so no block holds an unbounded part of the registry.
+only. Candidates meet through every shared word; the registry names of a frequent word are dealt into slices, and names
+meet each slice, so no block holds an unbounded part of the registry.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from ferrolith.functions.names import normalize_org
 
 THRESHOLD, GAP, COUNTRY_PENALTY, WINDOW = 90.0, 5.0, 15.0, 10.0
-#: Registry names that may share one blocking word.
+#: Registry names in one slice of a blocking word, expected.
 MOST_PER_WORD = 500
 
 
@@ -90,18 +90,18 @@ def best_two_with_gap(scored: DataFrame, query: str, order: str, score: str = "s
 
 
 def candidates(names: DataFrame, registry: DataFrame, most: int = MOST_PER_WORD) -> DataFrame:
-    """Pairs of (name_key, entry_id, entry_key) that share a blocking word.
+    """All pairs of (name_key, entry_id, entry_key) that share a word.
 
-    ``names`` has name_key; ``registry`` has entry_id, entry_key; both keys are normalised names. Frequent words
-    block only together with the word that follows them in alphabetical order.
+    ``names`` has name_key; ``registry`` has entry_id, entry_key; both keys are normalised names. ``most`` bounds
+    slices, not candidates.
     """
     words = lambda key: F.array_distinct(F.split(key, " "))
     entries = registry.select("entry_id", "entry_key", F.explode(words(F.col("entry_key"))).alias("word"))
-    rare = entries.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).select("word")
-    pairs = lambda df, key: df.select("*", F.array_sort(words(F.col(key))).alias("w")).select("*", F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.concat_ws(" ", F.get(F.col("w"), i - 1), F.get(F.col("w"), i)))).alias("pair")).drop("w")
-    by_word = names.select("name_key", F.explode(words(F.col("name_key"))).alias("word")).join(rare, "word", "left_semi").join(entries, "word").select("name_key", "entry_id", "entry_key")
-    by_pair = pairs(names, "name_key").join(pairs(registry.select("entry_id", "entry_key"), "entry_key"), "pair").select("name_key", "entry_id", "entry_key")
-    return by_word.unionByName(by_pair).distinct()
+    slices = entries.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / most).alias("slices"))
+    dealt = entries.join(slices, "word").select("word", F.pmod(F.xxhash64("entry_id", "entry_key"), F.col("slices")).alias("slice"), "entry_id", "entry_key")
+    asked = names.select("name_key", F.explode(words(F.col("name_key"))).alias("word")).join(slices, "word")
+    asked = asked.select("name_key", "word", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("slice"))
+    return asked.join(dealt, ["word", "slice"]).select("name_key", "entry_id", "entry_key").distinct()
 
 
 def resolve_organisations(names: DataFrame, registry: DataFrame, overrides: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:

@@ -144,3 +144,15 @@ def test_preflight_and_leaks(spark):
     assert one(spark, validation.keys_outside(F.lit('{"a":1,"b":2}'), ["a"])) == ["b"]
     rows = spark.createDataFrame([("m", 1, "p"), ("m", 2, "q"), ("m", 1, "r")], "model string, workers int, provider string")
     assert [(r.name_a, r.name_b) for r in validation.disagreeing(rows, "model", "workers", "provider").collect()] == [("p", "q")]
+
+
+def test_candidates_of_frequent_words_against_brute_force(spark):
+    from ferrolith.operators import matching
+
+    keys = ["department of transport uk", *[f"department transport{i} unit{i}" for i in range(30)], *[f"transport of{i} office" for i in range(30)]]
+    asked = ["department transport", "office", "unknown words"]
+    registry = spark.createDataFrame(list(enumerate(keys)), "entry_id bigint, entry_key string")
+    found = matching.candidates(spark.createDataFrame([(n,) for n in asked], "name_key string"), registry, most=5).collect()
+    want = {(n, i) for n in asked for i, k in enumerate(keys) if set(n.split()) & set(k.split())}
+    assert sorted((r.name_key, r.entry_id) for r in found) == sorted(want)
+    assert ("department transport", 0) in want and matching.weighted_ratio(asked[0], keys[0]) >= 90
