@@ -11,16 +11,15 @@ beyond ``doc_id`` and ``text`` are ignored, whatever their names; texts of any l
 
 from __future__ import annotations
 
-import os
-import zlib
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from ferrolith.llm.tokens import END_ID, default_tokenizer, encoder
+from ferrolith.llm.tokens import encoder
 
 #: Columns of a piece; ids are present on demand.
 PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, bucket int"
@@ -29,43 +28,35 @@ PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, do
 SEQUENCE_BITS = 40
 
 
-def binary_lengths(n: int, longest: int = 4096) -> list[int]:
-    """The piece lengths for ``n`` ids: powers of two up to ``longest`` that add up to ``n``, longest first."""
-    rest = n % longest
-    return [longest] * (n // longest) + [1 << k for k in range(longest.bit_length() - 2, -1, -1) if rest >> k & 1]
+def binary_lengths(n: np.ndarray, longest: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of texts of ``n`` ids, longest first: the text each belongs to and its length, a power of two up to ``longest``."""
+    whole, rest = n // longest, n % longest
+    digits = (rest[:, None] >> np.arange(longest.bit_length() - 2, -1, -1)) & 1
+    text, digit = np.nonzero(digits)
+    text = np.concatenate((np.repeat(np.arange(len(n)), whole), text))
+    length = np.concatenate((np.full(whole.sum(), longest), longest >> (digit + 1)))
+    order = np.argsort(text, kind="stable")
+    return text[order], length[order]
 
 
-def _pack(tokenizer: str, longest: int, with_ids: bool):
+def _pack(tokenizer: str | None, longest: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        words, end = encoder(tokenizer), np.asarray([END_ID], "<u4").tobytes()
-        sequence = TaskContext.get().partitionId() << SEQUENCE_BITS
+        words, sequence = encoder(tokenizer), TaskContext.get().partitionId() << SEQUENCE_BITS
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                piece = batch.slice(lo, 500)
-                doc, start, length, crc, whole, ids = [], [], [], [], [], []
-                for doc_id, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                    data = words.encode(text) + end
-                    n, at = len(data) // 4, 0
-                    for size in binary_lengths(n, longest):
-                        own = data[4 * at : 4 * (at + size)]
-                        doc.append(doc_id)
-                        start.append(at)
-                        length.append(size)
-                        crc.append(zlib.crc32(own))
-                        whole.append(n)
-                        ids.append(own)
-                        at += size
-                size = np.asarray(length, np.int64)
+            for lo, hi, ids, n in words.encode_column(batch.column(1)):
+                text, size = binary_lengths(n, longest)
+                ends = np.cumsum(size)
+                begins = ends - size
+                data = memoryview(ids).cast("B")
+                crc = [crc32(data[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 columns = [
-                    pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(size), pa.array(crc, pa.int64()), pa.array(whole, pa.int64()),
+                    batch.column(0).slice(lo, hi - lo).take(pa.array(text)), pa.array(begins - (np.cumsum(n) - n)[text]), pa.array(size), pa.array(crc, pa.int64()), pa.array(n[text]),
                     pa.array(sequence + np.arange(len(size))), pa.array(np.zeros(len(size), np.int64)), pa.array(np.log2(size).astype(np.int32)),
                 ]
                 sequence += len(size)
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"]
                 if with_ids:
-                    offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(begins, len(ids)).astype(np.int32)), pa.array(ids.view("<i4"))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -81,7 +72,7 @@ def pack_documents(docs: DataFrame, longest: int = 4096, tokenizer: str | None =
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     schema = PIECE_SCHEMA + (", ids array<int>" if with_ids else "")
-    return docs.select("doc_id", "text").mapInArrow(_pack(tokenizer or default_tokenizer(), longest, with_ids), schema)
+    return docs.select("doc_id", "text").mapInArrow(_pack(tokenizer, longest, with_ids), schema)
 
 
 def write_buckets(docs: DataFrame, path: str, longest: int = 4096, tokenizer: str | None = None) -> None:

@@ -12,7 +12,6 @@ empty folder with the right columns; columns beyond ``doc_id`` and ``text`` are
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrolith.llm.common import new_path
-from ferrolith.llm.tokens import END_ID, default_tokenizer, encoder
+from ferrolith.llm.tokens import encoder
 
 #: File columns: the range's number, where the document starts within the range, its length, its ids.
 FILE_SCHEMA = "doc_id bigint, part int, part_start bigint, n_tokens bigint, ids array<int>"
@@ -35,23 +34,18 @@ ENCODINGS = {
 }
 
 
-def encode_ids(tokenizer: str):
+def encode_ids(tokenizer: str | None):
     """A function for mapInArrow: (doc_id, text) batches to rows of FILE_SCHEMA, in the order they come in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         words, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                piece = batch.slice(lo, 500)
-                ids = [words.encode(text) + end for text in piece.column(1).to_pylist()]
-                n = np.asarray([len(x) // 4 for x in ids], np.int64)
+            for lo, hi, ids, n in words.encode_column(batch.column(1)):
                 starts = at + np.cumsum(n) - n
-                at += int(n.sum())
+                at += len(ids)
                 offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                columns = [piece.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), lists]
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view("<i4")))
+                columns = [batch.column(0).slice(lo, hi - lo), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "part_start", "n_tokens", "ids"])
 
     return run
@@ -61,7 +55,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, encod
     """Encode the whole texts of ``docs`` and write them below ``path`` in ascending ``doc_id`` order."""
     key = F.xxhash64("text")
     ordered = docs.select("doc_id", "text").repartitionByRange(F.asc_nulls_first("doc_id"), key).sortWithinPartitions(F.asc_nulls_first("doc_id"), key, F.asc_nulls_first("text"))
-    rows = ordered.mapInArrow(encode_ids(tokenizer or default_tokenizer()), FILE_SCHEMA)
+    rows = ordered.mapInArrow(encode_ids(tokenizer), FILE_SCHEMA)
     options = ENCODINGS[encoding] | {"parquet.block.size": str(row_group_bytes), "parquet.page.size": str(page_bytes), "parquet.page.row.count.limit": str(page_rows)}
     rows.write.options(**options).parquet(path)
 
