@@ -8,9 +8,14 @@ training: the probabilities of all known words and of "another word" add up to o
 
 Training: word counts, the company that makes the classes (words in like company) and the counts of every feature row
 cover all training documents. The weights of all rows, hashed ones and the tree's, start as damped logarithms of those
-counts and are then fitted by ``ROUNDS`` distributed gradient updates of the conditional likelihood. A round is a pass
-over every training token, each token's own count left out of its rows; the gradient of a weight is its count less the
-count the model expects, and steps are scaled by those counts, so that rows rarely met move little.
+counts and are then fitted by ``ROUNDS`` distributed gradient updates of the conditional likelihood, one for each of as
+many batches that all training documents are dealt into by a hash of their id and text. An update is a pass over every token
+of its batch, each token's own count left out of its rows; the gradient of a weight is its count in the batch less the
+count the model expects there, and steps are scaled by those counts, so that rows rarely met move little. (Two batches
+gain as much on held-out text as two passes over everything.)
+
+Tables of counts and gradients leave a task as blocks of rows and are summed by block in steps of at most ``FAN`` tasks'
+blocks, so no task reads more as the tasks grow in number; the driver gets one table, of a fixed size.
 
 Scoring runs over batches of whole texts in numpy: gather rows, add, normalise. Counts of the ``TOP_WORDS`` most
 frequent words are broadcast (a fixed bound); rarer words meet their counts in a join. A 64-bit hash stands for a word.
@@ -27,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,16 +49,17 @@ TOP_WORDS = 1 << 18
 TEMPLATES = ((0, (1,)), (0, (2,)), (0, (1, 2)), (1, (1,)), (2, (1,)))
 ROW_BITS = 15
 ROWS = len(TEMPLATES) << ROW_BITS
-#: Rows of counts that travel as one value.
-BLOCK_ROWS = 256
-#: Where the tree's rows of each level follow the hashed ones, and all rows in whole blocks.
-TREE_ROWS = (ROWS, ROWS + 1, ROWS + 1 + WAYS)
-ALL_ROWS = -(-(ROWS + 1 + WAYS + WAYS * WAYS) // BLOCK_ROWS) * BLOCK_ROWS
+#: Rows of counts that travel as one value, and the tasks whose blocks are summed in one step.
+BLOCK_ROWS, FAN = 64, 64
+#: Tokens for each task that gives tables, at least, once there is a task for each core.
+TASK_TOKENS = 2_000_000
+#: The root's row follows the hashed ones; all trained rows in whole blocks.
+ALL_ROWS = ROWS + BLOCK_ROWS
 SMOOTH = 0.05
 #: Shares of the logarithms that weights start from: hashed rows, rows of the tree.
 START, TREE_START = 0.3, 0.6
 ANCHORS = 64
-#: Gradient updates over all training tokens (more gain little), the counts that hold back rare rows, the longest step of a weight.
+#: Batches of the training texts, each with its gradient update, the counts that hold back rare rows, the longest step of a weight.
 ROUNDS, DAMPING, LONGEST = 2, 4.0, 1.0
 END = np.uint64(0x9D39247E33776D41)
 STEP = 2 << 20
@@ -168,6 +175,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield merged()
 
 
+#: What a task gives of a table: the block's number, the task's, and the block's values.
+BLOCKS, BLOCKS_NAMES = "block int, task int, counts binary", ["block", "task", "counts"]
+
+
 def _company(vocabulary):
     """Counts of frequent neighbours, before and after, of each word that has a leaf."""
 
@@ -187,34 +198,53 @@ def _company(vocabulary):
     return run
 
 
-def _as_blocks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Blocks of rows that hold anything, as bytes."""
-    blocks = counts.reshape(-1, BLOCK_ROWS * WAYS)
+def _as_blocks(values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows that hold anything, as bytes: a task's own counts fit 32 bits, of gradients the upper 16 bits travel."""
+    if values.dtype == np.float32:
+        values = ((values.view(np.uint32) + np.uint32(0x8000)) >> np.uint32(16)).astype(np.uint16)
+    blocks, task = values.reshape(-1, BLOCK_ROWS * WAYS), TaskContext.get().partitionId()
     for k in np.flatnonzero(blocks.any(axis=1)):
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blocks[k].tobytes()], pa.binary())], names=["block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([task], pa.int32()), pa.array([blocks[k].tobytes()], pa.binary())], BLOCKS_NAMES)
+
 
+def _values(data: bytes, kind: type) -> np.ndarray:
+    """A block's values; 16 bits are the upper half of a float."""
+    own = np.frombuffer(data, kind)
+    return (own.astype(np.uint32) << np.uint32(16)).view(np.float32) if kind is np.uint16 else own
 
-def _add_blocks(kind: type):
-    """Sums by block, one value held for each block of the partition."""
+
+def _add_blocks(kind: type, wide: type):
+    """Sums by block and group of tasks, one value held for each in the partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(data, kind)
-                sums[k] = sums[k] + own if k in sums else own
-        for k, own in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["block", "counts"])
+            for block, task, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = _values(data, kind)
+                if (block, task) in sums:
+                    sums[block, task] += own
+                else:
+                    sums[block, task] = own.astype(wide)
+        for (block, task), own in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([task], pa.int32()), pa.array([own.tobytes()], pa.binary())], BLOCKS_NAMES)
 
     return run
 
 
-def _summed(blocks: DataFrame, rows: int, kind: type = np.int32) -> np.ndarray:
-    """The sum of all tasks' count tables: as large as one of them, whatever the corpus."""
-    table = blocks.repartition("block").mapInArrow(_add_blocks(kind), "block int, counts binary").toArrow()
-    out = np.zeros((rows // BLOCK_ROWS, BLOCK_ROWS * WAYS), kind)
+def _summed(texts: DataFrame, tasks: int, work, rows: int, kind: type = np.int32, wide: type = np.int64) -> np.ndarray:
+    """The sum of all tasks' tables that ``work`` makes of the ``tasks`` partitions of ``texts``, in 64-bit values: as large as one of them, whatever the corpus."""
+    blocks = texts.mapInArrow(work, BLOCKS)
+    while True:
+        tasks = -(-tasks // FAN)
+        groups = blocks.withColumn("task", F.expr(f"task div {FAN}").cast("int"))
+        blocks = groups.repartition("block", "task").mapInArrow(_add_blocks(kind, wide), BLOCKS)
+        kind = wide
+        if tasks <= 1:
+            break
+    table = blocks.toArrow()
+    out = np.zeros((rows // BLOCK_ROWS, BLOCK_ROWS * WAYS), wide)
     for k, data in zip(table.column("block").to_pylist(), table.column("counts"), strict=True):
-        out[k] = np.frombuffer(data.as_buffer(), kind)
+        out[k] = np.frombuffer(data.as_buffer(), wide)
     return out.reshape(rows, WAYS)
 
 
@@ -273,62 +303,73 @@ def _log_share(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + SMOOTH) / (counts.sum(axis=-1, keepdims=True) + SMOOTH * WAYS)).astype(np.float32)
 
 
-def _expected(vocabulary, counts, weights):
-    """The counts that the model expects in all rows, hashed ones and then the tree's, over the tokens of a task."""
+def _gradient(vocabulary, counts, weights):
+    """What the model expects in the hashed rows and the root's row over the tokens of a task, less what is there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (hashed, tree), met, size = weights.value, counts.value.reshape(-1), 1024
-        out, places, indices = np.zeros(ALL_ROWS * WAYS, np.float32), np.arange(WAYS), np.arange(size)
+        (hashed, tree), met, size = weights.value, counts.value.reshape(-1), 4096
+        out, places, firsts = np.zeros(ALL_ROWS * WAYS, np.float32), np.arange(WAYS), np.arange(size) * WAYS
         sums, terms, cells, ones = np.empty((size, WAYS), np.float32), np.empty((size, WAYS), np.float32), np.empty((size, WAYS), np.int64), np.ones(WAYS, np.float32)
         for batch in batches:
             for _, _, tokens, starts in token_batches(batch.column(0)):
                 leaf = vocabulary.value.leaves(vocabulary.value.table.find(tokens))
                 rows, d, above = feature_rows(tokens, starts, leaf).astype(np.int64), digits(leaf), (leaf * 0, leaf >> 10, leaf >> 5)
+                # the token itself is left out of the rows it was counted in
+                without = [np.zeros(len(leaf), np.float32) for _ in range(LEVELS)]
+                for k, (level, _) in enumerate(TEMPLATES):
+                    cell = rows[k] * WAYS + d[level]
+                    c = met[cell]
+                    without[level] += np.float32(START) * np.log((c - np.float32(1 - SMOOTH)) / (c + np.float32(SMOOTH)))
+                    np.subtract.at(out, cell, np.float32(1))
+                out[ROWS * WAYS :][:WAYS] -= np.bincount(d[0], minlength=WAYS)
                 for lo in range(0, len(leaf), size):
                     part = slice(lo, lo + size)
                     n = len(leaf[part])
-                    total, term, cell, at = sums[:n], terms[:n], cells[:n], indices[:n]
+                    total, term, cell = sums[:n], terms[:n], cells[:n]
                     for level in range(LEVELS):
-                        own, templates = d[level][part], [k for k, t in enumerate(TEMPLATES) if t[0] == level]
+                        templates = [k for k, t in enumerate(TEMPLATES) if t[0] == level]
                         np.take(tree[level], above[level][part], axis=0, out=total, mode="clip")
                         for k in templates:
                             total += np.take(hashed, rows[k, part], axis=0, out=term, mode="clip")
-                            c = met[rows[k, part] * WAYS + own]
-                            total[at, own] += np.float32(START) * np.log((c - 1 + SMOOTH) / (c + SMOOTH)).astype(np.float32)  # the token itself
+                        total.reshape(-1)[firsts[:n] + d[level][part]] += without[level][part]
                         np.clip(total, -80, 80, out=total)
                         np.exp(total, out=total)
                         total /= (total @ ones)[:, None]
-                        for at_rows in (TREE_ROWS[level] + above[level][part], *(rows[k, part] for k in templates)):
-                            np.add((at_rows * WAYS)[:, None], places, out=cell)
+                        if level == 0:
+                            out[ROWS * WAYS :][:WAYS] += total.sum(axis=0)
+                        for k in templates:
+                            np.add((rows[k, part] * WAYS)[:, None], places, out=cell)
                             np.add.at(out, cell.reshape(-1), total.reshape(-1))
-        yield from _as_blocks(out.reshape(ALL_ROWS, WAYS))
+        yield from _as_blocks(out)
 
     return run
 
 
-def _step(weights: np.ndarray, counts: np.ndarray, expected: np.ndarray, features: int) -> None:
-    """One gradient update in place; ``features`` rows act on each token."""
+def _step(weights: np.ndarray, counts: np.ndarray, surplus: np.ndarray, features: int, share: float) -> None:
+    """One gradient update in place: ``surplus`` is expected less met in a ``share`` of the tokens; ``features`` rows act on each token."""
     for lo in range(0, len(weights), 1 << 13):
         part = slice(lo, lo + (1 << 13))
-        met, want = counts[part].astype(np.float32), expected[part]
-        weights[part] += np.clip((met - want) / (features * (met + want) / 2 + DAMPING), -LONGEST, LONGEST)
+        over = surplus[part].astype(np.float32)
+        size = np.maximum(counts[part].astype(np.float32) * np.float32(share) + over / 2, 0)
+        weights[part] -= np.clip(over / (features * size + np.float32(DAMPING * share)), -LONGEST, LONGEST)
 
 
-def fit_weights(texts: DataFrame, vocabulary, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Weights of the hashed rows and of the tree's rows; a round is one pass over all ``texts``, in a task for each core, as each task returns a whole table."""
+def fit_weights(texts: DataFrame, tasks: int, vocabulary, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Weights of the hashed rows and of the tree; each text is in the batch of one round. Below the root the tree's rows keep the logarithms they start from."""
     context, above = texts.sparkSession.sparkContext, tree_counts(vocabulary.value)
     hashed, tree = np.float32(START) * _log_share(counts), [np.float32(TREE_START) * _log_share(c) for c in above]
-    shared, whole = context.broadcast(counts), texts.coalesce(max(1, context.defaultParallelism))
-    for _ in range(rounds):
+    shared, share = context.broadcast(counts.astype(np.float32)), 1 / max(rounds, 1)
+    for k in range(rounds):
         state = context.broadcast((hashed, tree))
-        expected = _summed(whole.mapInArrow(_expected(vocabulary, shared, state), "block int, counts binary"), ALL_ROWS, np.float32)
+        batch = texts.where(F.pmod("draw", F.lit(rounds)) == k).select("text")
+        surplus = _summed(batch, tasks, _gradient(vocabulary, shared, state), ALL_ROWS, np.uint16, np.float64)
         state.unpersist()
         for level in range(LEVELS):
             templates = [k for k, t in enumerate(TEMPLATES) if t[0] == level]
             for k in templates:
                 own = slice(k << ROW_BITS, (k + 1) << ROW_BITS)
-                _step(hashed[own], counts[own], expected[own], 1 + len(templates))
-            _step(tree[level], above[level], expected[TREE_ROWS[level] : TREE_ROWS[level] + len(above[level])], 1 + len(templates))
+                _step(hashed[own], counts[own], surplus[own], 1 + len(templates), share)
+        _step(tree[0], above[0], surplus[ROWS : ROWS + 1], 1 + sum(t[0] == 0 for t in TEMPLATES), share)
     shared.unpersist()
     return hashed, tree
 
@@ -349,21 +390,24 @@ def count_words(training: DataFrame) -> DataFrame:
 
 def train(training: DataFrame, words: DataFrame) -> LanguageModel:
     """The model of the texts of ``training``, whose word counts are ``words``."""
-    context, texts = training.sparkSession.sparkContext, training.select("text")
+    context, texts = training.sparkSession.sparkContext, training.select("text", F.xxhash64("doc_id", "text").alias("draw"))
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("word")).first()
+    # each task gives whole tables: many small partitions share a task
+    tasks = min(texts.rdd.getNumPartitions(), max(context.defaultParallelism, int(totals[0]) // TASK_TOKENS + 1))
+    texts = texts.coalesce(max(1, tasks))
     top = words.orderBy(F.desc("n"), "word").limit(TOP_WORDS).toArrow()
     hashes, counts = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
     vocabulary = Vocabulary(WordTable(hashes), counts, np.zeros(0, np.int64), int(totals[0]), int(totals[1]))
     shared = context.broadcast(vocabulary)
-    company = _summed(texts.mapInArrow(_company(shared), "block int, counts binary"), LEAVES * 2 * ANCHORS // WAYS)
+    company = _summed(texts, tasks, _company(shared), LEAVES * 2 * ANCHORS // WAYS)
     shared.unpersist()
     leaf = assign_leaves(company.reshape(LEAVES, 2 * ANCHORS), len(hashes))
     vocabulary.leaf = np.concatenate((leaf, np.full(len(hashes) + 1 - len(leaf), TAIL)))[: len(hashes)].astype(np.int64)
     if not len(hashes):
         return LanguageModel(vocabulary, np.zeros((ROWS, WAYS), np.float32), [_log_share(c) for c in tree_counts(vocabulary)])
     shared = context.broadcast(vocabulary)
-    table = _summed(texts.mapInArrow(_count_features(shared), "block int, counts binary"), ROWS)
-    hashed, tree = fit_weights(texts, shared, table)
+    table = _summed(texts, tasks, _count_features(shared), ROWS)
+    hashed, tree = fit_weights(texts, tasks, shared, table)
     shared.unpersist()
     return LanguageModel(vocabulary, hashed, tree)
 
