@@ -1,7 +1,8 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products within cells, one vector kept of a group.
 
 Vectors are compared only within a label. Equal vectors of a label are compared once, with their number. Centres are
-fitted by spherical k-means on a bounded sample of the distinct vectors (``FIT_ROWS``). Every vector is at home in
+fitted by spherical k-means on a bounded sample of the distinct vectors (``FIT_ROWS``), one for about ``CELL_ROWS`` of
+them but ``LEAST_CELLS`` at least and ``MOST_CELLS`` at most. Every vector is at home in
 the cell of its nearest centre and a guest in each cell that could be the home of a vector it links with: by the
 angle between the vector and the plane that halves the way between two centres. The bound is exact, so every link
 of a vector is found in its home cell, and no link is lost at a cell's border.
@@ -34,8 +35,8 @@ from ferrolith.llm.common import materialize
 from ferrolith.llm.graph import connected_components
 
 THRESHOLD = 0.93
-#: Distinct vectors that the centres are fitted on, and vectors for each cell, about.
-FIT_ROWS, CELL_ROWS, MOST_CELLS = 20_000, 16_384, 1024
+#: Distinct vectors that the centres are fitted on, vectors for each cell, about, and bounds of the number of cells.
+FIT_ROWS, CELL_ROWS, LEAST_CELLS, MOST_CELLS = 32_768, 2048, 8, 4096
 ITERATIONS = 6
 #: Vectors on each side of one product, and rows that are multiplied in one step.
 BLOCK, STEP = 2048, 256
@@ -60,7 +61,7 @@ def fit_centres(distinct: DataFrame, dim: int, n: int, fit_rows: int = FIT_ROWS,
         return np.zeros((0, dim))
     units = _units(table.column("vector").combine_chunks(), dim)
     units = units[np.argsort(table.column("gid").to_numpy())]
-    k = max(1, min(MOST_CELLS, n // cell_rows, len(units)))
+    k = max(1, min(MOST_CELLS, max(LEAST_CELLS, n // cell_rows), len(units)))
     centres = units[np.random.default_rng(seed).permutation(len(units))[:k]].copy()
     for _ in range(ITERATIONS):
         near = (units @ centres.T).argmax(axis=1)
@@ -138,7 +139,7 @@ def _compare(threshold: float):
 def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = BLOCK, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Every row of ``vectors``: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<float>").alias("vector"))
+    rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("vector"))
     takes_part = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable(F.col("vector"))
     keyed = rows.select("vec_id", F.when(takes_part, F.col("label")).alias("label"), F.when(takes_part, F.col("vector")).alias("vector"))
     distinct = keyed.where(F.col("vector").isNotNull()).groupBy("label", "vector").agg(F.count("vec_id").alias("copies"), F.min("vec_id").alias("least"))
