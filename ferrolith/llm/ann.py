@@ -32,16 +32,16 @@ from pyspark.sql.window import Window
 from ferrolith.llm.common import materialize
 
 K = 20
-#: Rows of a shard and queries of a block, about: bounds of a task's memory.
-SHARD_ROWS, BLOCK_QUERIES = 8192, 4096
+#: Rows of a shard and queries of a block, about: bounds of a task's memory. The index is sent once for each block of queries.
+SHARD_ROWS, BLOCK_QUERIES = 8192, 32_768
 DEGREE, RANDOM_EDGES, ALPHA = 24, 6, 1.2
-BUILD_BEAM, BEAM = 48, 96
+BUILD_BEAM, BEAM = 48, 128
 ENTRIES = 24
 #: Points that are searched for or pruned in one step.
 STEP = 256
 FAR = np.float32(np.inf)
 
-INDEX_SCHEMA = "dim int, shard int, node int, ids array<bigint>, vector array<float>, edges array<int>"
+INDEX_SCHEMA = "dim int, shard int, node int, ids array<bigint>, vector array<double>, edges array<int>"
 
 
 def usable(vector: Column) -> Column:
@@ -162,7 +162,7 @@ def build_graph(points: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarr
     return edges, entries
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dim: int, kind=np.float32) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray | pa.Array, dim: int, kind=np.float64) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(-1, dim)
 
@@ -170,7 +170,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int, kind=np.float32) -> np
 def _augmented(vectors: np.ndarray) -> np.ndarray:
     """Vectors with one more coordinate, so that all have the greatest length: near is then a large inner product."""
     square = np.einsum("nd,nd->n", vectors, vectors, dtype=np.float64)
-    return np.concatenate((vectors, np.sqrt(np.maximum(square.max() - square, 0))[:, None].astype(np.float32)), axis=1)
+    return np.concatenate((vectors.astype(np.float32), np.sqrt(np.maximum(square.max() - square, 0))[:, None].astype(np.float32)), axis=1)
 
 
 def _build_shard(table: pa.Table) -> pa.Table:
@@ -180,7 +180,7 @@ def _build_shard(table: pa.Table) -> pa.Table:
     by = np.lexsort((*vectors.T[::-1], ids))
     by = by[np.concatenate(([True], ids[by][1:] != ids[by][:-1]))]  # one row for an id
     ids, vectors = ids[by], vectors[by]
-    _, first, point = np.unique(vectors + np.float32(0), axis=0, return_index=True, return_inverse=True)
+    _, first, point = np.unique(vectors + 0.0, axis=0, return_index=True, return_inverse=True)
     point = point.ravel()
     points = vectors[first]
     edges, entries = build_graph(_augmented(points))
@@ -191,7 +191,7 @@ def _build_shard(table: pa.Table) -> pa.Table:
     n = len(points)
     columns = [
         pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(n, dtype=np.int32) * 2 + is_entry),
-        pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[order])), _lists(points, pa.float32()), _lists(edges, pa.int32()),
+        pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[order])), _lists(points, pa.float64()), _lists(edges, pa.int32()),
     ]
     return pa.table(columns, names=["dim", "shard", "node", "ids", "vector", "edges"])
 
@@ -202,7 +202,7 @@ def _lists(matrix: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def _rows(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    found = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).cast("array<float>").alias("vector"))
+    found = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
     return found.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).select(F.size("vector").alias("dim"), "vec_id", "vector")
 
 
@@ -229,14 +229,14 @@ def _search_shard(k: int, beam: int):
         entries = np.flatnonzero(index.column("node").to_numpy() & 1).astype(np.int32)
         own, vectors = queries.column("query_id").to_numpy(), _matrix(queries.column("vector"), dim)
         space = _augmented(points)
-        targets = np.concatenate((vectors, np.zeros((len(vectors), 1), np.float32)), axis=1)
+        targets = np.concatenate((vectors, np.zeros((len(vectors), 1))), axis=1).astype(np.float32)
         width, found = min(beam, max(len(points), 1)), []
         for lo in range(0, len(targets), STEP):
             part = slice(lo, lo + STEP)
             near, far = beam_search(space, edges, targets[part], entries, width)
             q, c = np.nonzero((near >= 0) & (far < FAR))
             node = near[q, c]
-            score = np.einsum("kd,kd->k", points[node].astype(np.float64), vectors[part][q].astype(np.float64))
+            score = np.einsum("kd,kd->k", points[node], vectors[part][q])
             # a point stands for its ids, of which the k + 1 smallest can be in an answer
             many = np.minimum(offsets[node + 1] - offsets[node], k + 1)
             at = np.repeat(offsets[node], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
@@ -260,10 +260,10 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM, v
     least = Window.partitionBy("query_id").orderBy("dim")  # of ids with vectors of several lengths, the shortest
     rows = rows.withColumn("n", F.row_number().over(least)).where(F.col("n") == 1).drop("n")
     blocks = max(1, -(-rows.count() // block_queries))
-    shards = [r[0] for r in index.select("shard").distinct().collect()]
-    if not shards:
+    shards = index.agg(F.max("shard")).first()[0]
+    if shards is None:
         return index.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    asked = rows.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(8)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.array(*map(F.lit, shards))))
+    asked = rows.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(8)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards))))
     held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ["dim", "shard", "block"]
     found = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search_shard(k, beam), "query_id bigint, vec_id bigint, score double")
