@@ -16,13 +16,15 @@ TMP = "__fl_"
 def work_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` as the session names it.
 
-    Only where that is unset (local tests) a temporary folder is made and set.
+    Only a local session may leave that unset; a temporary folder is then made and set.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     existing = spark.sparkContext.getCheckpointDir()
     if not existing:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         existing = f"file://{tempfile.mkdtemp(prefix='ferrolith-')}"
         spark.sparkContext.setCheckpointDir(existing)
     return existing.rstrip("/")

@@ -4,7 +4,8 @@ Each language is a distribution over hashed byte n-grams, learned from labelled
 mixture: each of its words comes from one language, and expectation-maximisation over the words' n-gram
 likelihoods estimates the proportions. The set of languages is selected by penalised likelihood: sets of the
 1, 2, ... strongest languages, up to all of them, are fitted anew and the set with the best log-likelihood less a
-penalty for each language wins; the search ends where no larger set can win. The prediction is the language with the largest proportion and the score is that proportion.
+penalty for each language wins; the search ends where no larger set can win. The prediction is the language with the
+largest proportion in that set; the score is its proportion in the mixture of all languages, before the selection.
 
 Parameters: ``max_train_docs`` bounds the labelled rows that the n-gram tables are fitted on (chosen by a hash of
 the id, so that the choice does not depend on order); ``buckets`` and the number of labels bound the model.
@@ -30,7 +31,7 @@ from ferrolith.llm.common import TMP, fold, slices
 from ferrolith.llm.textvec import SPACE
 
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile("[A-Za-z]")
 
 BUCKET_BITS = 16
 MAX_TRAIN_DOCS = 20_000
@@ -107,8 +108,13 @@ def _fit(like: np.ndarray, shift: np.ndarray, weight: np.ndarray, counts: np.nda
     return share, np.add.reduceat(np.log(np.maximum(fit, 1e-30)) + shift, first)
 
 
-def mixtures(texts: list[str], model: LanguageModel, penalty: float = PENALTY) -> np.ndarray:
-    """Each text's proportions over the model's languages after the selection of its set; each text holds a letter."""
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; the pattern only saves time."""
+    return LETTER.search(text) is not None or any(map(str.isalpha, text))
+
+
+def mixtures(texts: list[str], model: LanguageModel, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's proportions over the model's languages, after the selection of its set and before; each text holds a letter."""
     buffer, ends = _buffer(texts)
     gram = ngram_buckets(buffer)
     space = buffer == 32
@@ -135,21 +141,21 @@ def mixtures(texts: list[str], model: LanguageModel, penalty: float = PENALTY) -
         value = fit - cost * size
         better = value > best_value
         best[:, better], best_value[better] = share[:, better], value[better]
-    return best.T
+    return best.T, full.T
 
 
 def predict_batch(texts: list[str | None], model: LanguageModel, penalty: float = PENALTY) -> tuple[list[str], np.ndarray]:
     """Predicted language and score of each text."""
     names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    known = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model.names else []
+    known = [i for i, t in enumerate(texts) if t and has_letter(t)] if model.names else []
     per_step = max(1 << 16, (4 << 20) // max(1, len(model.names)))
     for lo, hi in slices((4 * len(texts[i]) if not texts[i].isascii() else len(texts[i]) for i in known), per_step):
         part = known[lo:hi]
-        share = mixtures([texts[i] for i in part], model, penalty)
+        share, full = mixtures([texts[i] for i in part], model, penalty)
         top = share.argmax(axis=1)
         for i, t in zip(part, top, strict=True):
             names[i] = model.names[t]
-        scores[part] = share[np.arange(len(part)), top]
+        scores[part] = full[np.arange(len(part)), top]
     return names, np.clip(scores, 0, 1)
 
 
