@@ -6,15 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ferrolith.operators.storage import settle
+
 
 def average_ranks(rows: DataFrame, value: str, out: str) -> DataFrame:
     """1-based ranks of the whole column, ties sharing their mean.
 
-    Counts by value are ranked instead of rows: one task sorts the distinct values, not the table.
+    Counts by value are dealt to ranges of values; each range is ranked on its own, and starts after the rows of the
+    ranges before it. Only one number for each range is gathered.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(F.col(value).alias("r_value"), (before + (F.col("n") + 1) / 2.0).cast("double").alias(out))
+    ranged = settle(counts.repartitionByRange(value).withColumn("part", F.spark_partition_id()))
+    own = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ranged.groupBy("part").agg(F.max(value).alias("last"), F.sum("n").alias("total"))
+    bases = ends.select(F.col("part").alias("b_part"), F.coalesce(F.sum("total").over(Window.orderBy("last").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    placed = ranged.withColumn("before", own).join(F.broadcast(bases), F.col("part") == F.col("b_part"))
+    ranks = placed.select(F.col(value).alias("r_value"), (F.col("base") + F.col("before") + (F.col("n") + 1) / 2.0).cast("double").alias(out))
     return rows.join(ranks, F.col(value) == F.col("r_value"), "left").drop("r_value")
 
 
@@ -57,19 +64,31 @@ def collision_names(rows: DataFrame, name: str, month: str, key: str) -> DataFra
 def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Level of each node of a dependency graph: (node, wave), wave null for nodes in or behind a cycle.
 
-    ``edges`` are (node, needs). A node's wave is the longest way to it; the graph is small (a configuration).
+    ``edges`` are (node, needs). A node's wave comes after those of all it needs; a need that is no node is never met.
+    Each round settles one wave and is written as a checkpoint; rounds are as many as waves.
     """
-    spark = nodes.sparkSession
-    nodes.select("node").createOrReplaceTempView("wave_nodes")
-    edges.select("node", "needs").createOrReplaceTempView("wave_edges")
-    limit = nodes.count()
-    paths = spark.sql(f"""
-        with recursive path(node, wave) as (
-          select node, 0 from wave_nodes where node not in (select node from wave_edges)
-          union all
-          select e.node, p.wave + 1 from path p join wave_edges e on e.needs = p.node where p.wave < {limit}
-        ) select node, max(wave) as wave from path group by node""")
-    stuck = edges.join(paths.where(F.col("wave") < limit).select(F.col("node").alias("p_node")), F.col("needs") == F.col("p_node"), "left_anti").select("node").distinct()
-    joined = nodes.select("node").join(paths.withColumnRenamed("node", "p"), F.col("node") == F.col("p"), "left").drop("p")
-    marked = joined.join(stuck.withColumnRenamed("node", "s"), F.col("node") == F.col("s"), "left")
-    return marked.select("node", F.when(F.col("s").isNull() & (F.col("wave") < limit), F.col("wave")).alias("wave"))
+    left = nodes.select("node").distinct()
+    needs = edges.select(F.col("node").alias("of"), "needs").distinct()
+    done, wave = None, 0
+    while True:
+        open_needs = needs if done is None else needs.join(done.select(F.col("node").alias("needs")), "needs", "left_anti")
+        ready = left.join(open_needs, F.col("node") == F.col("of"), "left_anti").withColumn("wave", F.lit(wave))
+        ready = settle(ready)
+        if ready.isEmpty():
+            rest = left.withColumn("wave", F.lit(None).cast("int"))
+            return rest if done is None else done.unionByName(rest)
+        done = ready if done is None else done.unionByName(ready)
+        left, wave = left.join(ready.select("node"), "node", "left_anti"), wave + 1
+
+
+def first_matching(rows: DataFrame, predicate: Column, n: int, seed: int, key: str) -> DataFrame:
+    """The first ``n`` rows in a seeded order that satisfy ``predicate``: the shuffled scan of a sampler."""
+    return rows.where(predicate).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
+
+
+def redraw(drawn: DataFrame, failed: DataFrame, stratum: str, key: str) -> DataFrame:
+    """A stratified draw after some of its rows failed: reserves of the same stratum take their places, in order."""
+    lost = failed.select(F.col(key).alias("f_key")).distinct()
+    ok = drawn.join(lost, F.col(key) == F.col("f_key"), "left_anti")
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy("place"))
+    return ok.withColumn("place", place).where(F.col("place") <= F.col("seats")).withColumn("reserve", F.lit(False))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ferrolith.functions.identifiers import pid_format_ok
 from ferrolith.functions.values import strip
+from ferrolith.sources.resources import walk
 
 # Words that stand for nothing, and the least length of a real abstract.
 PLACEHOLDERS = ["todo", "tbd", "n/a", "na", "xxx", "string", "null", "none", "unknown"]
@@ -83,13 +84,14 @@ def dangling(rows: DataFrame, key: str, known: DataFrame, known_key: str) -> Dat
 
 
 def disagreeing(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Pairs of names that give one key different values, each pair once, without pairing names that agree.
+    """Values that names disagree on: a row for each pair of different values of a key, with the least name of each.
 
-    Every name meets only the first name of the key that differs from it, so a hot key makes no square.
+    Pairs are of values, not of names: a hot key with few values makes few rows. Membership is in ``rows`` itself.
     """
-    first = rows.groupBy(key).agg(F.min(F.struct(F.col(name).alias("n"), F.col(value).alias("v"))).alias("f"))
-    joined = rows.join(first, key)
-    return joined.where(F.col("f.v") != F.col(value)).select(key, F.col("f.n").alias("name_a"), F.col("f.v").alias("value_a"), F.col(name).alias("name_b"), F.col(value).alias("value_b"))
+    groups = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(name).alias("n"), F.count(F.lit(1)).alias("names"))
+    a = groups.select(F.col(key), F.col(value).alias("value_a"), F.col("n").alias("name_a"), F.col("names").alias("names_a"))
+    b = groups.select(F.col(key), F.col(value).alias("value_b"), F.col("n").alias("name_b"), F.col("names").alias("names_b"))
+    return a.join(b, key).where(F.col("value_a") < F.col("value_b"))
 
 
 def keys_outside(json: Column, allowed: list[str]) -> Column:
@@ -97,6 +99,13 @@ def keys_outside(json: Column, allowed: list[str]) -> Column:
     return F.array_except(F.coalesce(F.json_object_keys(json), F.array().cast("array<string>")), F.array(*map(F.lit, allowed)))
 
 
+def leaks(docs: DataFrame, key: str, json: str, allowed: list[str], forbidden: list[str]) -> DataFrame:
+    """Top-level keys outside ``allowed`` and ``forbidden`` keys at any depth: (key, name, path), each place once."""
+    inside = walk(docs, key, json).where(F.col("name").isNotNull())
+    top = ~F.contains("path", F.lit(".")) & ~F.contains("path", F.lit("[")) & ~F.col("name").isin(allowed)
+    return inside.where(top | F.col("name").isin(forbidden)).select(key, "name", "path")
+
+
 def retryable(status: Column, kind: Column) -> Column:
     """Whether a failed call is worth another: never for validation, always for rate limits, transport and server failures."""
     return F.when(kind == "validation", False).when(kind == "transport", True).otherwise(F.coalesce(status.isin(429, 500, 502, 503, 504), F.lit(False)))

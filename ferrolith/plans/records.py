@@ -33,7 +33,7 @@ def records_of(docs: DataFrame) -> DataFrame:
     file = F.struct(F.concat(F.lit("https://files.example.org/"), number, F.lit(".csv")).alias("url"), F.lit("CSV").alias("format"), (F.length("text") / 1000.0).cast("double").alias("size"), F.lit("kB").alias("unit"), F.md5("text").alias("checksum"))
     columns = {
         "name": F.when(rest(11) == 0, "").otherwise(F.concat(F.lit("Record "), number)),
-        "description": F.when(rest(7) == 0, "").otherwise(F.substring("text", 1, 80)),
+        "description": F.when(rest(7) == 0, "").otherwise(F.col("text")),
         "url": F.when(rest(5) == 0, "").otherwise(F.concat(F.lit("https://data.example.org/"), source, F.lit("/"), number)),
         "identifier": F.struct(F.when(has_doi, "DOI").otherwise("").alias("scheme"), F.when(has_doi, doi).otherwise("").alias("value"), F.when(has_doi, F.concat(F.lit("https://doi.org/"), doi)).otherwise("").alias("url")),
         "license": licenses,

@@ -12,7 +12,7 @@ from ferrolith.queries import query, table
 TODAY = "2026-01-02"
 
 #: The extractor's rules once more, in SQL.
-RECORD_SQL = """rec as (select doc_id as k, source, lang, case when doc_id % 11 = 0 then '' else 'Record ' || doc_id end as name, case when doc_id % 7 = 0 then '' else substr(text, 1, 80) end as description,
+RECORD_SQL = """rec as (select doc_id as k, source, lang, case when doc_id % 11 = 0 then '' else 'Record ' || doc_id end as name, case when doc_id % 7 = 0 then '' else text end as description,
   case when doc_id % 5 = 0 then '' else 'https://data.example.org/' || source || '/' || doc_id end as url, case when doc_id % 3 = 0 then '10.5555/rec.' || doc_id else '' end as doi, doc_id % 4 as lic,
   doc_id % 6 = 0 as no_creator, doc_id % 4 = 1 as two, doc_id % 3 = 1 as has_file, case when doc_id % 20 = 0 then '' else (1990 + doc_id % 30) || '-01-02' end as created, case when doc_id % 10 = 0 then '' else (2000 + doc_id % 25) || '-05' end as published,
   doc_id % 8 = 0 as no_keywords, case when doc_id % 9 <> 0 then 'Data Office ' || source end as publisher, text from documents)"""

@@ -18,9 +18,9 @@ def scl_03(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", names.normalize_org(F.expr(_NAMES)).alias("name"))
 
 
-@query("scl_01_fold_accents", "select doc_id, strip_accents(substr(text, 1, 200)) as folded from documents where text is not null")
+@query("scl_01_fold_accents", "select doc_id, strip_accents(text) as folded from documents where text is not null")
 def scl_01(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", names.fold_latin(F.substring("text", 1, 200)).alias("folded"))
+    return table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", names.fold_accents(F.col("text")).alias("folded"))
 
 
 @query("scl_04_publisher", "select s_suppkey, s_name as name from supplier")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Levels of nesting that a JSON text can have: Spark's own parser ends there, so no value is deeper.
+DEEPEST = 1000
 FIELDS = ["url", "title", "description", "doi", "fetched_content"]
 
 
@@ -20,14 +25,19 @@ def parse_resources(files: DataFrame, text: str = "value", path: str = "path") -
 
 
 def read_resources(spark: SparkSession, pattern: str) -> DataFrame:
-    """Files of a folder (``*.json`` there, not below), of a glob, or one file; nothing there: no rows."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(pattern)
-    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
-    if not found:
-        return parse_resources(spark.createDataFrame([], "value string, path string"))
-    files = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", "false").text(pattern, wholetext=True)
-    return parse_resources(files.select("value", F.col("_metadata.file_path").alias("path"))).orderBy("path")
+    """Files of a folder (``*.json`` there, not below), of a glob, or one file; nothing there: one row with an error.
+
+    ``path`` gives the order of the reference list; sort by it where order matters.
+    """
+    options = {"pathGlobFilter": "*.json", "recursiveFileLookup": "false"}
+    try:
+        files = spark.read.options(**options).text(pattern, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        missing = spark.createDataFrame([("{}", pattern)], "value string, path string")
+        return parse_resources(missing).withColumn("error", F.lit("not found"))
+    return parse_resources(files)
 
 
 def unwrap_attributes(v: Column) -> Column:
@@ -52,15 +62,21 @@ def coerced_list(text: Column, schema: StructType | str) -> Column:
     return F.when(F.schema_of_variant(v).startswith("ARRAY"), F.from_json(text, schema))
 
 
-def id_pairs(docs: DataFrame, key: str, json: str, id_key: str = "value", scheme_key: str = "scheme", depth: int = 6) -> DataFrame:
-    """Every object, at any depth up to ``depth``, that holds both an identifier and its scheme: (key, scheme, value, path)."""
-    level = docs.select(F.col(key), F.try_parse_json(F.col(json)).alias("v"), F.lit("").alias("path"))
-    found = None
-    for _ in range(depth):
-        get = lambda k: F.try_variant_get("v", f"$.{k}", "string")
-        here = level.where(get(id_key).isNotNull() & get(scheme_key).isNotNull()).select(key, get(scheme_key).alias("scheme"), get(id_key).alias("value"), "path")
-        found = here if found is None else found.unionByName(here)
-        level.createOrReplaceTempView("fl_walk")
-        step = docs.sparkSession.sql(f"select w.`{key}`, e.value as v, case when e.key is null then concat(w.path, '[', e.pos, ']') when w.path = '' then e.key else concat(w.path, '.', e.key) end as path from fl_walk w, lateral variant_explode(w.v) e")
-        level = step
-    return found
+def walk(docs: DataFrame, key: str, json: str) -> DataFrame:
+    """Every value inside a JSON text, at any depth: (key, path, name, v); ``name`` is the member's key, null for list items and the text itself."""
+    v = F.try_parse_json(F.col(json))
+    docs.select(F.col(key).alias("k"), v.alias("v")).createOrReplaceTempView(view := f"fl_walk_{uuid.uuid4().hex}")
+    found = docs.sparkSession.sql(f"""
+        with recursive w(k, path, name, v) max recursion level {DEEPEST} as (
+          select k, '', cast(null as string), v from {view}
+          union all
+          select w.k, case when e.key is null then concat(w.path, '[', e.pos, ']') when w.path = '' then e.key else concat(w.path, '.', e.key) end, e.key, e.value
+          from w, lateral variant_explode(w.v) e
+        ) select * from w""")
+    return found.withColumnRenamed("k", key)
+
+
+def id_pairs(docs: DataFrame, key: str, json: str, id_key: str = "value", scheme_key: str = "scheme") -> DataFrame:
+    """Every object, at any depth, that holds both an identifier and its scheme: (key, scheme, value, path)."""
+    get = lambda k: F.try_variant_get("v", f"$.{k}", "string")
+    return walk(docs, key, json).where(get(id_key).isNotNull() & get(scheme_key).isNotNull()).select(key, get(scheme_key).alias("scheme"), get(id_key).alias("value"), "path")

@@ -120,7 +120,7 @@ def test_resources_from_files(spark, tmp_path):
         (tmp_path / name).write_text(text)
     got = [(r.path.rsplit("/", 1)[1], r.url, r.error) for r in read_resources(spark, str(tmp_path)).collect()]
     assert got == [("a.json", "u", None), ("b.json", None, "not an object"), ("c.json", None, "not JSON")]
-    assert read_resources(spark, str(tmp_path / "none")).count() == 0
+    assert [r.error for r in read_resources(spark, str(tmp_path / "none")).collect()] == ["not found"]
     assert parse_resources(spark.createDataFrame([("{}", "x")], "value string, path string")).first().error is None
     assert one(spark, F.schema_of_variant(json_of(F.lit('say ```{"a": 1}``` so')))) == "OBJECT<a: BIGINT>"
     assert one(spark, coerced_list(F.lit('["a"]'), "array<string>")) == ["a"]
