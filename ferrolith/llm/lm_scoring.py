@@ -15,7 +15,7 @@ count the model expects there, and steps are scaled by those counts, so that row
 gain as much on held-out text as two passes over everything.)
 
 Tables of counts and gradients leave a task as blocks of rows and are summed by block in steps of at most ``FAN`` tasks'
-blocks, so no task reads more as the tasks grow in number; the driver gets one table, of a fixed size.
+blocks, so no task reads more as the tasks grow in number; the driver gets one table, of a fixed size. Sums are exact in 64 bits.
 
 Scoring runs over batches of whole texts in numpy: gather rows, add, normalise. Counts of the ``TOP_WORDS`` most
 frequent words are broadcast (a fixed bound); rarer words meet their counts in a join. A 64-bit hash stands for a word.
@@ -213,8 +213,8 @@ def _values(data: bytes, kind: type) -> np.ndarray:
     return (own.astype(np.uint32) << np.uint32(16)).view(np.float32) if kind is np.uint16 else own
 
 
-def _add_blocks(kind: type, wide: type):
-    """Sums by block and group of tasks, one value held for each in the partition."""
+def _add_blocks(kind: type, wide: type, out: type):
+    """Sums by block and group of tasks, one value held for each in the partition, added up as ``wide`` and given as ``out``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -226,26 +226,27 @@ def _add_blocks(kind: type, wide: type):
                 else:
                     sums[block, task] = own.astype(wide)
         for (block, task), own in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([task], pa.int32()), pa.array([own.tobytes()], pa.binary())], BLOCKS_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([task], pa.int32()), pa.array([own.astype(out).tobytes()], pa.binary())], BLOCKS_NAMES)
 
     return run
 
 
 def _summed(texts: DataFrame, tasks: int, work, rows: int, kind: type = np.int32, wide: type = np.int64) -> np.ndarray:
-    """The sum of all tasks' tables that ``work`` makes of the ``tasks`` partitions of ``texts``, in 64-bit values: as large as one of them, whatever the corpus."""
+    """The sum of all tasks' tables that ``work`` makes of the ``tasks`` partitions of ``texts``: added up in 64 bits, given as 32-bit floats, as large as one table."""
     blocks = texts.mapInArrow(work, BLOCKS)
     while True:
         tasks = -(-tasks // FAN)
+        out = np.float32 if tasks <= 1 else wide
         groups = blocks.withColumn("task", F.expr(f"task div {FAN}").cast("int"))
-        blocks = groups.repartition("block", "task").mapInArrow(_add_blocks(kind, wide), BLOCKS)
+        blocks = groups.repartition("block", "task").mapInArrow(_add_blocks(kind, wide, out), BLOCKS)
         kind = wide
         if tasks <= 1:
             break
-    table = blocks.toArrow()
-    out = np.zeros((rows // BLOCK_ROWS, BLOCK_ROWS * WAYS), wide)
-    for k, data in zip(table.column("block").to_pylist(), table.column("counts"), strict=True):
-        out[k] = np.frombuffer(data.as_buffer(), wide)
-    return out.reshape(rows, WAYS)
+    sums = np.zeros((rows // BLOCK_ROWS, BLOCK_ROWS * WAYS), np.float32)
+    for batch in blocks.select("block", "counts").toArrow().to_batches():
+        for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            sums[k] = np.frombuffer(data.as_buffer(), np.float32)
+    return sums.reshape(rows, WAYS)
 
 
 def assign_leaves(company: np.ndarray, n_words: int, iterations: int = 8) -> np.ndarray:
@@ -300,7 +301,9 @@ def tree_counts(vocabulary: Vocabulary) -> list[np.ndarray]:
 
 
 def _log_share(counts: np.ndarray) -> np.ndarray:
-    return np.log((counts + SMOOTH) / (counts.sum(axis=-1, keepdims=True) + SMOOTH * WAYS)).astype(np.float32)
+    counts = counts.astype(np.float32) + np.float32(SMOOTH)
+    counts /= counts.sum(axis=-1, keepdims=True)
+    return np.log(counts, out=counts)
 
 
 def _gradient(vocabulary, counts, weights):
@@ -349,8 +352,8 @@ def _step(weights: np.ndarray, counts: np.ndarray, surplus: np.ndarray, features
     """One gradient update in place: ``surplus`` is expected less met in a ``share`` of the tokens; ``features`` rows act on each token."""
     for lo in range(0, len(weights), 1 << 13):
         part = slice(lo, lo + (1 << 13))
-        over = surplus[part].astype(np.float32)
-        size = np.maximum(counts[part].astype(np.float32) * np.float32(share) + over / 2, 0)
+        over = surplus[part]
+        size = np.maximum(counts[part].astype(np.float32, copy=False) * np.float32(share) + over / 2, 0)
         weights[part] -= np.clip(over / (features * size + np.float32(DAMPING * share)), -LONGEST, LONGEST)
 
 
@@ -358,19 +361,19 @@ def fit_weights(texts: DataFrame, tasks: int, vocabulary, counts: np.ndarray, ro
     """Weights of the hashed rows and of the tree; each text is in the batch of one round. Below the root the tree's rows keep the logarithms they start from."""
     context, above = texts.sparkSession.sparkContext, tree_counts(vocabulary.value)
     hashed, tree = np.float32(START) * _log_share(counts), [np.float32(TREE_START) * _log_share(c) for c in above]
-    shared, share = context.broadcast(counts.astype(np.float32)), 1 / max(rounds, 1)
+    shared, share = context.broadcast(counts), 1 / max(rounds, 1)
     for k in range(rounds):
         state = context.broadcast((hashed, tree))
         batch = texts.where(F.pmod("draw", F.lit(rounds)) == k).select("text")
         surplus = _summed(batch, tasks, _gradient(vocabulary, shared, state), ALL_ROWS, np.uint16, np.float64)
-        state.unpersist()
+        state.destroy()
         for level in range(LEVELS):
             templates = [k for k, t in enumerate(TEMPLATES) if t[0] == level]
             for k in templates:
                 own = slice(k << ROW_BITS, (k + 1) << ROW_BITS)
                 _step(hashed[own], counts[own], surplus[own], 1 + len(templates), share)
         _step(tree[0], above[0], surplus[ROWS : ROWS + 1], 1 + sum(t[0] == 0 for t in TEMPLATES), share)
-    shared.unpersist()
+    shared.destroy()
     return hashed, tree
 
 
@@ -400,7 +403,7 @@ def train(training: DataFrame, words: DataFrame) -> LanguageModel:
     vocabulary = Vocabulary(WordTable(hashes), counts, np.zeros(0, np.int64), int(totals[0]), int(totals[1]))
     shared = context.broadcast(vocabulary)
     company = _summed(texts, tasks, _company(shared), LEAVES * 2 * ANCHORS // WAYS)
-    shared.unpersist()
+    shared.destroy()
     leaf = assign_leaves(company.reshape(LEAVES, 2 * ANCHORS), len(hashes))
     vocabulary.leaf = np.concatenate((leaf, np.full(len(hashes) + 1 - len(leaf), TAIL)))[: len(hashes)].astype(np.int64)
     if not len(hashes):
@@ -408,7 +411,7 @@ def train(training: DataFrame, words: DataFrame) -> LanguageModel:
     shared = context.broadcast(vocabulary)
     table = _summed(texts, tasks, _count_features(shared), ROWS)
     hashed, tree = fit_weights(texts, tasks, shared, table)
-    shared.unpersist()
+    shared.destroy()
     return LanguageModel(vocabulary, hashed, tree)
 
 
