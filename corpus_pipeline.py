@@ -50,7 +50,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-#: Mixture inference, fingerprints and the tokenizer are beyond SQL; a test holds every stage against brute force.
+#: Mixture inference, fingerprints and the tokenizer are beyond SQL; a test holds every stage, and run(), against plain Python.
 ORACLE_SQL = None
 
 
