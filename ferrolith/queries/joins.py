@@ -6,22 +6,52 @@ from pyspark.sql import functions as F
 
 from ferrolith.functions.names import normalize_org
 from ferrolith.operators import caching, matching
+from ferrolith.operators.validation import disagreeing
 from ferrolith.queries import query, table
 from ferrolith.sources import registries
 
 
-@query("win_01_top2_gap", """with c as (select a.s_suppkey as q, b.s_suppkey as c, 100.0 * (1 - levenshtein(a.s_name, b.s_name) / greatest(length(a.s_name), length(b.s_name))) as score, a.s_nationkey as hn, b.s_nationkey as cn from supplier a join supplier b on a.s_suppkey // 10 = b.s_suppkey // 10 and a.s_suppkey <> b.s_suppkey),
-n as (select *, score - case when hn <> cn then 15 else 0 end as adj from c where score >= 70), r as (select *, row_number() over w as p, lead(adj) over w as second from n window w as (partition by q order by adj desc, c))
-select q, c, round(adj, 6) as adjusted, case when adj < 80 then 'nomatch' when second is null or adj - second >= 5 then 'auto' else 'review' end as status from r where p = 1""")
+_NAME_PAIRS = """n as (select p_name as name, min(p_partkey) as id from part group by 1), w as (select *, unnest(string_split(name, ' ')) as word from n),
+pairs as (select distinct a.id as q, b.id as c, a.name as qn, b.name as cn from w a join w b using (word))"""
+
+
+def _part_names(spark, sf_dir):
+    return table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
+
+
+@query("join_04_candidates", f"with {_NAME_PAIRS} select qn as name_key, c as entry_id from pairs")
+def join_04(spark, sf_dir):
+    """Every pair of part names that share a word."""
+    names = _part_names(spark, sf_dir)
+    registry = names.select(F.col("id").alias("entry_id"), F.col("name").alias("entry_key"))
+    return matching.candidates(names.select(F.col("name").alias("name_key")), registry, most=4).select("name_key", "entry_id")
+
+
+@query("win_01_top2_gap", f"""with {_NAME_PAIRS}, s as (select q, c, 100.0 * (1 - levenshtein(qn, cn) / greatest(length(qn), length(cn))) - case when q % 5 <> c % 5 then 15 else 0 end as adj,
+  100.0 * (1 - levenshtein(qn, cn) / greatest(length(qn), length(cn))) as score from pairs where q <> c),
+r as (select *, row_number() over w as p, lead(adj) over w as second from s where score >= 40 window w as (partition by q order by adj desc, c))
+select q, c, round(adj, 6) as adjusted, case when adj < 50 then 'nomatch' when second is null or adj - second >= 5 then 'auto' else 'review' end as status from r where p = 1""")
 def win_01(spark, sf_dir):
-    """Best two with a gap, over an edit-distance score that SQL has too."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", F.floor(F.col("s_suppkey") / 10).alias("block"))
-    a, b = s.select("block", F.col("s_suppkey").alias("q"), F.col("s_name").alias("qn"), F.col("s_nationkey").cast("string").alias("hint")), s.select("block", F.col("s_suppkey").alias("c"), F.col("s_name").alias("cn"), F.col("s_nationkey").cast("string").alias("nation"))
-    scored = a.join(b, "block").where("q <> c").withColumn("score", matching.levenshtein_ratio(F.col("qn"), F.col("cn")))
-    best = matching.best_two_with_gap(scored, "q", "c", country="nation", hint="hint", threshold=80.0)
+    """Best two with a gap among all names that share a word, over an edit-distance score that SQL has too."""
+    names = _part_names(spark, sf_dir)
+    registry = names.select(F.col("id").alias("entry_id"), F.col("name").alias("entry_key"))
+    pairs = matching.candidates(names.select(F.col("name").alias("name_key")), registry)
+    asked = names.select(F.col("name").alias("a_name"), F.col("id").alias("q"), (F.col("id") % 5).cast("string").alias("hint"))
+    near = pairs.join(asked, F.col("name_key") == F.col("a_name")).where(F.col("q") != F.col("entry_id"))
+    scored = near.withColumns({"score": matching.levenshtein_ratio(F.col("name_key"), F.col("entry_key")), "c": F.col("entry_id"), "nation": (F.col("entry_id") % 5).cast("string")})
+    best = matching.best_two_with_gap(scored, "q", "c", country="nation", hint="hint", threshold=50.0)
     return best.select("q", "c", F.round("adjusted", 6).alias("adjusted"), "status")
 
 
+@query("val_19_disagreeing", """with g as (select s_nationkey as k, s_suppkey % 4 as v, min(s_name) as n, count(*) as c from supplier group by 1, 2)
+select a.k as nation, a.v as value_a, a.n as name_a, b.v as value_b, b.n as name_b, a.c + b.c as names from g a join g b on a.k = b.k and a.v < b.v""")
+def val_19(spark, sf_dir):
+    """Suppliers of a nation that give it different values."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 4).alias("value"), F.col("s_name").alias("name"))
+    found = disagreeing(rows, "nation", "value", "name")
+    return found.select("nation", "value_a", "name_a", "value_b", "name_b", (F.col("names_a") + F.col("names_b")).alias("names"))
+
+
 @query("join_02_resolve_organisations")
 def join_02(spark, sf_dir):
     """Messy supplier names against the suppliers as a registry, with overrides; weighted name score."""

@@ -22,7 +22,9 @@ def write_documents(documents: DataFrame, path: str, key: str) -> None:
 
 
 def markdown_table(rows: DataFrame, most: int = 200) -> str:
-    """A small result (at most ``most`` rows) as a Markdown table."""
-    found = rows.limit(most).collect()
+    """A small result as a Markdown table; more than ``most`` rows are an error, not a shorter table."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows")
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
     return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in found)]) + "\n"

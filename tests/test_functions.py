@@ -118,7 +118,7 @@ def test_cache_and_upsert(spark):
 def test_resources_from_files(spark, tmp_path):
     for name, text in (("a.json", '{"url": "u", "publisher": "p"}'), ("b.json", "[1]"), ("c.json", "{bad"), ("d.txt", "{}")):
         (tmp_path / name).write_text(text)
-    got = [(r.path.rsplit("/", 1)[1], r.url, r.error) for r in read_resources(spark, str(tmp_path)).collect()]
+    got = [(r.path.rsplit("/", 1)[1], r.url, r.error) for r in read_resources(spark, str(tmp_path)).sort("path").collect()]
     assert got == [("a.json", "u", None), ("b.json", None, "not an object"), ("c.json", None, "not JSON")]
     assert [r.error for r in read_resources(spark, str(tmp_path / "none")).collect()] == ["not found"]
     assert parse_resources(spark.createDataFrame([("{}", "x")], "value string, path string")).first().error is None
