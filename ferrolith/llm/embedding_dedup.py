@@ -36,7 +36,7 @@ from ferrolith.llm.graph import connected_components
 
 THRESHOLD = 0.93
 #: Distinct vectors that the centres are fitted on, vectors for each cell, about, and bounds of the number of cells.
-FIT_ROWS, CELL_ROWS, LEAST_CELLS, MOST_CELLS = 32_768, 2048, 8, 4096
+FIT_ROWS, CELL_ROWS, LEAST_CELLS, MOST_CELLS = 32_768, 16_384, 8, 4096
 ITERATIONS = 6
 #: Vectors on each side of one product, and rows that are multiplied in one step.
 BLOCK, STEP = 2048, 256
