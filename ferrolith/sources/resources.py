@@ -27,7 +27,7 @@ def parse_resources(files: DataFrame, text: str = "value", path: str = "path") -
 def read_resources(spark: SparkSession, pattern: str) -> DataFrame:
     """Files of a folder (``*.json`` there, not below), of a glob, or one file; nothing there: one row with an error.
 
-    ``path`` gives the order of the reference list; sort by it where order matters.
+    Rows come in no order; sort by ``path`` where order matters.
     """
     options = {"pathGlobFilter": "*.json", "recursiveFileLookup": "false"}
     try:
