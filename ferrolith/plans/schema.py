@@ -10,7 +10,7 @@ RECORD = {
     "name": "string", "description": "string", "url": "string", "identifier": "struct<scheme:string,value:string,url:string>",
     "license": "array<struct<name:string,url:string,identifier:string>>", "conditions": "array<struct<condition:string,date:string>>",
     "distribution": "array<struct<url:string,format:string,size:double,unit:string,checksum:string>>",
-    "kind": "string", "version": "string", "language": "string", "date_created": "string", "date_published": "string", "copyright_year": "string", "copyright_holder": "string",
+    "kind": "string", "version": "string", "language": "string", "date_created": "string", "date_published": "string", "date_accepted": "string", "date_submitted": "string", "other_languages": "array<string>", "copyright_year": "string", "copyright_holder": "string",
     "keywords": f"array<{TERM}>", "about": f"array<{TERM}>", "audience": "array<struct<audience:string,mediator:string,level:string,method:string>>",
     "creator": f"array<{ACTOR}>", "contributor": f"array<struct<role:string,actor:{ACTOR}>>", "publisher": ACTOR, "provider": f"array<{ACTOR}>",
     "funding": f"array<struct<name:string,identifier:string,funder:{ACTOR}>>", "citation": "array<string>",
@@ -26,4 +26,5 @@ CURIES = {
     "keywords": "schema:keywords", "about": "schema:about", "audience": "schema:audience", "creator": "schema:creator", "contributor": "schema:contributor", "publisher": "schema:publisher",
     "provider": "schema:provider", "copyright_holder": "schema:copyrightHolder", "copyright_year": "schema:copyrightYear", "funding": "schema:funding", "citation": "dcterms:bibliographicCitation",
     "spatial": "schema:spatialCoverage", "temporal": "schema:temporalCoverage", "technique": "schema:measurementTechnique", "derived_from": "prov:wasDerivedFrom",
+    "other_languages": "dcterms:language", "date_accepted": "dcterms:dateAccepted", "date_submitted": "dcterms:dateSubmitted",
 }

@@ -20,7 +20,7 @@ def _flat(array, *parts):
     return F.array_join(F.transform(array, lambda x: F.concat_ws("|", *[F.coalesce(x[p], F.lit("")) for p in parts])), ";")
 
 
-@query("dc_01_resource", f"""with {RECORD_SQL} select k as doc_id, case when doi <> '' then doi else url end as identifier, case when doi <> '' then 'DOI' when url <> '' then 'URL' else '' end as identifier_type, substr(published, 1, 4) as publication_year, 'Dataset' as resource_type, lang as language from rec""")
+@query("dc_01_resource", f"""with {RECORD_SQL} select k as doc_id, case when doi <> '' then doi else url end as identifier, case when doi <> '' then 'DOI' when url <> '' then 'URL' else '' end as identifier_type, substr(case when published <> '' then published else created end, 1, 4) as publication_year, 'Dataset' as resource_type, lang as language from rec""")
 def dc_01(spark, sf_dir):
     r = "resource."
     return _datacite(spark, sf_dir).select("doc_id", F.coalesce(r + "identifier", F.lit("")).alias("identifier"), r + "identifier_type", r + "publication_year", r + "resource_type", r + "language")
@@ -65,8 +65,8 @@ def cr_01(spark, sf_dir):
     return c.select("doc_id", "name", "description", F.array_join("license", ";").alias("license"), "url", "date_published", F.get("distribution", F.lit(0))["digest"].alias("digest"), F.array_join("warnings", ",").alias("warnings"))
 
 
-@query("dv_01_dataverse", f"""with {RECORD_SQL} select k as doc_id, case when name <> '' then name when doi <> '' then doi when url <> '' then url else 'Untitled resource' end as title, case when no_creator then '' else 'Ann ' || source || '|' || case when k % 2 = 0 then 'ORCID' else '' end || case when two then ';Office ' || lang || '|' else '' end end as authors,
-  coalesce(publisher, '') as contact_name, 'unknown@example.org' as contact_email, 'Other' as subject, case when no_keywords then '' else source || ';' || lang end as keywords, nullif(url, '') as alternative_url from rec""")
+@query("dv_01_dataverse", f"""with {RECORD_SQL} select k as doc_id, case when name <> '' then name when doi <> '' then doi else 'Untitled resource' end as title, case when no_creator then 'Unknown|' else 'Ann ' || source || '|' || case when k % 2 = 0 then 'ORCID' else '' end || case when two then ';Office ' || lang || '|' else '' end end as authors,
+  case when no_creator then 'Unknown' else 'Ann ' || source end as contact_name, 'unknown@example.org' as contact_email, 'Other' as subject, case when no_keywords then '' else source || ';' || lang end as keywords, case when url <> '' then url when doi <> '' then 'https://doi.org/' || doi end as alternative_url from rec""")
 def dv_01(spark, sf_dir):
     d = dataverse(records(spark, sf_dir))
     return d.select("doc_id", "title", _flat("author", "author_name", "identifier_scheme").alias("authors"), "contact_name", "contact_email", F.array_join("subject", ";").alias("subject"), F.array_join("keyword", ";").alias("keywords"), "alternative_url")
