@@ -158,3 +158,18 @@ def resource_block(fields: dict[str, Column]) -> Column:
 def email_in(text: Column) -> Column:
     """The first thing in a text that looks like an address of electronic mail, or null."""
     return F.nullif(F.regexp_extract(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0), F.lit(""))
+
+
+# What providers write when they refuse a key.
+REFUSALS = ["401", "unauthorized", "invalid api key", "incorrect api key", "no auth credentials", "authenticationerror"]
+
+
+def friendly_error(raw: Column, headline: str = "The API key was rejected: check it in the settings.") -> Column:
+    """An error for people: a refused key gets a headline before the provider's own words, anything else stays as it is."""
+    refused = F.exists(F.array(*map(F.lit, REFUSALS)), lambda mark: F.contains(F.lower(raw), mark))
+    return F.when(refused, F.concat(F.lit(f"{headline} ("), raw, F.lit(")"))).otherwise(raw)
+
+
+def scoring_form(text: Column) -> Column:
+    """A name as measures compare it: without space at the ends, in lower case, without Latin accents."""
+    return fold_latin(F.lower(strip(text)))

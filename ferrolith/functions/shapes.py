@@ -83,8 +83,13 @@ def total_tokens(prompt: Column, completion: Column, total: Column) -> Column:
 
 
 def display(values: Column) -> Column:
-    """A list for people: sorted and joined by commas, a dash for nothing."""
-    return F.coalesce(F.nullif(F.concat_ws(", ", F.array_sort(values)), F.lit("")), F.lit("-"))
+    """A set for people: sorted and joined by commas, ``(empty)`` for nothing."""
+    return F.coalesce(F.nullif(F.concat_ws(", ", F.array_sort(values)), F.lit("")), F.lit("(empty)"))
+
+
+def described(values: Column, found: Column, known: Column) -> Column:
+    """One side of a measure for a report: no file, no way to read the measure, and nothing in the file are told apart."""
+    return F.when(~found, "(file not found)").when(~known, "(no extractor for this metric)").otherwise(display(values))
 
 
 def duration(seconds: Column) -> Column:

@@ -157,3 +157,9 @@ def overlap_score(actual: Column, expected: Column) -> Column:
     total = F.size(F.array_union(a, e))
     score = (0.5 * F.size(F.array_intersect(a, e)) + 0.3 * F.size(F.array_except(a, e))) / F.greatest(total, F.lit(1))
     return F.when(a.isNull() | e.isNull(), 0.0).otherwise(score)
+
+
+def input_report(inputs: DataFrame, fetched: str = "fetched") -> DataFrame:
+    """One row (written, fetch_ok, fetch_failed, fallbacks) over minimal inputs and the pages fetched for them; a blank page is a failure."""
+    ok = F.coalesce(strip(F.col(fetched)), F.lit("")) != ""
+    return inputs.agg(F.count(F.lit(1)).alias("written"), F.count_if(ok).alias("fetch_ok"), F.count_if(~ok).alias("fetch_failed"), F.count_if("used_fallback").alias("fallbacks"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferrolith.functions.shapes import total_tokens
+
 
 def merge_fields(results: DataFrame, envelope: list[str] = ()) -> DataFrame:
     """One row (resource, field, kind, value, items) by field: lists are joined, of dicts the first filled value of each key stays, of scalars the last.
@@ -64,3 +66,11 @@ def overlay(base: DataFrame, other: DataFrame, key: str) -> DataFrame:
     """``base`` with every column that is not null in ``other`` written over it."""
     renamed = other.select([F.col(c).alias(f"o_{c}") for c in other.columns])
     return base.join(renamed, F.col(key) == F.col(f"o_{key}"), "left").select(*[F.coalesce(F.col(f"o_{c}"), F.col(c)).alias(c) if f"o_{c}" in renamed.columns and c != key else F.col(c) for c in base.columns])
+
+
+def usage_of_rounds(rounds: DataFrame, call: str) -> DataFrame:
+    """Tokens of each call over all its rounds of tool use; a round without a total counts its parts."""
+    total = total_tokens(F.col("prompt"), F.col("completion"), F.col("total"))
+    return rounds.groupBy(call).agg(
+        F.count(F.lit(1)).alias("rounds"), F.coalesce(F.sum("prompt"), F.lit(0)).alias("prompt"), F.coalesce(F.sum("completion"), F.lit(0)).alias("completion"), F.sum(total).alias("total")
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrolith.functions.values import first_filled
+from ferrolith.operators.storage import settle
 
 
 def without_deprecated(settings: Column, deprecated: list[str]) -> tuple[Column, Column]:
@@ -73,3 +74,24 @@ def restore_provider(agents: DataFrame, new: str, model: str) -> DataFrame:
     """The reverse of ``swap_provider``, for agents that still are as it left them."""
     same = F.col("former").isNotNull() & (F.col("provider") == new) & (F.col("model") == model)
     return agents.withColumns({"provider": F.when(same, F.col("former.provider")).otherwise(F.col("provider")), "model": F.when(same, F.col("former.model")).otherwise(F.col("model"))}).drop("former")
+
+
+def ancestors(needs: DataFrame) -> DataFrame:
+    """Everything a node needs, directly or through others: distinct (node, ancestor) out of (node, needs), cycles included.
+
+    Each round adds the pairs one step further away and is written as a checkpoint; a dependency graph is shallow.
+    """
+    steps = needs.select("node", F.col("needs").alias("ancestor")).distinct()
+    found = frontier = settle(steps)
+    onward = steps.select(F.col("node").alias("at"), F.col("ancestor").alias("next"))
+    while not frontier.isEmpty():
+        further = frontier.join(onward, F.col("ancestor") == F.col("at")).select("node", F.col("next").alias("ancestor")).distinct()
+        frontier = settle(further.join(found, ["node", "ancestor"], "left_anti"))
+        found = found.unionByName(frontier)
+    return found
+
+
+def context_problems(wanted: DataFrame, needs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Context fields (agent, field) that no agent before it gives: ``wanted`` and ``outputs`` are (agent, field), ``needs`` is (node, needs)."""
+    given = ancestors(needs).join(outputs, F.col("ancestor") == F.col("agent")).select(F.col("node").alias("agent"), "field").distinct()
+    return wanted.distinct().join(given, ["agent", "field"], "left_anti")

@@ -109,3 +109,9 @@ def leaks(docs: DataFrame, key: str, json: str, allowed: list[str], forbidden: l
 def retryable(status: Column, kind: Column) -> Column:
     """Whether a failed call is worth another: never for validation, always for rate limits, transport and server failures."""
     return F.when(kind == "validation", False).when(kind == "transport", True).otherwise(F.coalesce(status.isin(429, 500, 502, 503, 504), F.lit(False)))
+
+
+def merge_warning(gaps: dict[str, Column]) -> Column:
+    """Warning that names the required fields that are missing or empty after merging; null for none."""
+    missing = F.concat_ws(", ", *[F.when(F.coalesce(gap, F.lit(True)), F.lit(name)) for name, gap in gaps.items()])
+    return F.when(missing != "", F.concat(F.lit("missing required fields: "), missing))

@@ -80,3 +80,8 @@ def id_pairs(docs: DataFrame, key: str, json: str, id_key: str = "value", scheme
     """Every object, at any depth, that holds both an identifier and its scheme: (key, scheme, value, path)."""
     get = lambda k: F.try_variant_get("v", f"$.{k}", "string")
     return walk(docs, key, json).where(get(id_key).isNotNull() & get(scheme_key).isNotNull()).select(key, get(scheme_key).alias("scheme"), get(id_key).alias("value"), "path")
+
+
+def listed_objects(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, length, content) of the objects below a prefix or glob; empty objects, which stand for folders, are left out."""
+    return spark.read.format("binaryFile").load(pattern).where(F.col("length") > 0).select("path", "length", "content")

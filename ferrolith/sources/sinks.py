@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, IntegerType, LongType, StringType, StructType
 
 from ferrolith.plans.schema import CURIES
 
@@ -28,3 +30,31 @@ def markdown_table(rows: DataFrame, most: int = 200) -> str:
         raise ValueError(f"more than {most} rows")
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
     return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in found)]) + "\n"
+
+
+def write_with_export(documents: DataFrame, export: DataFrame, path: str, key: str) -> str | None:
+    """Documents below ``path/documents``, an export of them below ``path/export``: if only the export fails, its error is returned as a warning."""
+    write_documents(documents, f"{path}/documents", key)
+    try:
+        export.write.mode("errorifexists").parquet(f"{path}/export")
+    except PySparkException as e:
+        return f"export failed: {e.getCondition() or type(e).__name__}"
+    return None
+
+
+def append_results(rows: DataFrame, path: str, by: str) -> None:
+    """Results of one model after the other, each in its own part: a run that is repeated replaces its part, an interrupted one keeps the rest."""
+    rows.write.partitionBy(by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+#: JSON Schema names of Spark's types.
+_JSON_TYPES = {StringType: "string", DoubleType: "number", BooleanType: "boolean", LongType: "integer", IntegerType: "integer"}
+
+
+def json_schema(kind: DataType) -> dict:
+    """A JSON Schema for editors of files of this type; every member may be missing, none may be added."""
+    if isinstance(kind, StructType):
+        return {"type": "object", "properties": {f.name: json_schema(f.dataType) for f in kind.fields}, "additionalProperties": False}
+    if isinstance(kind, ArrayType):
+        return {"type": "array", "items": json_schema(kind.elementType)}
+    return {"type": _JSON_TYPES[type(kind)]}

@@ -84,7 +84,7 @@ def test_shapes_of_nothing(spark):
     assert [r.c4 for r in got] == [0] * 7 and got[1].c2 == "5" and {r.c5 for r in got} == {"{}"}
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(shapes.duration(F.lit(75))) == "1m 15s" and one(shapes.duration(F.lit(5.25))) == "5.3s"
-    assert one(shapes.display(F.array().cast("array<string>"))) == "-" and one(shapes.display(F.array(F.lit("b"), F.lit("a")))) == "a, b"
+    assert one(shapes.display(F.array().cast("array<string>"))) == "(empty)" and one(shapes.display(F.array(F.lit("b"), F.lit("a")))) == "a, b"
     assert one(evaluation.without_ignored(F.lit("{bad"))) == "{bad" and one(evaluation.overlap_score(F.lit("{bad"), F.lit("{}"))) == 0
 
 
@@ -125,3 +125,34 @@ def test_long_tables_are_errors(spark):
     assert markdown_table(spark.range(2)).count("\n") == 4
     with pytest.raises(ValueError):
         markdown_table(spark.range(3), most=2)
+
+
+def test_files_and_exports(spark, tmp_path):
+    from ferrolith.sources.resources import listed_objects
+    from ferrolith.sources.sinks import append_results, json_schema, write_with_export
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.bin").write_bytes(b"xy")
+    (tmp_path / "in" / "folder_mark").write_bytes(b"")
+    assert [(r.length, bytes(r.content)) for r in listed_objects(spark, f"file://{tmp_path}/in").collect()] == [(2, b"xy")]
+
+    docs = spark.createDataFrame([(1, "n")], "doc_id bigint, name string")
+    assert write_with_export(docs, docs, f"file://{tmp_path}/o", "doc_id") is None
+    (tmp_path / "p" / "export").mkdir(parents=True)
+    warning = write_with_export(docs, docs, f"file://{tmp_path}/p", "doc_id")
+    assert warning.startswith("export failed") and spark.read.text(f"file://{tmp_path}/p/documents").count() == 1
+
+    results = f"file://{tmp_path}/results"
+    for model, score in (("a", 1), ("b", 2), ("a", 3)):
+        append_results(spark.createDataFrame([(model, score)], "model string, score int"), results, "model")
+    assert sorted(tuple(r) for r in spark.read.parquet(results).select("model", "score").collect()) == [("a", 3), ("b", 2)]
+
+    made = json_schema(spark.sql("select 1L as n, array(named_struct('s', 'x', 'd', 1d)) as xs").schema)
+    assert made["properties"]["n"] == {"type": "integer"}
+    assert made["properties"]["xs"]["items"]["properties"] == {"s": {"type": "string"}, "d": {"type": "number"}}
+
+
+def test_ancestors_of_a_cycle(spark):
+    needs = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "b")], "node string, needs string")
+    assert sorted(tuple(r) for r in settings.ancestors(needs).collect()) == [("a", "a"), ("a", "b"), ("b", "a"), ("b", "b"), ("c", "a"), ("c", "b")]
+    assert settings.ancestors(needs.limit(0)).count() == 0
