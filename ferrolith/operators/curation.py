@@ -49,3 +49,8 @@ def write_overrides_yaml(overrides: DataFrame, path: str) -> None:
     head = overrides.sparkSession.createDataFrame([("overrides:", 0)], "value string, at int")
     rows = head.unionByName(overrides.select(item.alias("value"), F.lit(1).alias("at")))
     rows.coalesce(1).sortWithinPartitions("at", "value").select("value").write.mode("overwrite").text(path)
+
+
+def organisation_entries(mentions: DataFrame, name: str, file: str, identifier: str) -> DataFrame:
+    """One row (name, files, ids) for each organisation that files mention: in how many, and with how many different identifiers."""
+    return mentions.groupBy(name).agg(F.countDistinct(file).alias("files"), F.countDistinct(identifier).alias("ids"))

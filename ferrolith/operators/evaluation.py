@@ -163,3 +163,8 @@ def input_report(inputs: DataFrame, fetched: str = "fetched") -> DataFrame:
     """One row (written, fetch_ok, fetch_failed, fallbacks) over minimal inputs and the pages fetched for them; a blank page is a failure."""
     ok = F.coalesce(strip(F.col(fetched)), F.lit("")) != ""
     return inputs.agg(F.count(F.lit(1)).alias("written"), F.count_if(ok).alias("fetch_ok"), F.count_if(~ok).alias("fetch_failed"), F.count_if("used_fallback").alias("fallbacks"))
+
+
+def frequencies(rows: DataFrame, value: str) -> DataFrame:
+    """How often each value occurs: (value, n)."""
+    return rows.groupBy(value).agg(F.count(F.lit(1)).alias("n"))

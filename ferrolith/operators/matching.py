@@ -104,6 +104,18 @@ def candidates(names: DataFrame, registry: DataFrame, most: int = MOST_PER_WORD)
     return asked.join(dealt, ["word", "slice"]).select("name_key", "entry_id", "entry_key").distinct()
 
 
+def overridden(names: DataFrame, overrides: DataFrame) -> DataFrame:
+    """``names`` (name_key, country, ...) with entry_id: an override for the name in its country, else one for the name anywhere, else null.
+
+    ``overrides`` are (name_key, country, entry_id), at most one of a name and country.
+    """
+    o = overrides.select(F.col("name_key").alias("o_key"), F.upper("country").alias("o_country"), F.col("entry_id").alias("o_id"))
+    exact = o.where(F.col("o_country").isNotNull()).withColumnRenamed("o_id", "exact_id")
+    general = o.where(F.col("o_country").isNull()).select(F.col("o_key").alias("g_key"), F.col("o_id").alias("general_id"))
+    in_country = names.join(exact, (F.col("name_key") == F.col("o_key")) & (F.upper("country") == F.col("o_country")), "left")
+    return in_country.join(general, F.col("name_key") == F.col("g_key"), "left").withColumn("entry_id", F.coalesce("exact_id", "general_id")).select(*names.columns, "entry_id")
+
+
 def resolve_organisations(names: DataFrame, registry: DataFrame, overrides: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``names`` (name, country) to (name, country, entry_id, score, status, via).
 
@@ -114,11 +126,7 @@ def resolve_organisations(names: DataFrame, registry: DataFrame, overrides: Data
     if overrides is None:
         left, decided = asked, None
     else:
-        o = overrides.select(F.col("name_key").alias("o_key"), F.upper("country").alias("o_country"), F.col("entry_id").alias("o_id"))
-        exact = o.where(F.col("o_country").isNotNull()).withColumnRenamed("o_id", "exact_id")
-        general = o.where(F.col("o_country").isNull()).select(F.col("o_key").alias("g_key"), F.col("o_id").alias("general_id"))
-        tiers = asked.join(exact, (F.col("name_key") == F.col("o_key")) & (F.upper("country") == F.col("o_country")), "left").join(general, F.col("name_key") == F.col("g_key"), "left")
-        tiers = tiers.withColumn("entry_id", F.coalesce("exact_id", "general_id")).select("name", "country", "name_key", "entry_id")
+        tiers = overridden(asked, overrides)
         decided = tiers.where(F.col("entry_id").isNotNull()).select("name", "country", "entry_id", F.lit(100.0).alias("score"), F.lit("auto").alias("status"), F.lit("override").alias("via"))
         left = tiers.where(F.col("entry_id").isNull()).drop("entry_id")
     entries = registry.select("entry_id", F.col("country").alias("entry_country"), normalize_org(F.col("name")).alias("entry_key"))

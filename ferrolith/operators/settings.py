@@ -35,7 +35,7 @@ def upstream_context(agents: DataFrame, results: DataFrame) -> DataFrame:
     """What each agent may see of earlier results: (resource, agent, field, value) for the fields it declares in ``context``, successful and filled ones only."""
     wanted = agents.select("agent", F.explode("context").alias("w_field"))
     good = results.where(F.col("error").isNull() & F.col("value").isNotNull()).select("resource", "field", "value")
-    return good.join(F.broadcast(wanted), F.col("field") == F.col("w_field")).select("resource", "agent", "field", "value")
+    return good.join(wanted, F.col("field") == F.col("w_field")).select("resource", "agent", "field", "value")
 
 
 def used_by(agents: DataFrame, providers: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def apply_overrides(agents: DataFrame, overrides: DataFrame, providers: DataFram
     """Agents with the provider and model of their overrides (agent, provider, model); blanks, and providers that do not exist, change nothing."""
     known = providers.select(F.col("provider").alias("k_provider")).distinct()
     o = overrides.select(F.col("agent").alias("o_agent"), F.col("provider").alias("o_provider"), F.col("model").alias("o_model"))
-    o = o.join(F.broadcast(known), F.col("o_provider") == F.col("k_provider"), "left").withColumn("o_provider", F.col("k_provider")).drop("k_provider")
+    o = o.join(known, F.col("o_provider") == F.col("k_provider"), "left").withColumn("o_provider", F.col("k_provider")).drop("k_provider")
     joined = agents.join(o, F.col("agent") == F.col("o_agent"), "left")
     return joined.withColumns({"provider": F.coalesce("o_provider", "provider"), "model": F.coalesce(first_filled(F.col("o_model")), F.col("model"))}).drop("o_agent", "o_provider", "o_model")
 
@@ -95,3 +95,24 @@ def context_problems(wanted: DataFrame, needs: DataFrame, outputs: DataFrame) ->
     """Context fields (agent, field) that no agent before it gives: ``wanted`` and ``outputs`` are (agent, field), ``needs`` is (node, needs)."""
     given = ancestors(needs).join(outputs, F.col("ancestor") == F.col("agent")).select(F.col("node").alias("agent"), "field").distinct()
     return wanted.distinct().join(given, ["agent", "field"], "left_anti")
+
+
+def field_owners(declared: DataFrame, field: str, agent: str, order: str) -> DataFrame:
+    """The agent that owns each field: the last in ``order`` that declares it, of equals the greatest."""
+    last = declared.groupBy(field).agg(F.max(F.struct(order, agent)).alias("last"))
+    return last.select(field, F.col("last")[agent].alias(agent), F.col("last")[order].alias(order))
+
+
+def most_specific(rows: DataFrame, tiers: list[tuple[str, DataFrame]], default: Column, out: str) -> DataFrame:
+    """``rows`` with the setting of the first tier that has one. A tier is a column of ``rows`` and settings (key, value) for its values, one for each."""
+    joined, values = rows, []
+    for i, (column, given) in enumerate(tiers):
+        keyed = given.select(F.col("key").alias(f"t{i}_key"), F.col("value").alias(f"t{i}_value"))
+        joined = joined.join(keyed, F.col(column) == F.col(f"t{i}_key"), "left")
+        values.append(F.col(f"t{i}_value"))
+    return joined.select(*rows.columns, F.coalesce(*values, default).alias(out))
+
+
+def addable(pool: DataFrame, used: DataFrame, key: str) -> DataFrame:
+    """What a pool offers that is not in use yet, each once."""
+    return pool.select(key).distinct().join(used.select(F.col(key).alias("u_key")).distinct(), F.col(key) == F.col("u_key"), "left_anti")

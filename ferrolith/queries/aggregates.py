@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ferrolith.operators import evaluation, merging, validation
+from ferrolith.operators import curation, evaluation, merging, validation
 from ferrolith.queries import query, table
 
 
@@ -59,12 +59,12 @@ def agg_07(spark, sf_dir):
     """Organisations of several places in one list, with different identifiers and files."""
     c = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("file"), F.concat(F.lit("ror"), "c_nationkey").alias("id"))
     o = table(spark, sf_dir, "orders").select(F.concat(F.lit("Customer of "), "o_orderpriority").alias("name"), F.col("o_custkey").alias("file"), F.concat(F.lit("p"), (F.col("o_orderkey") % 4).cast("string")).alias("id"))
-    return c.unionByName(o).groupBy("name").agg(F.countDistinct("file").alias("files"), F.countDistinct("id").alias("ids"))
+    return curation.organisation_entries(c.unionByName(o), "name", "file", "id")
 
 
 @query("agg_12_freq", "select o_orderpriority as value, count(*) as n from orders group by 1")
 def agg_12(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value")
+    return evaluation.frequencies(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("value")), "value").orderBy(F.desc("n"), "value")
 
 
 @query("agg_13_exit", """select o_custkey as batch, case when count(*) filter (where o_orderstatus <> 'F') = 0 then 1 when count(*) filter (where o_orderstatus <> 'F') < count(*) or count(*) filter (where o_orderpriority like '1%') > 0 then 2 else 0 end as code from orders group by 1""")

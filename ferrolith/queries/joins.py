@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ferrolith.functions.names import normalize_org
-from ferrolith.operators import caching, matching
+from ferrolith.operators import caching, matching, settings
 from ferrolith.operators.validation import disagreeing
 from ferrolith.queries import query, table
 from ferrolith.sources import registries
@@ -66,11 +66,12 @@ def join_02(spark, sf_dir):
 @query("join_01_override", """select c_custkey, coalesce(case when c_custkey % 4 = 0 then 'exact-' || c_nationkey end, case when c_custkey % 2 = 0 then 'general' end) as entry from customer""")
 def join_01(spark, sf_dir):
     """Two tiers of overrides: name with country, then name alone."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 4 == 0, "a").when(F.col("c_custkey") % 2 == 0, "b").otherwise("c").alias("name_key"))
-    exact = table(spark, sf_dir, "nation").select(F.lit("a").alias("e_key"), F.col("n_nationkey").alias("e_nation"), F.concat(F.lit("exact-"), "n_nationkey").alias("exact"))
-    general = spark.createDataFrame([("a", "general"), ("b", "general")], "g_key string, general string")
-    joined = c.join(exact, (F.col("name_key") == F.col("e_key")) & (F.col("c_nationkey") == F.col("e_nation")), "left").join(general, F.col("name_key") == F.col("g_key"), "left")
-    return joined.select("c_custkey", F.coalesce("exact", "general").alias("entry"))
+    key = F.when(F.col("c_custkey") % 4 == 0, "a").when(F.col("c_custkey") % 2 == 0, "b").otherwise("c")
+    asked = table(spark, sf_dir, "customer").select("c_custkey", key.alias("name_key"), F.col("c_nationkey").cast("string").alias("country"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("country"))
+    in_country = nations.select(F.lit("a").alias("name_key"), "country", F.concat(F.lit("exact-"), "country").alias("entry_id"))
+    anywhere = spark.createDataFrame([("a", None, "general"), ("b", None, "general")], "name_key string, country string, entry_id string")
+    return matching.overridden(asked, in_country.unionByName(anywhere)).select("c_custkey", F.col("entry_id").alias("entry"))
 
 
 @query("join_05_combine", """with a as (select s_suppkey, case when s_suppkey % 3 <> 0 then 'ror' || s_suppkey end as ror, case when s_suppkey % 6 = 1 then 'i1' end as isni, case when s_suppkey % 3 <> 0 then 0.9 end as conf, case when s_suppkey % 3 <> 0 then 'ror' end as via, case when s_suppkey % 3 <> 0 then case when s_suppkey % 5 = 0 then 'review' else 'auto' end end as st,
@@ -124,16 +125,17 @@ def join_13(spark, sf_dir):
 @query("join_17_field_owner", """select event_type as field, user_id as agent, ts from (select event_type, user_id, ts, row_number() over (partition by event_type order by ts desc, user_id desc) as p from events) where p = 1""")
 def join_17(spark, sf_dir):
     """The last that declared a field owns it."""
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("field")).agg(F.max(F.struct("ts", "user_id")).alias("m")).select("field", F.col("m.user_id").alias("agent"), F.col("m.ts").alias("ts"))
+    declared = table(spark, sf_dir, "events").select(F.col("event_type").alias("field"), F.col("user_id").alias("agent"), "ts")
+    return settings.field_owners(declared, "field", "agent", "ts")
 
 
 @query("join_18_settings", """select s_suppkey, coalesce(case when s_suppkey % 5 = 0 then 50 end, case when s_nationkey % 2 = 0 then 20 end, 8) as workers from supplier""")
 def join_18(spark, sf_dir):
     """The most specific setting wins: model, provider, global."""
-    providers = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select("n_nationkey", F.lit(20).alias("by_provider"))
-    models = table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("m"), F.lit(50).alias("by_model"))
-    s = table(spark, sf_dir, "supplier")
-    return s.join(models, F.col("s_suppkey") == F.col("m"), "left").join(providers, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", F.coalesce("by_model", "by_provider", F.lit(8)).alias("workers"))
+    providers = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("key"), F.lit(20).alias("value"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    models = s.where("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("key"), F.lit(50).alias("value"))
+    return settings.most_specific(s, [("s_suppkey", models), ("s_nationkey", providers)], F.lit(8), "workers").select("s_suppkey", "workers")
 
 
 @query("set_04_upsert", """select s_suppkey, s_nationkey, 'new' as origin from supplier where s_suppkey % 3 = 0 union all select s_suppkey, s_nationkey, 'old' from supplier where s_suppkey % 2 = 0 and s_suppkey % 3 <> 0""")
@@ -145,9 +147,9 @@ def set_04(spark, sf_dir):
 @query("set_05_addable", "select p_brand as brand from part group by 1 having min(p_size) > 1 or count(*) < 3")
 def set_05(spark, sf_dir):
     """A pool without what is configured already."""
-    p = table(spark, sf_dir, "part")
-    used = p.groupBy("p_brand").agg(F.min("p_size").alias("m"), F.count(F.lit(1)).alias("n")).where("m <= 1 and n >= 3").select(F.col("p_brand").alias("u"))
-    return p.select(F.col("p_brand").alias("brand")).distinct().join(used, F.col("brand") == F.col("u"), "left_anti")
+    pool = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), "p_size")
+    used = pool.groupBy("brand").agg(F.min("p_size").alias("m"), F.count(F.lit(1)).alias("n")).where("m <= 1 and n >= 3")
+    return settings.addable(pool, used, "brand")
 
 
 @query("src_11_isni_xml", """select s_suppkey, i as isni, 'Name ' || i as name, 'org' as kind, 'https://isni.org/isni/' || i as uri from (select s_suppkey, unnest(['000' || s_suppkey, '111' || s_suppkey]) as i from supplier where s_suppkey % 3 <> 0)""")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ferrolith.functions import web
-from ferrolith.functions.values import strip
 from ferrolith.operators.validation import preflight
 from ferrolith.queries import query, table
+from ferrolith.sources.resources import needs_page
 from ferrolith.streaming.pages import event_windows
 
 #: Some pages get a country's domain or marks, so that every branch has rows.
@@ -120,8 +120,7 @@ def val_01(spark, sf_dir):
 def orc_02(spark, sf_dir):
     """Pages are fetched only for resources with an address and without content."""
     content, url = F.when(F.col("page_id") % 3 == 0, F.col("html")), F.when(F.col("page_id") % 3 != 2, F.col("url"))
-    wanted = (F.coalesce(strip(content), F.lit("")) == "") & (F.coalesce(strip(url), F.lit("")) != "")
-    return table(spark, sf_dir, "pages").groupBy(wanted.alias("wanted")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf_dir, "pages").groupBy(needs_page(content, url).alias("wanted")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("page_records", f"""with {_VARIED_SQL}, {_COUNTRY_SQL} select page_id, url, coalesce(by_html, by_url) as country, {_CLEAN_SQL} as description,

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ferrolith.functions.values import strip
+
 #: Levels of nesting that a JSON text can have: Spark's own parser ends there, so no value is deeper.
 DEEPEST = 1000
 FIELDS = ["url", "title", "description", "doi", "fetched_content"]
@@ -85,3 +87,9 @@ def id_pairs(docs: DataFrame, key: str, json: str, id_key: str = "value", scheme
 def listed_objects(spark: SparkSession, pattern: str) -> DataFrame:
     """(path, length, content) of the objects below a prefix or glob; empty objects, which stand for folders, are left out."""
     return spark.read.format("binaryFile").load(pattern).where(F.col("length") > 0).select("path", "length", "content")
+
+
+def needs_page(content: Column, url: Column) -> Column:
+    """Whether a resource's page is worth fetching: it has an address and no content yet."""
+    blank = lambda c: F.coalesce(strip(c), F.lit("")) == ""
+    return blank(content) & ~blank(url)
