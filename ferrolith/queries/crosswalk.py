@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ferrolith.plans.crosswalks import croissant, datacite, dataverse
+from ferrolith.plans.document import CONTEXT, PROFILES, envelope
+from ferrolith.plans.schema import CURIES, RECORD
 from ferrolith.queries import query
 from ferrolith.queries.documents import RECORD_SQL, TODAY, records
-from ferrolith.plans.document import envelope
 from ferrolith.sources.sinks import as_json
 
 
@@ -72,7 +75,50 @@ def dv_01(spark, sf_dir):
     return d.select("doc_id", "title", _flat("author", "author_name", "identifier_scheme").alias("authors"), "contact_name", "contact_email", F.array_join("subject", ";").alias("subject"), F.array_join("keyword", ";").alias("keywords"), "alternative_url")
 
 
-@query("snk_01_json")
+def _text(value):
+    """SQL for a text as JSON."""
+    return f"to_json({value})"
+
+
+def _members(**values):
+    """SQL for members with these values, which are SQL for JSON texts; members of null are left out."""
+    return "concat_ws(',', " + ", ".join(f"""'"{name}":' || {value}""" for name, value in values.items()) + ")"
+
+
+def _object(**values):
+    return f"'{{' || {_members(**values)} || '}}'"
+
+
+_ACTOR_REST = dict.fromkeys(("given", "family", "email"), "'\"\"'")
+_PERSON = _object(
+    kind="'\"Person\"'", name=_text("'Ann ' || source"), **_ACTOR_REST,
+    id_scheme=_text("case when k % 2 = 0 then 'ORCID' else '' end"), id_value=_text("case when k % 2 = 0 then '0000-0002-1825-0097' else '' end"), affiliation="'\"\"'",
+)
+_OFFICE = lambda name: _object(kind="'\"Organization\"'", name=_text(name), **_ACTOR_REST, id_scheme="'\"\"'", id_value="'\"\"'", affiliation="'\"\"'")
+_TERM = lambda name: _object(name=_text(name), scheme="'\"\"'", identifier="'\"\"'")
+_CC = """'{"name":"CC BY 4.0","url":"https://creativecommons.org/licenses/by/4.0/","identifier":"CC-BY-4.0"}'"""
+_OWN = _object(name=_text("'Terms of ' || source"), url="'\"\"'", identifier="'\"\"'")
+_FILE = _object(url=_text("'https://files.example.org/' || k || '.csv'"), format="'\"CSV\"'", size="(length(text) / 1000.0)::double::varchar", unit="'\"kB\"'", checksum=_text("md5(text)"))
+_IDENTIFIER = _object(scheme=_text("case when doi <> '' then 'DOI' else '' end"), value=_text("doi"), url=_text("case when doi <> '' then 'https://doi.org/' || doi else '' end"))
+_ENTRY = _object(
+    id=_text("id || '#metadata'"), type="'\"schema:Dataset\"'", additional_type="'\"dcat:CatalogRecord\"'", about=_text("id"), conforms_to=f"'{json.dumps(PROFILES, separators=(',', ':'))}'"
+)
+#: JSON of each column of a record, in SQL; the columns that the extractor leaves empty are not listed.
+_DOCUMENT = {
+    "id": _text("id"), "type": "'[\"schema:Dataset\"]'", "context": f"'{json.dumps(CONTEXT, separators=(',', ':'))}'", "date_modified": f"'\"{TODAY}\"'", "subject_of": _ENTRY,
+    "name": _text("name"), "identifier": _IDENTIFIER, "license": f"case lic when 0 then '[]' when 1 then '[' || {_CC} || ']' when 2 then '[' || {_OWN} || ']' else '[' || {_CC} || ',' || {_OWN} || ']' end",
+    "url": _text("url"), "distribution": f"case when has_file then '[' || {_FILE} || ']' else '[]' end", "description": _text("description"),
+    "kind": "case when k % 13 = 0 then '\"Report of things\"' else '\"Dataset\"' end", "language": _text("lang"), "date_created": _text("created"), "date_published": _text("published"),
+    "keywords": f"case when no_keywords then '[]' else '[' || {_TERM('source')} || ',' || {_TERM('lang')} || ']' end",
+    "creator": f"case when no_creator then '[]' when two then '[' || {_PERSON} || ',' || {_OFFICE("'Office ' || lang")} || ']' else '[' || {_PERSON} || ']' end",
+    "publisher": f"case when publisher is not null then {_OFFICE('publisher')} end",
+}
+_EMPTY = {c: "'[]'" if kind.startswith("array") else "'\"\"'" for c, kind in RECORD.items() if c not in _DOCUMENT}
+_NAMED = {name: (_DOCUMENT | _EMPTY)[c] for c, name in CURIES.items()} | {c: _EMPTY[c] for c in sorted(_EMPTY.keys() - CURIES.keys())}
+_WITH_ID = "d as (select *, case when doi <> '' then 'https://doi.org/' || doi else 'urn:ferrolith:' || sha256(k::varchar) end as id from rec)"
+
+
+@query("snk_01_json", f"with {RECORD_SQL}, {_WITH_ID} select k as doc_id, {_object(**_NAMED)} as json from d")
 def snk_01(spark, sf_dir):
     """Whole documents as linked data, in field order."""
     return as_json(envelope(records(spark, sf_dir), TODAY), "doc_id")

@@ -59,3 +59,13 @@ def win_12(spark, sf_dir):
     nodes = spark.createDataFrame([(x,) for x in "abcde"], "node string")
     edges = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("e", "a")], "node string, needs string")
     return ranking.waves(nodes, edges)
+
+
+@query("win_12_tree", """select n_nationkey as node, case when n_nationkey in (20, 21) then null when n_nationkey = 0 then 0 else length(bin(n_nationkey)) end::int as wave from nation""")
+def win_12_tree(spark, sf_dir):
+    """Nations in a tree, each needing the one with half its number; two of them also need each other, so that neither ever runs."""
+    k = F.col("n_nationkey").cast("bigint")
+    nations = table(spark, sf_dir, "nation")
+    tree = nations.where("n_nationkey > 0").select(k.alias("node"), F.floor(k / 2).cast("bigint").alias("needs"))
+    knot = nations.where("n_nationkey in (20, 21)").select(k.alias("node"), (41 - k).alias("needs"))
+    return ranking.waves(nations.select(k.alias("node")), tree.unionByName(knot))
