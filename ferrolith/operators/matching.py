@@ -93,7 +93,7 @@ def candidates(names: DataFrame, registry: DataFrame, most: int = MOST_PER_WORD)
     """All pairs of (name_key, entry_id, entry_key) that share a word.
 
     ``names`` has name_key; ``registry`` has entry_id, entry_key; both keys are normalised names. ``most`` bounds
-    slices, not candidates.
+    slices, not candidates. Names without a common word never meet, however alike their letters are.
     """
     words = lambda key: F.array_distinct(F.split(key, " "))
     entries = registry.select("entry_id", "entry_key", F.explode(words(F.col("entry_key"))).alias("word"))
