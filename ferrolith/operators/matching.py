@@ -1,12 +1,12 @@
 """Entity resolution: blocked candidates, scores, the best two with a gap, overrides and combined matches.
 
-Names are resolved once for the whole batch (``distinct_names``): the outcome depends on the name and the country
-only. Candidates meet through every shared word; the registry names of a frequent word are dealt into slices, and names
-meet each slice, so no block holds an unbounded part of the registry.
+Names are resolved once for the whole batch: the outcome depends on the name and the country only. Candidates are found by
+a set-similarity join over letter pairs that loses no pair over the threshold (``candidates``), and only they are scored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -18,8 +18,6 @@ from pyspark.sql.window import Window
 from ferrolith.functions.names import normalize_org
 
 THRESHOLD, GAP, COUNTRY_PENALTY, WINDOW = 90.0, 5.0, 15.0, 10.0
-#: Registry names in one slice of a blocking word, expected.
-MOST_PER_WORD = 500
 
 
 def levenshtein_ratio(a: Column, b: Column) -> Column:
@@ -29,17 +27,17 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
 
 
 def _ratio(a: str, b: str) -> float:
-    """Normalised similarity by the longest common subsequence, 0 to 100."""
+    """Normalised similarity by the longest common subsequence, 0 to 100: its row of the usual table is kept as the bits of one number."""
     if not a and not b:
         return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            up = row[j]
-            row[j] = left + 1 if x == y else max(up, row[j - 1])
-            left = up
-    return 200.0 * row[-1] / (len(a) + len(b))
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    every = rest = (1 << len(a)) - 1
+    for y in b:
+        same = rest & at.get(y, 0)
+        rest = (rest + same | rest - same) & every
+    return 200.0 * (len(a) - rest.bit_count()) / (len(a) + len(b))
 
 
 def _partial(a: str, b: str) -> float:
@@ -89,19 +87,79 @@ def best_two_with_gap(scored: DataFrame, query: str, order: str, score: str = "s
     return ranked.withColumn("status", status).drop("place", "second")
 
 
-def candidates(names: DataFrame, registry: DataFrame, most: int = MOST_PER_WORD) -> DataFrame:
-    """All pairs of (name_key, entry_id, entry_key) that share a word.
+def letter_pairs(key: Column) -> Column:
+    """The distinct pairs of neighbouring characters of a name between two spaces, each as a number: word order hardly matters to them."""
+    codes = F.transform(F.filter(F.split(F.concat(F.lit(" "), key, F.lit(" ")), ""), lambda c: c != ""), F.ascii)
+    heads = F.slice(codes, F.lit(1), F.size(codes) - 1)
+    return F.array_distinct(F.transform(heads, lambda c, i: c.cast("bigint") * (1 << 21) + F.get(codes, i + 1)))
 
-    ``names`` has name_key; ``registry`` has entry_id, entry_key; both keys are normalised names. ``most`` bounds
-    slices, not candidates. Names without a common word never meet, however alike their letters are.
+
+def letters(key: Column) -> Column:
+    """The characters of a name, each with how often it stood before, as numbers: what two names share of them bounds their common subsequence."""
+    codes = F.array_sort(F.transform(F.filter(F.split(key, ""), lambda c: c != ""), F.ascii))
+    return F.transform(codes, lambda c, i: (i - F.array_position(codes, c) + 1).cast("bigint") * (1 << 21) + c)
+
+
+def alike(a: Column, b: Column, x: Column, y: Column, shared_letters: Column, threshold: float = THRESHOLD) -> Column:
+    """Whether ``weighted_ratio`` of names a and b, of letter pairs x and y, can reach ``threshold``: names of like length are few edits apart,
+    or the one with fewer pairs shares nearly all of them with the other, in whatever order the words are; of others, the shorter is part of the
+    longer, at most eight times as long."""
+    few, many = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    lost = F.least(F.size(x), F.size(y)) - F.size(F.array_intersect(x, y))
+    edits = F.floor((F.length(a) + F.length(b)) * F.lit(round(1 - threshold / 100, 9)))
+    apart = F.length(a) + F.length(b) - 2 * shared_letters
+    close = (lost <= F.floor(few * F.lit(lost_share(threshold)))) & (apart <= edits) & (F.levenshtein(a, b) <= edits)
+    shared = (lost <= F.floor(few * F.lit(lost_share(100 * threshold / 95))) + 1) | close  # likeness of words in any order counts 95 of 100
+    part = F.when(F.length(a) <= F.length(b), F.contains(b, a)).otherwise(F.contains(a, b))
+    return F.when(many < 1.5 * few, shared).otherwise((many < 8 * few) & part)
+
+
+def lost_share(threshold: float) -> float:
+    """Letter pairs that a name can lose, for each of its characters, while its likeness stays at ``threshold``.
+
+    A likeness of t allows (1 - t) insertions and deletions for each character of both names; of two names of one
+    length half are deletions, which cost two pairs each, and half insertions, which cost one.
     """
-    words = lambda key: F.array_distinct(F.split(key, " "))
-    entries = registry.select("entry_id", "entry_key", F.explode(words(F.col("entry_key"))).alias("word"))
-    slices = entries.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / most).alias("slices"))
-    dealt = entries.join(slices, "word").select("word", F.pmod(F.xxhash64("entry_id", "entry_key"), F.col("slices")).alias("slice"), "entry_id", "entry_key")
-    asked = names.select("name_key", F.explode(words(F.col("name_key"))).alias("word")).join(slices, "word")
-    asked = asked.select("name_key", "word", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("slice"))
-    return asked.join(dealt, ["word", "slice"]).select("name_key", "entry_id", "entry_key").distinct()
+    return round(3 * (1 - threshold / 100), 9)
+
+
+def candidates(names: DataFrame, registry: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """All pairs of (name_key, entry_id, entry_key) that are ``alike``: every pair whose ``weighted_ratio`` reaches ``threshold`` is among them.
+
+    ``names`` has name_key; ``registry`` has entry_id, entry_key; both keys are normalised names; empty ones meet nothing, and names of one
+    character are found inside longer ones only as words. Thresholds must be over 85.5, where any shared word would do.
+
+    A set-similarity join with prefix filtering: letter pairs are put in order of rarity over all names; a name that may lose n of its
+    pairs shares one of its n + 1 rarest with each of its partners, so only these are looked up, among all pairs
+    of names that have as many or more. What meets is checked in generated code. Work follows the rare pairs, not
+    a word that half of the registry has.
+    """
+    if threshold <= 85.5:
+        raise ValueError("candidates cover likenesses over 85.5")
+    sides = [df.select(F.col(c).alias("key")).where(F.col("key") != "").distinct() for df, c in ((names, "name_key"), (registry, "entry_key"))]
+    held = [df.select("key", F.explode(letter_pairs(F.col("key"))).alias("pair")) for df in sides]
+    often = held[0].unionByName(held[1]).groupBy("pair").agg(F.count(F.lit(1)).alias("often"))
+    by_rarity = F.transform(F.array_sort(F.collect_list(F.struct("often", "pair"))), lambda x: x["pair"])
+    ranked = [h.join(often, "pair").groupBy("key").agg(by_rarity.alias("pairs")) for h in held]
+    least = (F.greatest(F.floor(F.length("key") * F.lit(lost_share(threshold))), F.floor(F.length("key") * F.lit(lost_share(100 * threshold / 95))) + 1, F.lit(2)) + 1).cast("int")
+    # few rows become many below: spread over all tasks by number, which adaptive execution leaves as it is
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = [r.select("key", "pairs", F.slice("pairs", F.lit(1), least).alias("few"), letters(F.col("key")).alias("letters")).repartition(tasks) for r in ranked]
+    under = lambda df, c, p: df.select(F.col("key").alias(f"{p}_key"), F.col("pairs").alias(p), F.col("few").alias(f"{p}_few"), F.col("letters").alias(f"{p}_letters"), F.posexplode(c).alias(f"{p}_rank", f"{p}_pair"))
+    in_length = F.greatest(F.length("a_key"), F.length("b_key")) < 8 * F.least(F.length("a_key"), F.length("b_key"))
+    like = F.greatest(F.length("a_key"), F.length("b_key")) < 1.5 * F.least(F.length("a_key"), F.length("b_key"))
+    met = []
+    for looked_up, in_all, order in (("a", "b", F.size("a") <= F.size("b")), ("b", "a", F.size("a") > F.size("b"))):
+        sets = {looked_up: under(few["ab".index(looked_up)], "few", looked_up), in_all: under(few["ab".index(in_all)], "pairs", in_all)}
+        # of names of like length, the longer shares one of its rarest, too
+        early = ~like | (F.col(f"{in_all}_rank") <= F.size(in_all) - F.size(looked_up) + F.size(f"{looked_up}_few"))
+        # each pair of names once: where they meet in the first of all the letter pairs that they meet in
+        first = F.get(F.array_intersect(f"{looked_up}_few", in_all), 0) == F.col(f"{looked_up}_pair")
+        met.append(sets["a"].join(sets["b"], (F.col("a_pair") == F.col("b_pair")) & order & in_length & early & first).select("a_key", "b_key", "a", "b", "a_letters", "b_letters"))
+    shared_letters = F.size(F.array_intersect("a_letters", "b_letters"))
+    pairs = met[0].unionByName(met[1]).where(alike(F.col("a_key"), F.col("b_key"), F.col("a"), F.col("b"), shared_letters, threshold))
+    entries = registry.select("entry_id", "entry_key")
+    return pairs.join(entries, F.col("b_key") == F.col("entry_key")).select(F.col("a_key").alias("name_key"), "entry_id", "entry_key")
 
 
 def overridden(names: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -116,6 +174,13 @@ def overridden(names: DataFrame, overrides: DataFrame) -> DataFrame:
     return in_country.join(general, F.col("name_key") == F.col("g_key"), "left").withColumn("entry_id", F.coalesce("exact_id", "general_id")).select(*names.columns, "entry_id")
 
 
+def scored_candidates(names: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, score: Callable[[Column, Column], Column] = name_score) -> DataFrame:
+    """(name_key, entry_id, score) of the candidates; each pair of different keys is scored once, however many entries share a key."""
+    keys = entries.select(F.col("entry_key").alias("entry_id"), "entry_key").distinct()
+    pairs = candidates(names.select("name_key").distinct(), keys, threshold).withColumn("score", score(F.col("name_key"), F.col("entry_key"))).where(F.col("score") >= threshold - WINDOW)
+    return pairs.select("name_key", "entry_key", "score").join(entries.select("entry_id", "entry_key"), "entry_key").select("name_key", "entry_id", "score")
+
+
 def resolve_organisations(names: DataFrame, registry: DataFrame, overrides: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``names`` (name, country) to (name, country, entry_id, score, status, via).
 
@@ -130,8 +195,7 @@ def resolve_organisations(names: DataFrame, registry: DataFrame, overrides: Data
         decided = tiers.where(F.col("entry_id").isNotNull()).select("name", "country", "entry_id", F.lit(100.0).alias("score"), F.lit("auto").alias("status"), F.lit("override").alias("via"))
         left = tiers.where(F.col("entry_id").isNull()).drop("entry_id")
     entries = registry.select("entry_id", F.col("country").alias("entry_country"), normalize_org(F.col("name")).alias("entry_key"))
-    pairs = candidates(left.select("name_key").distinct(), entries).withColumn("score", name_score("name_key", "entry_key")).where(F.col("score") >= threshold - WINDOW)
-    scored = left.join(pairs, "name_key").join(entries.select("entry_id", "entry_country"), "entry_id")
+    scored = left.join(scored_candidates(left, entries, threshold), "name_key").join(entries.select("entry_id", "entry_country"), "entry_id")
     keyed = scored.withColumn("query", F.struct("name", "country"))
     best = best_two_with_gap(keyed, "query", "entry_id", country="entry_country", hint="country", threshold=threshold)
     found = best.select("name", "country", F.when(F.col("status") != "nomatch", F.col("entry_id")).alias("entry_id"), F.col("adjusted").alias("score"), "status", F.lit("registry").alias("via"))

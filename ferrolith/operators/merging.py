@@ -16,19 +16,21 @@ from ferrolith.functions.shapes import total_tokens
 def merge_fields(results: DataFrame, envelope: list[str] = ()) -> DataFrame:
     """One row (resource, field, kind, value, items) by field: lists are joined, of dicts the first filled value of each key stays, of scalars the last.
 
-    A field's kind is that of its last result; errors, results without a value and envelope fields are passed over.
+    Keys of dicts are aggregated one by one, each from its first filled value on. A field's kind is that of its last result; errors, results without a value and envelope fields are passed over.
     """
     given = F.col("error").isNull() & (F.col("value").isNotNull() | F.col("items").isNotNull()) & ~F.col("field").isin(*envelope)
-    rows = results.where(given).groupBy("resource", "field").agg(
-        F.max_by("kind", "ord").alias("kind"), F.max_by("value", "ord").alias("last"),
-        F.array_sort(F.collect_list(F.struct("ord", "kind", "items"))).alias("parts"),
-    )
-    own = F.filter("parts", lambda p: p["kind"] == F.col("kind"))
-    joined = F.flatten(F.transform(own, lambda p: p["items"]))
-    filled = F.filter(joined, lambda x: F.coalesce(x["value"], F.lit("")) != "")
-    keys = F.array_distinct(F.transform(joined, lambda x: x["key"]))
-    first = F.transform(keys, lambda k: F.struct(k.alias("key"), F.coalesce(F.get(F.filter(filled, lambda x: x["key"] == k), 0)["value"], F.lit("")).alias("value")))
-    return rows.select("resource", "field", "kind", F.when(F.col("kind") == "scalar", F.col("last")).alias("value"), F.when(F.col("kind") == "list", joined).when(F.col("kind") == "dict", first).alias("items"))
+    rows = results.where(given).select("resource", "field", "ord", "kind", "value", "items")
+    last = rows.groupBy("resource", "field").agg(F.max_by("kind", "ord").alias("l_kind"), F.max_by("value", "ord").alias("last"))
+    parts = rows.join(last.select(F.col("resource").alias("l_resource"), F.col("field").alias("l_field"), "l_kind"), F.col("resource").eqNullSafe(F.col("l_resource")) & (F.col("field") == F.col("l_field")) & (F.col("kind") == F.col("l_kind")))
+    items = parts.select("resource", "field", "kind", "ord", F.posexplode("items").alias("pos", "item")).select("*", "item.key", "item.value", F.struct("ord", "pos").alias("at"))
+    filled = F.when(F.coalesce(F.col("value"), F.lit("")) != "", F.struct("at", "value"))
+    by_key = items.where(F.col("kind") == "dict").groupBy("resource", "field", "key").agg(F.min("at").alias("at"), F.coalesce(F.min(filled)["value"], F.lit("")).alias("value"))
+    each = items.where(F.col("kind") == "list").select("resource", "field", "at", "key", "value").unionByName(by_key, allowMissingColumns=True)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "key", "value"))), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
+    joined = each.groupBy(F.col("resource").alias("i_resource"), F.col("field").alias("i_field")).agg(ordered.alias("items"))
+    whole = last.join(joined, F.col("resource").eqNullSafe(F.col("i_resource")) & (F.col("field") == F.col("i_field")), "left")
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    return whole.select("resource", "field", F.col("l_kind").alias("kind"), F.when(F.col("l_kind") == "scalar", F.col("last")).alias("value"), F.when(F.col("l_kind") != "scalar", F.coalesce("items", none)).alias("items"))
 
 
 def usage_by_call(results: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Level of each node of a dependency graph: (node, wave), wave null for nodes in or behind a cycle.
 
     ``edges`` are (node, needs). A node's wave comes after those of all it needs; a need that is no node is never met.
-    Each round settles one wave and is written as a checkpoint; rounds are as many as waves.
+    Each round settles one wave, what is done and what is left, as checkpoints: plans do not grow. Rounds are as many as waves.
     """
     left = nodes.select("node").distinct()
     needs = edges.select(F.col("node").alias("of"), "needs").distinct()
@@ -77,8 +77,8 @@ def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if ready.isEmpty():
             rest = left.withColumn("wave", F.lit(None).cast("int"))
             return rest if done is None else done.unionByName(rest)
-        done = ready if done is None else done.unionByName(ready)
-        left, wave = left.join(ready.select("node"), "node", "left_anti"), wave + 1
+        done = ready if done is None else settle(done.unionByName(ready))
+        left, wave = settle(left.join(ready.select("node"), "node", "left_anti")), wave + 1
 
 
 def first_matching(rows: DataFrame, predicate: Column, n: int, seed: int, key: str) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ferrolith.functions.values import first_filled
 from ferrolith.operators.storage import settle
 
+#: Variables of an environment that ``expand_variables`` takes.
+MOST_VARIABLES = 1_000
+
 
 def without_deprecated(settings: Column, deprecated: list[str]) -> tuple[Column, Column]:
     """A map of settings without its deprecated keys, and a warning for each that was there."""
@@ -16,14 +19,20 @@ def without_deprecated(settings: Column, deprecated: list[str]) -> tuple[Column,
     return kept, warnings
 
 
-def expand_variables(text: Column, variables: DataFrame, rows: DataFrame, out: str) -> DataFrame:
-    """``rows`` with ``${NAME}`` in a text replaced by the variables' values (name, value); a name that is not set becomes nothing. Variables are few."""
-    table = F.broadcast(variables.agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("variables")))
+def expand_variables(text: Column, variables: DataFrame, rows: DataFrame, out: str, most: int = MOST_VARIABLES) -> DataFrame:
+    """``rows`` with ``${NAME}`` in a text replaced by the variables' values (name, value); a name that is not set becomes nothing.
+
+    Variables are those of one environment and go into the plan as a map; more than ``most`` are an error.
+    """
+    given = variables.limit(most + 1).collect()
+    if len(given) > most:
+        raise ValueError(f"more than {most} variables")
+    table = F.create_map(*[F.lit(x) for row in given for x in (row["name"], row["value"])]).cast("map<string,string>")
     parts = F.split(text, r"\$\{")
-    tail = lambda p: F.concat(F.coalesce(F.try_element_at(F.col("variables"), F.substring_index(p, "}", 1)), F.lit("")), F.regexp_replace(p, r"(?s)^[^}]*\}", ""))
+    tail = lambda p: F.concat(F.coalesce(F.try_element_at(table, F.substring_index(p, "}", 1)), F.lit("")), F.regexp_replace(p, r"(?s)^[^}]*\}", ""))
     whole = lambda p: F.when(F.contains(p, F.lit("}")), tail(p)).otherwise(F.concat(F.lit("${"), p))
     joined = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), whole), ""))
-    return rows.crossJoin(table).withColumn(out, joined).drop("variables")
+    return rows.withColumn(out, joined)
 
 
 def first_existing(candidates: DataFrame, by: str, order: str, exists: str) -> DataFrame:
@@ -87,7 +96,7 @@ def ancestors(needs: DataFrame) -> DataFrame:
     while not frontier.isEmpty():
         further = frontier.join(onward, F.col("ancestor") == F.col("at")).select("node", F.col("next").alias("ancestor")).distinct()
         frontier = settle(further.join(found, ["node", "ancestor"], "left_anti"))
-        found = found.unionByName(frontier)
+        found = settle(found.unionByName(frontier))
     return found
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -13,3 +16,13 @@ def settle(df: DataFrame) -> DataFrame:
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return df.persist()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own below the checkpoint folder the cluster names, which all executors share; a local session without one gets a temporary folder."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='ferrolith-')}"
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -8,6 +8,7 @@ from ferrolith.operators import curation, enrichment, settings
 from ferrolith.plans.records import records_of
 from ferrolith.plans.row_pipeline import run_batch
 from ferrolith.queries import query, table
+from ferrolith.sources.resources import closed_errors
 
 
 def _results(d):
@@ -146,6 +147,24 @@ def src_04(spark, sf_dir):
     return settings.expand_variables(F.concat("p_name", F.lit("/"), rest), variables, table(spark, sf_dir, "part").select("p_partkey", "p_name"), "text").select("p_partkey", "text")
 
 
+_CONFIG = """case s_suppkey % 6
+  when 0 then concat('{"llm":{"model":"', s_name, '","retries":', s_nationkey, '},"agents":[{"name":"a"},{"name":"b"}]}')
+  when 1 then concat('{"llm":{"model":', s_nationkey, ',"modle":"x"},"agents":[{},{"name":"b","extra":{"deep":1}}]}')
+  when 2 then concat('{"agents":"', s_name, '","who":[1]}')
+  when 3 then '  ' when 4 then '[1]' end"""
+
+
+@query("src_04_closed", """select s_suppkey, e.path as path, e.error as error from (select s_suppkey, unnest(case s_suppkey % 6
+  when 0 then [] when 1 then [{'path': 'llm.model', 'error': 'not a string'}, {'path': 'llm.modle', 'error': 'unknown'}, {'path': 'agents[0].name', 'error': 'missing'}, {'path': 'agents[1].extra', 'error': 'unknown'}]
+  when 2 then [{'path': 'llm', 'error': 'missing'}, {'path': 'agents', 'error': 'not a array'}, {'path': 'who', 'error': 'unknown'}]
+  when 4 then [{'path': '', 'error': 'not a JSON object'}] else [{'path': '', 'error': 'empty'}] end) as e from supplier)""")
+def src_04_closed(spark, sf_dir):
+    """Configurations against their declared keys: unknown, missing and ill-typed ones at two depths, empty texts and nulls."""
+    declared = [("llm", "object", True), ("llm.model", "string", True), ("llm.retries", "number", False), ("agents", "array", False), ("agents[]", "object", False), ("agents[].name", "string", True)]
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.expr(_CONFIG).alias("json"))
+    return closed_errors(rows, "s_suppkey", "json", declared)
+
+
 @query("src_05_first_existing", "select s_suppkey, case when s_suppkey % 2 = 0 then 'explicit' when s_suppkey % 3 = 0 then 'folder' else 'environment' end as place from supplier")
 def src_05(spark, sf_dir):
     k = F.col("s_suppkey")

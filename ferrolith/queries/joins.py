@@ -5,34 +5,48 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ferrolith.functions.names import normalize_org
-from ferrolith.operators import caching, matching, settings
+from ferrolith.operators import caching, matching, resolution, settings
 from ferrolith.operators.validation import disagreeing
 from ferrolith.queries import query, table
 from ferrolith.sources import registries
 
 
-_NAME_PAIRS = """n as (select p_name as name, min(p_partkey) as id from part group by 1), w as (select *, unnest(string_split(name, ' ')) as word from n),
-pairs as (select distinct a.id as q, b.id as c, a.name as qn, b.name as cn from w a join w b using (word))"""
+def _alike_sql(a: str, b: str) -> str:
+    """Whether two names can be alike at 90, over tables with n (the name), g (its letter pairs) and l (its numbered letters): the rule itself, for every pair."""
+    few, many = f"least(length({a}.n), length({b}.n))", f"greatest(length({a}.n), length({b}.n))"
+    lost = f"least(len({a}.g), len({b}.g)) - len(list_intersect({a}.g, {b}.g))"
+    return f"""case when {many} < 1.5 * {few} then {lost} <= floor(0.157894737 * {few}) + 1 or {lost} <= (3 * {few}) // 10 and levenshtein({a}.n, {b}.n) <= (length({a}.n) + length({b}.n)) // 10
+    and length({a}.n) + length({b}.n) - 2 * len(list_intersect({a}.l, {b}.l)) <= (length({a}.n) + length({b}.n)) // 10
+  else {many} < 8 * {few} and case when length({a}.n) <= length({b}.n) then contains({b}.n, {a}.n) else contains({a}.n, {b}.n) end end"""
+
+
+_PAIRS_OF = """list_distinct(list_transform(range(1, length(n) + 2), lambda i: substr(' ' || n || ' ', i, 2))) as g,
+  list_transform(range(1, length(n) + 1), lambda i: substr(n, i, 1) || (i - length(replace(substr(n, 1, i), substr(n, i, 1), '')))) as l"""
+_RATIO_SQL = "100.0 * (1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)))"
 
 
 def _part_names(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
 
 
-@query("join_04_candidates", f"with {_NAME_PAIRS} select qn as name_key, c as entry_id from pairs")
+@query("join_04_candidates", f"""with r as (select *, {_PAIRS_OF} from (select p_name as n, min(p_partkey) as id from part group by 1)),
+q as (select *, {_PAIRS_OF} from (select distinct unnest([n, substr(n, 1, 2) || substr(n, 4), n || ' works', split_part(n, ' ', 2)]) as n from r))
+select a.n as name_key, b.id as entry_id from q a join r b on {_alike_sql("a", "b")}""")
 def join_04(spark, sf_dir):
-    """Every pair of part names that share a word."""
-    names = _part_names(spark, sf_dir)
-    registry = names.select(F.col("id").alias("entry_id"), F.col("name").alias("entry_key"))
-    return matching.candidates(names.select(F.col("name").alias("name_key")), registry, most=4).select("name_key", "entry_id")
+    """Part names as they are, with a letter lost, with a further word and without their first word, against all part names."""
+    registry = _part_names(spark, sf_dir).select(F.col("id").alias("entry_id"), F.col("name").alias("entry_key"))
+    n = F.col("entry_key")
+    forms = F.array(n, F.concat(F.substring(n, 1, 2), F.substring(n, 4, 1000)), F.concat(n, F.lit(" works")), F.get(F.split(n, " "), 1))
+    names = registry.select(F.explode(forms).alias("name_key")).distinct()
+    return matching.candidates(names, registry).select("name_key", "entry_id")
 
 
-@query("win_01_top2_gap", f"""with {_NAME_PAIRS}, s as (select q, c, 100.0 * (1 - levenshtein(qn, cn) / greatest(length(qn), length(cn))) - case when q % 5 <> c % 5 then 15 else 0 end as adj,
-  100.0 * (1 - levenshtein(qn, cn) / greatest(length(qn), length(cn))) as score from pairs where q <> c),
+@query("win_01_top2_gap", f"""with p as (select *, {_PAIRS_OF} from (select p_name as n, min(p_partkey) as id from part group by 1)),
+s as (select q, c, score - case when q % 5 <> c % 5 then 15 else 0 end as adj, score from (select a.id as q, b.id as c, {_RATIO_SQL} as score from p a join p b on a.id <> b.id and {_alike_sql("a", "b")})),
 r as (select *, row_number() over w as p, lead(adj) over w as second from s where score >= 40 window w as (partition by q order by adj desc, c))
 select q, c, round(adj, 6) as adjusted, case when adj < 50 then 'nomatch' when second is null or adj - second >= 5 then 'auto' else 'review' end as status from r where p = 1""")
 def win_01(spark, sf_dir):
-    """Best two with a gap among all names that share a word, over an edit-distance score that SQL has too."""
+    """Best two with a gap among all names that are alike, over an edit-distance score that SQL has too."""
     names = _part_names(spark, sf_dir)
     registry = names.select(F.col("id").alias("entry_id"), F.col("name").alias("entry_key"))
     pairs = matching.candidates(names.select(F.col("name").alias("name_key")), registry)
@@ -43,6 +57,56 @@ def win_01(spark, sf_dir):
     return best.select("q", "c", F.round("adjusted", 6).alias("adjusted"), "status")
 
 
+_BEST_SQL = f"""select ask, id, adj / 100 as conf, case when second is null or adj - second >= 5 then 'auto' else 'review' end as status from (
+  select *, row_number() over w as p, lead(adj) over w as second from (select a.ask, b.id, {_RATIO_SQL} as score, score - case when a.country <> b.country then 15 else 0 end as adj from @Q a join @R b on {_alike_sql("a", "b")})
+  where score >= 80 window w as (partition by ask order by adj desc, id)) where p = 1 and adj >= 90"""
+_TIERS_SQL = f"""with nat as (select n_nationkey as k, 'Institute of ' || n_name as name, chr(65 + n_nationkey::int) || 'X' as code from nation),
+reg as (select *, {_PAIRS_OF} from (select 'r' || k as id, case when k % 3 = 0 then 'i' || k end as isni, lower(name) as n, code as country from nat where k % 5 <> 4)),
+sec as (select *, {_PAIRS_OF} from (select 's' || k as id, lower(name) as n, null::varchar as country from nat where k % 2 = 0)),
+ask as (select *, row_number() over () as ask, lower(name) as n from (select distinct case m when 1 then replace(nat.name, 'Institute', 'Institte') when 3 then 'Pick ' || k when 4 then 'Pick ' || k when 5 then 'Override ' || k when 6 then 'Cached ' || k when 7 then '  ' else nat.name end as name,
+  case when m in (2, 4) then 'ZZ' when m in (5, 7) then null else code end as country, m, k from (select s_suppkey % 8 as m, s_nationkey from supplier) join nat on s_nationkey = k)),
+opened as (select *, {_PAIRS_OF} from ask where m < 5),
+pick as (select a.ask, r.id as ror, r.isni, case when r.country <> a.country then 0.5 else 1.0 end as conf, case when r.country <> a.country then 'review' else 'auto' end as status from opened a join (
+  select 'Pick ' || k as name, 'r' || k as ror from nat union all select name, 'r' || case when k % 7 = 1 then k else (k + 5) % 25 end from nat where k % 7 in (1, 2)) p on a.name = p.name join reg r on r.id = p.ror),
+unsure as (select * from opened where ask not in (select ask from pick where status = 'auto')),
+alike as ({_BEST_SQL.replace("@Q", "unsure").replace("@R", "reg")}),
+one as (select o.*, case when l.ask is not null and (p.ask is null or l.status = 'auto') then l.id else p.ror end as ror, case when l.ask is not null and (p.ask is null or l.status = 'auto') then (select isni from reg where id = l.id) else p.isni end as isni,
+  case when l.ask is not null and (p.ask is null or l.status = 'auto') then l.conf else p.conf end as conf, case when l.ask is not null and (p.ask is null or l.status = 'auto') then l.status else p.status end as st,
+  case when l.ask is not null and (p.ask is null or l.status = 'auto') then 'query' when p.ask is not null then 'affiliation' end as via from opened o left join pick p using (ask) left join alike l using (ask)),
+open2 as (select * from one where not coalesce(st = 'auto' and isni is not null, false)),
+other as ({_BEST_SQL.replace("@Q", "open2").replace("@R", "sec")})
+select name, country, ror as ror_id, coalesce(o.isni, l.id) as isni_id, cast(round(least(o.conf, l.conf), 6) as double) as confidence, case when o.st = 'review' or l.status = 'review' then 'review' else coalesce(o.st, l.status, 'nomatch') end as status,
+  concat_ws('+', via, case when l.ask is not null then 'second' end) as via from one o left join other l using (ask)
+union all select name, country, case m when 5 then 'o' || k when 6 then case when k % 2 = 0 then 'c' || k end end, null, case m when 5 then 1.0 when 6 then case when k % 2 = 0 then 0.75 end end, case m when 5 then 'auto' when 6 then case when k % 2 = 0 then 'review' else 'nomatch' end else 'nomatch' end,
+  case m when 5 then 'override' when 6 then case when k % 2 = 0 then 'cache:query' else 'cache' end else '' end from (select distinct name, country, m, case when m < 7 then k end as k from ask where m >= 5)"""
+
+
+@query("join_02_tiers", _TIERS_SQL)
+def join_02_tiers(spark, sf_dir):
+    """Names that reach every tier: overrides, cache (also of nothing), picks (also of another country), likeness, the second registry, none."""
+    k, m = F.col("k"), F.col("m")
+    nat = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.concat(F.lit("Institute of "), "n_name").alias("base"), F.concat(F.char(65 + F.col("n_nationkey")), F.lit("X")).alias("code"))
+    named = lambda p: F.concat(F.lit(p), k.cast("string"))
+    nothing = F.lit(None).cast("string")
+    registry = nat.where(k % 5 != 4).select(named("r").alias("ror_id"), F.when(k % 3 == 0, named("i")).alias("isni_id"), F.col("base").alias("name"), F.col("code").alias("country"))
+    second = nat.where(k % 2 == 0).select(named("s").alias("isni_id"), F.col("base").alias("name"))
+    asked = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 8).alias("m"), F.col("s_nationkey").alias("k")).join(nat, "k")
+    name = F.when(m == 1, F.replace(F.col("base"), F.lit("Institute"), F.lit("Institte"))).when(m.isin(3, 4), named("Pick ")).when(m == 5, named("Override ")).when(m == 6, named("Cached ")).when(m == 7, "  ").otherwise(F.col("base"))
+    asked = asked.select(name.alias("name"), F.when(m.isin(2, 4), "ZZ").when(~m.isin(5, 7), F.lower("code")).alias("country"))
+    overrides = nat.select(named("override ").alias("name_key"), nothing.alias("country"), named("o").alias("ror_id"), nothing.alias("isni_id"))
+    known = k % 2 == 0
+    cache = nat.select(
+        caching.cache_key(F.lit("org"), named("cached "), F.col("code")).alias("cache_key"), F.lit("2100-01-01").cast("timestamp").alias("expires_at"),
+        F.when(known, named("c")).alias("ror_id"), nothing.alias("isni_id"), F.when(known, 0.75).alias("confidence"), F.when(known, "review").alias("status"), F.when(known, "query").alias("via"),
+    )
+    expired = cache.withColumns({"expires_at": F.lit("2000-01-01").cast("timestamp"), "ror_id": F.lit("old")})
+    picks = nat.select(named("Pick ").alias("name"), named("r").alias("ror_id")).unionByName(
+        nat.where((k % 7).isin(1, 2)).select(F.col("base").alias("name"), F.concat(F.lit("r"), F.when(k % 7 == 1, k).otherwise((k + 5) % 25)).alias("ror_id"))
+    )
+    found = resolution.resolve_in_tiers(asked, registry, second, overrides, cache.unionByName(expired), picks, F.lit("2020-01-01").cast("timestamp"), score=matching.levenshtein_ratio)
+    return found.select("name", "country", "ror_id", "isni_id", F.round("confidence", 6).alias("confidence"), "status", "via")
+
+
 @query("val_19_disagreeing", """with g as (select s_nationkey as k, s_suppkey % 4 as v, min(s_name) as n, count(*) as c from supplier group by 1, 2)
 select a.k as nation, a.v as value_a, a.n as name_a, b.v as value_b, b.n as name_b, a.c + b.c as names from g a join g b on a.k = b.k and a.v < b.v""")
 def val_19(spark, sf_dir):

@@ -53,14 +53,6 @@ def win_09(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy("o_totalprice", "o_orderkey").limit(5)
 
 
-@query("win_12_waves", """with recursive e(node, needs) as (values ('b', 'a'), ('c', 'a'), ('d', 'b'), ('d', 'c'), ('e', 'a')), n(node) as (values ('a'), ('b'), ('c'), ('d'), ('e')),
-p(node, wave) as (select node, 0 from n where node not in (select node from e) union all select e.node, p.wave + 1 from p join e on e.needs = p.node) select node, max(wave) as wave from p group by 1""")
-def win_12(spark, sf_dir):
-    nodes = spark.createDataFrame([(x,) for x in "abcde"], "node string")
-    edges = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("e", "a")], "node string, needs string")
-    return ranking.waves(nodes, edges)
-
-
 @query("win_12_tree", """select n_nationkey as node, case when n_nationkey in (20, 21) then null when n_nationkey = 0 then 0 else length(bin(n_nationkey)) end::int as wave from nation""")
 def win_12_tree(spark, sf_dir):
     """Nations in a tree, each needing the one with half its number; two of them also need each other, so that neither ever runs."""

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
+import json
+from collections.abc import Callable, Iterator
+from json import dumps
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ferrolith.functions.values import strip
 
-#: Levels of nesting that a JSON text can have: Spark's own parser ends there, so no value is deeper.
-DEEPEST = 1000
+#: Rows that a task hands on at once.
+ROWS_AT_ONCE = 10_000
 FIELDS = ["url", "title", "description", "doi", "fetched_content"]
 
 
@@ -64,24 +68,112 @@ def coerced_list(text: Column, schema: StructType | str) -> Column:
     return F.when(F.schema_of_variant(v).startswith("ARRAY"), F.from_json(text, schema))
 
 
+def _unique(members: list[tuple[str, object]]) -> dict:
+    found = dict(members)
+    if len(found) < len(members):
+        raise ValueError("a key stands twice")
+    return found
+
+
+def _no_constant(name: str) -> None:
+    raise ValueError(f"{name} is not JSON")
+
+
+def parsed(text: str | None):
+    """A JSON text's value in a list, an empty list if it is none: a key given twice and nesting beyond the parser's are errors, as in a variant."""
+    try:
+        return [json.loads(text, object_pairs_hook=_unique, parse_constant=_no_constant)] if text is not None else []
+    except (ValueError, RecursionError):
+        return []
+
+
+def visited(text: str | None) -> Iterator[tuple[str, str, str | None, object]]:
+    """Every value inside a JSON text, each before those in it and in their order: (path, path of what holds it, member's key, value)."""
+    todo: list[tuple[str, str, str | None, object]] = [("", "", None, v) for v in parsed(text)]
+    while todo:
+        path, _, _, value = todo[-1]
+        yield todo.pop()
+        if isinstance(value, dict):
+            todo += [(f"{path}.{k}" if path else k, path, k, v) for k, v in reversed(value.items())]
+        elif isinstance(value, list):
+            todo += [(f"{path}[{i}]", path, None, v) for i, v in reversed([*enumerate(value)])]
+
+
+#: JSON kinds by Python type.
+JSON_KINDS = {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number", type(None): "null"}
+
+
+def _in_tasks(docs: DataFrame, key: str, json_column: str, rows_of: Callable[[str | None], Iterator[tuple]], columns: str) -> DataFrame:
+    """``rows_of`` each JSON text, behind its key: one pass of each task over its own texts, without a shuffle or a limit on rows or depth."""
+    fields = [docs.schema[key], *_parse_datatype_string(columns).fields]
+    shape = StructType(fields)
+    types = to_arrow_schema(shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple] = []
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for row in rows_of(text):
+                    held.append((k, *row))
+                    if len(held) == ROWS_AT_ONCE:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held, strict=True), types, strict=True)], schema=types)
+                        held = []
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held, strict=True), types, strict=True)], schema=types)
+
+    return docs.select(key, json_column).mapInArrow(run, shape)
+
+
 def walk(docs: DataFrame, key: str, json: str) -> DataFrame:
-    """Every value inside a JSON text, at any depth: (key, path, name, v); ``name`` is the member's key, null for list items and the text itself."""
-    v = F.try_parse_json(F.col(json))
-    docs.select(F.col(key).alias("k"), v.alias("v")).createOrReplaceTempView(view := f"fl_walk_{uuid.uuid4().hex}")
-    found = docs.sparkSession.sql(f"""
-        with recursive w(k, path, name, v) max recursion level {DEEPEST} as (
-          select k, '', cast(null as string), v from {view}
-          union all
-          select w.k, case when e.key is null then concat(w.path, '[', e.pos, ']') when w.path = '' then e.key else concat(w.path, '.', e.key) end, e.key, e.value
-          from w, lateral variant_explode(w.v) e
-        ) select * from w""")
-    return found.withColumnRenamed("k", key)
+    """Every value inside a JSON text, at any depth: (key, path, parent, name, kind, value).
+
+    ``parent`` is the path of the object or list that holds it; ``name`` is the member's key, null for list items and the text itself; ``value`` is a
+    string's text or another scalar as JSON, null for objects, lists and null.
+    """
+
+    def rows_of(text: str | None) -> Iterator[tuple]:
+        for path, parent, name, v in visited(text):
+            yield path, parent, name, JSON_KINDS[type(v)], v if isinstance(v, str) else None if v is None or isinstance(v, (dict, list)) else dumps(v)
+
+    return _in_tasks(docs, key, json, rows_of, "path string, parent string, name string, kind string, value string")
 
 
 def id_pairs(docs: DataFrame, key: str, json: str, id_key: str = "value", scheme_key: str = "scheme") -> DataFrame:
-    """Every object, at any depth, that holds both an identifier and its scheme: (key, scheme, value, path)."""
-    get = lambda k: F.try_variant_get("v", f"$.{k}", "string")
-    return walk(docs, key, json).where(get(id_key).isNotNull() & get(scheme_key).isNotNull()).select(key, get(scheme_key).alias("scheme"), get(id_key).alias("value"), "path")
+    """Every object, at any depth, that holds both an identifier and its scheme as strings: (key, scheme, value, path)."""
+
+    def rows_of(text: str | None) -> Iterator[tuple]:
+        for path, _, _, v in visited(text):
+            if isinstance(v, dict) and isinstance(v.get(id_key), str) and isinstance(v.get(scheme_key), str):
+                yield v[scheme_key], v[id_key], path
+
+    return _in_tasks(docs, key, json, rows_of, "scheme string, value string, path string")
+
+
+def closed_errors(docs: DataFrame, key: str, json: str, declared: list[tuple[str, str, bool]]) -> DataFrame:
+    """What a configuration has against its declared keys, as rows (key, path, error): ``unknown``, ``missing``, ``not a ...``, ``empty``.
+
+    ``declared`` are (path, kind, required), list items written ``[]``. Only the outermost of unknown keys is
+    named; a required key counts as missing in each object that should hold it. A blank text is ``empty``, any other that is no JSON object an error, too.
+    """
+    spark = docs.sparkSession
+    nodes = walk(docs, key, json)
+    general = lambda c: F.regexp_replace(c, r"\[\d+\]", "[]")
+    nodes = nodes.withColumns({"at": general(F.col("path")), "in": general(F.col("parent"))})
+    known = spark.createDataFrame([("", "object", False), *declared], "d_path string, d_kind string, d_required boolean")
+    seen = nodes.join(F.broadcast(known), F.col("at") == F.col("d_path"), "left")  # the declared keys alone
+    held = known.select(F.col("d_path").alias("h_path"))
+    unknown = seen.where(F.col("d_path").isNull() & F.col("name").isNotNull()).join(F.broadcast(held), F.col("in") == F.col("h_path")).select(key, "path", F.lit("unknown").alias("error"))
+    wrong = seen.where(F.col("kind") != F.col("d_kind")).select(key, "path", F.concat(F.lit("not a "), "d_kind").alias("error"))
+    wrong = wrong.where(F.col("path") != "")
+    last = F.regexp_extract("d_path", r"([^.]*)$", 1)
+    needed = known.where("d_required").select(F.regexp_replace("d_path", r"\.?[^.]*$", "").alias("n_in"), last.alias("n_name"))
+    wanted = nodes.where(F.col("kind") == "object").join(F.broadcast(needed), F.col("at") == F.col("n_in")).select(F.col(key).alias("w_key"), F.col("path").alias("w_path"), "n_name")
+    there = nodes.where(F.col("name").isNotNull()).select(key, "parent", "name")
+    same = F.col("w_key").eqNullSafe(F.col(key)) & (F.col("w_path") == F.col("parent")) & (F.col("n_name") == F.col("name"))
+    missing = wanted.join(there, same, "left_anti").select(F.col("w_key").alias(key), F.concat(F.when(F.col("w_path") != "", F.concat("w_path", F.lit("."))).otherwise(""), "n_name").alias("path"), F.lit("missing").alias("error"))
+    blank = F.coalesce(strip(F.col(json)), F.lit("")) == ""
+    whole = F.when(blank, "empty").when(~F.coalesce(F.schema_of_variant(F.try_parse_json(F.col(json))).startswith("OBJECT"), F.lit(False)), "not a JSON object")
+    return unknown.unionByName(wrong).unionByName(missing).unionByName(docs.select(key, F.lit("").alias("path"), whole.alias("error")).where(F.col("error").isNotNull()))
 
 
 def listed_objects(spark: SparkSession, pattern: str) -> DataFrame:

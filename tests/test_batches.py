@@ -1,14 +1,18 @@
 """Page reading, walks, shapes, curation, configuration and the row pipeline on awkward rows."""
 
 import json
+import time
 
 import pytest
+from hypothesis import given
+from hypothesis import settings as hyp_settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ferrolith.functions import shapes, web
 from ferrolith.operators import curation, evaluation, ranking, settings, validation
 from ferrolith.plans.row_pipeline import run_batch
-from ferrolith.sources.resources import id_pairs
+from ferrolith.sources.resources import closed_errors, id_pairs, walk
 from ferrolith.sources.sinks import markdown_table
 
 LONG = "Real article text of some length. " * 10
@@ -55,6 +59,76 @@ def test_walks_reach_any_depth(spark):
     assert [(r.key, r.name) for r in leaks] == [(1, "scheme")]
 
 
+def test_walks_have_no_limit(spark):
+    """Over a million nodes, and a text 900 levels deep."""
+    many = spark.range(0, 12_000, 1, 8).select(F.col("id").alias("key"), F.to_json(F.struct(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.struct(i.alias("value"), F.lit("x").alias("scheme"))).alias("k"))).alias("json"))
+    assert walk(many, "key", "json").count() == 12_000 * (2 + 30 * 3)
+    deep = "[" * 900 + '{"value": "v", "scheme": "DOI"}' + "]" * 900
+    rows = spark.createDataFrame([(1, deep), (2, "[" * 200_000), (3, '{"a": 1, "a": 2}'), (4, "NaN"), (5, '{"é.x": {"scheme": "ROR", "value": "r"}, "n": [null, true, 1.5]}')], "key bigint, json string")
+    assert [(r.key, r.path.count("[0]")) for r in id_pairs(rows, "key", "json").orderBy("key").collect()] == [(1, 900), (5, 0)]
+    kinds = {r.path: (r.kind, r.value, r.parent) for r in walk(rows.where("key > 1"), "key", "json").collect()}
+    assert kinds["n[0]"] == ("null", None, "n") and kinds["n[1]"] == ("boolean", "true", "n") and kinds["n[2]"] == ("number", "1.5", "n") and kinds["é.x.scheme"] == ("string", "ROR", "é.x")
+
+
+def test_closed_configuration(spark):
+    declared = [("llm", "object", True), ("llm.model", "string", True), ("llm.retries", "number", False), ("agents", "array", False), ("agents[]", "object", False), ("agents[].name", "string", True)]
+    texts = {
+        1: {"llm": {"model": "m"}, "agents": [{"name": "a"}]}, 2: {"llm": {"model": 3, "modle": "m"}, "agents": [{}, {"name": "b", "extra": {"deep": 1}}]}, 3: {"agents": {}},
+    }
+    rows = spark.createDataFrame([(k, json.dumps(v)) for k, v in texts.items()] + [(4, "  "), (5, None), (6, "[1]"), (7, "{")], "key bigint, json string")
+    found = sorted((r.key, r.path, r.error) for r in closed_errors(rows, "key", "json", declared).collect())
+    assert found == [
+        (2, "agents[0].name", "missing"), (2, "agents[1].extra", "unknown"), (2, "llm.model", "not a string"), (2, "llm.modle", "unknown"), (3, "agents", "not a array"), (3, "llm", "missing"),
+        (4, "", "empty"), (5, "", "empty"), (6, "", "not a JSON object"), (7, "", "not a JSON object"),
+    ]
+
+
+def naive_page(events):
+    """The rule of the page reader, form by form, from the innermost out."""
+    leaves, opened, depth, around = [], [], dict.fromkeys(("chrome", "main"), 0), ()
+    for what, value in events:
+        group = "chrome" if value in web.CHROME else "main" if value in web.MAIN else None
+        if what == "text":
+            if not depth["chrome"]:
+                leaves.append((value, depth["main"] > 0, around))
+        elif group:
+            depth[group] = max(0, depth[group] + (1 if what == "open" else -1))
+        elif what == "open" and value == "form":
+            around += (len(opened),)
+            opened.append(depth["main"] > 0)
+        elif value == "form":
+            around = around[:-1]
+    kept = set(range(len(leaves)))
+    for form in reversed(range(len(opened))):
+        own = [i for i in sorted(kept) if form in leaves[i][2]]
+        if len("".join(leaves[i][0] for i in own).strip()) < web.LEAST_TEXT:
+            kept -= set(own)
+    rest = [leaves[i] for i in sorted(kept)]
+    of_main = {forms[0] for _, main, forms in rest if forms and (main or any(opened[f] for f in forms))}
+    main = "".join(t for t, inside, forms in rest if (forms[0] in of_main if forms else inside))
+    return main if len(main.strip()) >= web.LEAST_TEXT else "".join(t for t, _, _ in rest)
+
+
+@given(st.lists(st.one_of(st.sampled_from([(w, t) for w in ("open", "close") for t in ("form", "form", "main", "nav", "p")]), st.tuples(st.just("text"), st.sampled_from(["x" * 90, " " * 120, "short ", "y " * 70, ""]))), max_size=40))
+@hyp_settings(max_examples=300, deadline=None)
+def test_page_reader_against_the_naive_rule(events):
+    assert web._select(events) == naive_page(events)
+
+
+def test_pages_of_many_forms_take_linear_time():
+    began = time.time()
+    assert web.page_text("<form>x" * 100_000).strip("x") == ""
+    assert web.page_text("<form>" * 50_000 + LONG + "</form>" * 50_000).strip() == LONG.strip()
+    assert time.time() - began < 5
+
+
+def test_variables_are_bounded(spark):
+    variables, rows = spark.createDataFrame([("A", "1"), ("B", None)], "name string, value string"), spark.createDataFrame([("${A}-${B}-${C}-$",)], "t string")
+    assert settings.expand_variables(F.col("t"), variables, rows, "out").first().out == "1---$"
+    with pytest.raises(ValueError):
+        settings.expand_variables(F.col("t"), variables, rows, "out", most=1)
+
+
 def test_disagreement_and_waves(spark):
     rows = spark.createDataFrame([("m", 1, "p"), ("m", 2, "q"), ("m", 3, "r"), ("m", 1, "s"), ("n", 1, "t"), ("m", None, "u")], "model string, workers int, provider string")
     pairs = validation.disagreeing(rows, "model", "workers", "provider").collect()

@@ -1,10 +1,14 @@
 """Small tables of inputs and outcomes for column functions and operators."""
 
+import random
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from ferrolith.functions import identifiers, names, values, web
-from ferrolith.operators import caching, matching, merging, ranking, validation
+from ferrolith.operators import caching, matching, merging, ranking, resolution, validation
+from ferrolith.operators.caching import cache_key
 from ferrolith.plans import document
 from ferrolith.plans.crosswalks import croissant, datacite, dataverse, resource_type
 from ferrolith.plans.records import records_of
@@ -146,13 +150,59 @@ def test_preflight_and_leaks(spark):
     assert [(r.name_a, r.name_b) for r in validation.disagreeing(rows, "model", "workers", "provider").collect()] == [("p", "q")]
 
 
-def test_candidates_of_frequent_words_against_brute_force(spark):
-    from ferrolith.operators import matching
-
-    keys = ["department of transport uk", *[f"department transport{i} unit{i}" for i in range(30)], *[f"transport of{i} office" for i in range(30)]]
-    asked = ["department transport", "office", "unknown words"]
-    registry = spark.createDataFrame(list(enumerate(keys)), "entry_id bigint, entry_key string")
-    found = matching.candidates(spark.createDataFrame([(n,) for n in asked], "name_key string"), registry, most=5).collect()
-    want = {(n, i) for n in asked for i, k in enumerate(keys) if set(n.split()) & set(k.split())}
-    assert sorted((r.name_key, r.entry_id) for r in found) == sorted(want)
-    assert ("department transport", 0) in want and matching.weighted_ratio(asked[0], keys[0]) >= 90
+def test_candidates_against_brute_force(spark):
+    """Typing errors, words in another order, parts of names, and a phrase that half of the registry has."""
+    rng = random.Random(5)
+    syllables = "ba ke lo mi nu ra se ti vo wa xe yo zu fa go hi".split()
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 5)))
+    keys = [f"university of {word()}" if i % 2 else f"{word()} {rng.choice(['institute', 'agency'])} {word()}" for i in range(150)]
+
+    def altered(name):
+        i, kind = rng.randrange(len(name)), rng.randrange(6)
+        if kind < 3:
+            return name[:i] + ("", rng.choice("qx"), name[i] + "j")[kind] + name[i + 1 :]
+        return (" ".join(reversed(name.split())), name.split()[-1], f"{name} {word()[:2]}")[kind - 3]
+
+    asked = sorted({altered(k) for k in keys} | {"", "a", "日本大学", *keys[:5]})
+    keys += ["日本大學", "chile chile", ""]
+    asked += ["chile peru"]
+    names, registry = spark.createDataFrame([(n,) for n in asked], "name_key string"), spark.createDataFrame(list(enumerate(keys)), "entry_id bigint, entry_key string")
+    found = [(r.name_key, r.entry_id) for r in matching.candidates(names, registry).collect()]
+    assert len(found) == len(set(found)) < len(asked) * len(keys) / 10
+    wanted = {(n, i) for n in asked for i, k in enumerate(keys) if len(n) > 1 and matching.weighted_ratio(n, k) >= 90}
+    assert len(wanted) > 150 and wanted <= set(found)
+    with pytest.raises(ValueError):
+        matching.candidates(names, registry, threshold=80)
+
+
+@pytest.mark.parametrize(("a", "b"), [("kitten", "sitting"), ("", "abc"), ("abc", "abc"), ("universidad de chile", "univ chile"), ("aaaa", "aa"), ("日本", "本日")])
+def test_ratio_against_the_usual_table(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    assert matching._ratio(a, b) == pytest.approx(200 * table[-1][-1] / (len(a) + len(b)))
+
+
+def test_tiers(spark):
+    """A doubted pick stays, or gives way to a sure match only; what is cached, also as nothing, asks no registry; ties of the second registry are for review."""
+    text = "string"
+    names = spark.createDataFrame([("Acme Labs", "cl"), ("Beta Works", "AR"), ("Gamma", None), ("Delta House", None), ("", "CL"), (None, None), ("Zeta", "")], "name string, country string")
+    registry = spark.createDataFrame([("r1", "i1", "Acme Labs", "US"), ("r2", None, "Acme Labs", "CL"), ("r3", "i3", "Beta Works", "US")], "ror_id string, isni_id string, name string, country string")
+    second = spark.createDataFrame([("s1", "Acme Labs"), ("s4", "Delta House"), ("s5", "Delta Houses")], "isni_id string, name string")
+    overrides = spark.createDataFrame([("gamma", None, "o1", None)], "name_key string, country string, ror_id string, isni_id string")
+    key = spark.range(1).select(cache_key(F.lit("org"), F.lit("zeta"), F.lit(""))).first()[0]
+    cache = spark.createDataFrame([(key, datetime(2100, 1, 1), None, None, None, None, None)], f"cache_key {text}, expires_at timestamp, ror_id {text}, isni_id {text}, confidence double, status {text}, via {text}")
+    picks = spark.createDataFrame([("Acme Labs", "r1"), ("Beta Works", "r3")], "name string, ror_id string")
+    done = resolution.resolve_in_tiers(names, registry, second, overrides, cache, picks, F.lit("2020-01-01").cast("timestamp")).persist()
+    got = {r.name: (r.ror_id, r.isni_id, r.confidence, r.status, r.via) for r in done.collect()}
+    assert got["Acme Labs"] == ("r2", "s1", 1.0, "auto", "query+second")
+    assert got["Beta Works"] == ("r3", "i3", 0.5, "review", "affiliation")
+    assert got["Gamma"] == ("o1", None, 1.0, "auto", "override")
+    assert got["Delta House"][1] == "s4" and got["Delta House"][3:] == ("review", "second")
+    assert got["Zeta"][:4] == (None, None, None, "nomatch") and got["Zeta"][4] == "cache"
+    assert got[""][3] == got[None][3] == "nomatch"
+    stored = resolution.to_cache(done, F.lit("2030-01-01").cast("timestamp"))
+    assert sorted(r.status or "" for r in stored.collect()) == ["auto", "review", "review"]
+    again = resolution.resolve_in_tiers(names, registry.limit(0), second.limit(0), overrides, stored.select(*cache.columns), picks.limit(0), F.lit("2020-01-01").cast("timestamp"))
+    assert {r.name: r.ror_id for r in again.collect()}["Acme Labs"] == "r2"
