@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ferrolith.operators import validation
-from ferrolith.plans import document
+from ferrolith.plans import document, shapes
 from ferrolith.plans.records import records_of
 from ferrolith.queries import query, table
 
@@ -76,3 +76,30 @@ def join_10_doi(spark, sf_dir):
     works = table(spark, sf_dir, "documents").select(F.upper(F.concat(F.lit("10.5555/rec."), "doc_id")).alias("doi"), F.concat(F.lit("Work "), "doc_id").alias("title"), F.array(F.concat(F.lit("Author "), "lang")).alias("authors"), F.lit("P").alias("publisher"), F.lit("1999").alias("issued"))
     b = document.backfill(records(spark, sf_dir), works)
     return b.select("doc_id", "name", F.coalesce(F.get("creator", F.lit(0))["name"], F.lit("")).alias("creator"), F.col("date_published").alias("published"))
+
+
+_LINKED = """concat('{"@id":"d', doc_id, '","@type":["schema:Dataset"],"schema:identifier":', case when doc_id % 2 = 0 then '{"@type":"schema:PropertyValue","schema:value":""}' else '"10.5/x"' end,
+  case when doc_id % 3 = 0 then '' else concat(',"schema:name":"', source, '"') end, case when doc_id % 5 = 0 then ',"schema:license":{"@type":"schema:CreativeWork","schema:url":"no address"}' when doc_id % 5 = 1 then '' else ',"schema:license":"CC0"' end,
+  ',"schema:dateModified":"', case when doc_id % 7 = 0 then '2026' else '2026-01-31' end, '","schema:url":"https://e.org/","schema:creator":{"@id":"p1"},"schema:datePublished":"2025-03","schema:keywords":["ab",',
+  case when doc_id % 4 = 0 then '"a, b"' else '{"@type":"schema:DefinedTerm","schema:name":"a"}' end, '],"schema:variableMeasured":[{"@type":"schema:PropertyValue","schema:propertyID":"depth of water","schema:description":"depth of the water","schema:name":"', case when doc_id % 11 = 0 then 'I0' else 'depth' end,
+  '","schema:minValue":', case when doc_id % 13 = 0 then '"0"' else '0' end, '}],"schema:spatialCoverage":{"@type":"schema:Place","schema:geo":{"@type":"schema:GeoCoordinates","schema:latitude":1.5', case when doc_id % 17 = 0 then '' else ',"schema:longitude":2' end, '}}',
+  case when doc_id % 19 = 0 then ',"schema:citation":"x"' else '' end, ',"schema:subjectOf":{"@id":"r', doc_id, '","@type":"schema:Dataset","schema:additionalType":"dcat:CatalogRecord","schema:about":{"@id":"d', doc_id,
+  '"},"dcterms:conformsTo":[{"@id":"https://w3id.org/cdif/core/1.0"}', case when doc_id % 6 = 0 then '' else ',{"@id":"https://w3id.org/cdif/discovery/1.0"}' end, ']}', case when doc_id % 23 = 0 then '' else concat(',"schema:description":"of ', source, '"') end, '}')"""
+
+_CONFORMANCE_SQL = """with b as (select doc_id, 'd' || doc_id as d, unnest([
+  case when doc_id % 2 = 0 then ['resourceIdentifierValue', 'Violation', '$.schema:identifier', null] end, case when doc_id % 2 = 0 then ['resourceIdentifierScheme', 'Warning', '$.schema:identifier', null] end,
+  case when doc_id % 3 = 0 then ['nameProperty', 'Violation', null, null] end, case when doc_id % 5 = 1 then ['rightsProperty', 'Violation', null, null] end,
+  case when doc_id % 5 = 0 then ['rightsAddress', 'Violation', '$.schema:license', '$.schema:license.schema:url'] end, case when doc_id % 7 = 0 then ['dateModifiedProperty', 'Violation', null, '$.schema:dateModified'] end,
+  case when doc_id % 4 = 0 then ['keywordsNoCommaTest', 'Warning', null, '$.schema:keywords'] else ['definedTermProperty', 'Violation', '$.schema:keywords[1]', '$.schema:keywords[1].schema:name'] end,
+  case when doc_id % 11 = 0 then ['name3Property', 'Warning', '$.schema:variableMeasured[0]', '$.schema:variableMeasured[0].schema:name'] end,
+  case when doc_id % 13 = 0 then ['variableMinimum', 'Info', '$.schema:variableMeasured[0]', '$.schema:variableMeasured[0].schema:minValue'] end,
+  case when doc_id % 17 = 0 then ['geoLongitude', 'Violation', '$.schema:spatialCoverage.schema:geo', null] end, case when doc_id % 19 = 0 then ['citationProperty', 'Info', null, null] end,
+  case when doc_id % 6 = 0 then ['metadataProfileProperty', 'Violation', 'r' || doc_id, null] end, case when doc_id % 23 = 0 then ['descriptionProperty', 'Warning', null, null] end]) as s from documents)
+select doc_id, s[1] as shape, s[2] as severity, coalesce(s[3], d) as focus, s[4] as at from b where s is not null"""
+
+
+@query("val_06_conformance", _CONFORMANCE_SQL)
+def val_06_conformance(spark, sf_dir):
+    """Linked-data documents against all shapes, with the node and the value that break each."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(_LINKED).alias("json"))
+    return shapes.conformance(rows, "doc_id", "json").select("doc_id", "shape", "severity", "focus", "at")

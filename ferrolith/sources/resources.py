@@ -103,7 +103,7 @@ def visited(text: str | None) -> Iterator[tuple[str, str, str | None, object]]:
 JSON_KINDS = {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number", type(None): "null"}
 
 
-def _in_tasks(docs: DataFrame, key: str, json_column: str, rows_of: Callable[[str | None], Iterator[tuple]], columns: str) -> DataFrame:
+def in_tasks(docs: DataFrame, key: str, json_column: str, rows_of: Callable[[str | None], Iterator[tuple]], columns: str) -> DataFrame:
     """``rows_of`` each JSON text, behind its key: one pass of each task over its own texts, without a shuffle or a limit on rows or depth."""
     fields = [docs.schema[key], *_parse_datatype_string(columns).fields]
     shape = StructType(fields)
@@ -135,7 +135,7 @@ def walk(docs: DataFrame, key: str, json: str) -> DataFrame:
         for path, parent, name, v in visited(text):
             yield path, parent, name, JSON_KINDS[type(v)], v if isinstance(v, str) else None if v is None or isinstance(v, (dict, list)) else dumps(v)
 
-    return _in_tasks(docs, key, json, rows_of, "path string, parent string, name string, kind string, value string")
+    return in_tasks(docs, key, json, rows_of, "path string, parent string, name string, kind string, value string")
 
 
 def id_pairs(docs: DataFrame, key: str, json: str, id_key: str = "value", scheme_key: str = "scheme") -> DataFrame:
@@ -146,7 +146,7 @@ def id_pairs(docs: DataFrame, key: str, json: str, id_key: str = "value", scheme
             if isinstance(v, dict) and isinstance(v.get(id_key), str) and isinstance(v.get(scheme_key), str):
                 yield v[scheme_key], v[id_key], path
 
-    return _in_tasks(docs, key, json, rows_of, "scheme string, value string, path string")
+    return in_tasks(docs, key, json, rows_of, "scheme string, value string, path string")
 
 
 def closed_errors(docs: DataFrame, key: str, json: str, declared: list[tuple[str, str, bool]]) -> DataFrame:
