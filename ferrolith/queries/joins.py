@@ -186,6 +186,23 @@ def join_13(spark, sf_dir):
     return both.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("llm_07_store", """with q as (select conv_id, turn, sha256(role || ':' || text) as key, role, text from conversations),
+old as (select key, min(conv_id) as m from q where turn = 0 group by 1), valid as (select key, m from old where m % 3 <> 0), called as (select key, min(struct_pack(c := conv_id, t := turn)) as payer from q where key not in (select key from valid) group by 1)
+select q.conv_id as conv_id, q.turn as turn, case when v.key is not null then '{"a":' || m || '}' else '"new"' end as answer, case when c.payer.c = q.conv_id and c.payer.t = q.turn then 7 else 0 end as tokens,
+  (select count(*) from called) as calls, (select count(*) from (select key from valid union select key from called)) as kept from q left join valid v on q.key = v.key left join called c on q.key = c.key""")
+def llm_07(spark, sf_dir):
+    """Turns as requests: entries in both shapes, expired ones, one call for each key, and the cache after the batch."""
+    q = table(spark, sf_dir, "conversations").select(caching.cache_key(F.col("role"), F.col("text")).alias("key"), "conv_id", "turn")
+    old = q.where("turn = 0").groupBy("key").agg(F.min("conv_id").alias("m"))
+    bare = F.concat(F.lit('{"a":'), "m", F.lit("}"))
+    payload = F.when(F.col("m") % 2 == 0, bare).otherwise(F.concat(F.lit('{"data":'), bare, F.lit(',"usage":{"total":9}}')))
+    cache = old.select("key", payload.alias("payload"), F.when(F.col("m") % 3 == 0, "2000-01-01").otherwise("2100-01-01").cast("timestamp").alias("expires_at"))
+    answers = q.select("key").distinct().join(cache.where("expires_at > '2050-01-01'"), "key", "left_anti").select("key", F.lit('{"data":"new","usage":{}}').alias("payload"), F.lit(7).alias("tokens"))
+    done, calls, after = caching.answer_batch(q, cache, answers, F.lit("2020-01-01").cast("timestamp"), F.lit("2030-01-01").cast("timestamp"))
+    counts = calls.agg(F.count(F.lit(1)).alias("calls")).crossJoin(after.agg(F.count(F.lit(1)).alias("kept")))  # a row each
+    return done.select("conv_id", "turn", "answer", "tokens").crossJoin(F.broadcast(counts))
+
+
 @query("join_17_field_owner", """select event_type as field, user_id as agent, ts from (select event_type, user_id, ts, row_number() over (partition by event_type order by ts desc, user_id desc) as p from events) where p = 1""")
 def join_17(spark, sf_dir):
     """The last that declared a field owns it."""

@@ -7,7 +7,9 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from ferrolith.operators.caching import stored_data
 from ferrolith.sources.files import FolderReader, read_folder, register, write_folder
+from ferrolith.streaming.caching import answered_once
 from ferrolith.streaming.pages import event_windows, read_pages
 
 
@@ -132,3 +134,32 @@ def test_late_events_are_not_waited_for(spark, tmp_path):
         out.awaitTermination(120)
         found = {r.start.hour: r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert found == {0: 2, 1: 1, 9: 2}  # the event of 0:18 came after the watermark had passed its window
+
+
+def test_a_cache_calls_once_and_forgets_in_time(spark, tmp_path):
+    base = datetime(2026, 1, 1)
+    schema = "key string, kind string, id string, payload string, tokens bigint, ts timestamp"
+    source, out = tmp_path / "events", str(tmp_path / "out")
+
+    def run(*events):
+        rows = [(k, kind, i, p, t, base + timedelta(minutes=m)) for k, kind, i, p, t, m in events]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        stream = answered_once(spark.readStream.schema(schema).parquet(str(source)), ttl=timedelta(minutes=60))
+        started = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        started.awaitTermination(120)  # each run is a restart from the checkpoint
+        return {(r.id, r.outcome): (r.version, r.payload, r.tokens) for r in spark.read.parquet(out).collect()}
+
+    run(("k", "request", "a", None, 0, 0), ("k", "request", "b", None, 0, 1), ("m", "request", "c", None, 0, 1))
+    found = run(("k", "request", "d", None, 0, 2), ("k", "answer", "a", "yes", 9, 3), ("k", "request", "e", None, 0, 4))
+    assert found["a", "call"] == (1, None, 0) and found["b", "wait"] == (1, None, 0) and found["d", "wait"] == (1, None, 0)
+    assert found["a", "answer"] == (1, "yes", 9) and found["e", "hit"] == (1, "yes", 0) and found["c", "call"] == (1, None, 0)
+    found = run(("k", "request", "f", None, 0, 62), ("k", "request", "g", None, 0, 64), ("m", "request", "h", None, 0, 30))
+    assert found["f", "hit"] == (1, "yes", 0)
+    assert found["g", "call"] == (2, None, 0)  # the answer had expired
+    assert found["h", "call"] == (2, None, 0)  # the first call was never answered
+
+
+def test_stored_answers_of_both_shapes(spark):
+    rows = [('{"data": {"a": 1}, "usage": {}}', '{"a":1}'), ('{"a": 1}', '{"a": 1}'), ('{"data": 1}', '{"data": 1}'), ("no json", "no json"), (None, None), ("[1]", "[1]")]
+    found = spark.createDataFrame(rows, "payload string, want string").select(stored_data(F.col("payload")).alias("got"), "want").collect()
+    assert [r.got for r in found] == [r.want for r in found]
