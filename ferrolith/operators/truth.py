@@ -17,7 +17,7 @@ FORMS = {
     "ROR": r"(?i)^(https?://ror\.org/)?0[a-z0-9]{8}/?$",
     "ORCID": r"(?i)^(https?://orcid\.org/)?[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{3}[0-9X]$",
 }
-#: A run of so many digits in a scheme's address is an identifier in the wrong field.
+# Fixed pattern: a run of so many digits in a scheme's address is an identifier in the wrong field.
 LONG_NUMBER = r"[0-9]{6,}"
 
 #: The parts of a truth record that are checked.
@@ -72,3 +72,9 @@ def truth_problems(records: DataFrame, key: str, json: str) -> DataFrame:
         F.transform(cased, lambda r: F.struct(r["location"].alias("location"), F.concat(F.lit("case of "), F.upper(r["id"])).alias("problem"), F.lit(True).alias("warning"))),
     )
     return parsed.select(key, F.explode(rows).alias("r")).select(key, "r.location", "r.problem", "r.warning")
+
+
+def folder_problems(files: DataFrame) -> DataFrame:
+    """``truth_problems`` of every file of a folder (path, value, error): a file that is broken or holds no object is a row, not an exception."""
+    broken = files.where(F.col("error").isNotNull()).select("path", F.lit("").alias("location"), F.col("error").alias("problem"), F.lit(False).alias("warning"))
+    return truth_problems(files.where(F.col("error").isNull()), "path", "value").unionByName(broken)
