@@ -113,3 +113,23 @@ def ror_country(locations: Column) -> Column:
 def ror_parent(relationships: Column) -> Column:
     """First relation of the kind parent in ``array<struct<id, label, type>>``."""
     return F.get(F.filter(relationships, lambda r: F.lower(r["type"]) == "parent"), 0)
+
+
+def scheme_of_host(url: Column) -> Column:
+    """(scheme, value, url) of an identifier's address; an address of no known registry has neither scheme nor value."""
+    scheme = F.when(scheme_of_url(url) == "DOI", None).otherwise(scheme_of_url(url))
+    value = F.when(scheme.isNotNull(), F.nullif(F.regexp_extract(F.regexp_replace(url, r"/+$", ""), r"([^/]+)$", 1), F.lit("")))
+    return F.struct(scheme.alias("scheme"), value.alias("value"), url.alias("url"))
+
+
+def entity_identifiers(primary: Column, legacy: Column, same_as: Column) -> Column:
+    """All identifiers of an entity as (scheme, value, url): its own, the older list where there is none of its own, and those that its other addresses are.
+
+    ``primary`` is (scheme, value, url), ``legacy`` a list of such, ``same_as`` a list of addresses; entries without value and address, and repeats, are left out.
+    """
+    kind = "array<struct<scheme:string,value:string,url:string>>"
+    filled = lambda x: (F.coalesce(x["value"], F.lit("")) != "") | (F.coalesce(x["url"], F.lit("")) != "")
+    own = F.filter(F.array_compact(F.array(primary)).cast(kind), filled)
+    older = F.filter(F.coalesce(legacy.cast(kind), F.array().cast(kind)), filled)
+    others = F.transform(F.filter(F.coalesce(same_as, F.array().cast("array<string>")), lambda u: F.coalesce(u, F.lit("")) != ""), scheme_of_host).cast(kind)
+    return F.array_distinct(F.concat(F.when(F.size(own) > 0, own).otherwise(older), others))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -39,19 +40,21 @@ FREQUENCIES = {"mensual": "monthly", "monthly": "monthly", "diario": "daily", "d
 RESERVED = r"""[\\+\-&|!(){}\[\]^"~*?:/]"""
 
 
-def _latin_folds() -> tuple[str, str]:
-    """Latin letters that decompose into one ASCII letter and marks, with that letter: made by the rule, not listed."""
+@cache
+def _folds() -> tuple[str, str]:
+    """Letters of any script that decompose into one letter and marks, with that letter: made by the rule, not listed."""
     pairs = []
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+    for code in [*range(0xA0, 0x1100), *range(0x1200, 0xAC00), *range(0xF900, 0x10000)]:
         base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(base) == 1 and base.isascii():
+        if len(base) == 1 and base != chr(code):
             pairs.append((chr(code), base))
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-def fold_latin(text: Column) -> Column:
-    """Accents off Latin letters, composed or as combining marks."""
-    return F.regexp_replace(F.translate(text, *_latin_folds()), r"\p{Mn}+", "")
+def fold_marks(text: Column) -> Column:
+    """Accents and other marks off letters of any script, composed or as combining marks, in generated code; signs that stand for several
+    letters, such as ligatures and Hangul syllables, stay as they are (``fold_accents`` takes those apart, too)."""
+    return F.regexp_replace(F.translate(text, *_folds()), r"\p{Mn}+", "")
 
 
 @F.pandas_udf(StringType())
@@ -70,7 +73,7 @@ def expand_abbreviations(text: Column) -> Column:
 
 def normalize_org(name: Column) -> Column:
     """A name for comparison: lower case, no accents, abbreviations in full, no legal form, no punctuation but - and _."""
-    text = expand_abbreviations(fold_latin(F.lower(strip(name))))
+    text = expand_abbreviations(fold_marks(F.lower(strip(name))))
     forms = "|".join(re.escape(f) for f in LEGAL_FORMS)
     text = F.regexp_replace(text, rf"(?iU)\b({forms})\b\.?\s*$", "")
     text = F.regexp_replace(text, r"(?U)[^\w\s-]", "")
@@ -150,14 +153,36 @@ def render_prompt(template: Column, values: dict[str, Column]) -> Column:
     return template
 
 
+#: Members of a resource that come first in a prompt, in this order.
+FIRST_FIELDS = ("title", "description", "url", "doi", "fetched_content")
+
+
+def prompt(template: Column, values: dict[str, Column], context: Column, resource: Column) -> Column:
+    """A prompt: the template written out, then what earlier results gave, then the resource.
+
+    ``context`` (array of field and value) and ``resource`` (map of texts) become lines ``key: value`` without the blank ones; of the resource the
+    five known members come first, others after them by name. Parts without a line are left out.
+    """
+    line = lambda k, v: F.when(F.coalesce(strip(v), F.lit("")) != "", F.concat(k, F.lit(": "), v))
+    earlier = F.concat_ws("\n", F.transform(context, lambda c: line(c["field"], c["value"])))
+    own = F.coalesce(resource, F.create_map().cast("map<string,string>"))
+    known = [line(F.lit(k), F.try_element_at(own, F.lit(k))) for k in FIRST_FIELDS]
+    others = F.transform(F.array_sort(F.array_except(F.map_keys(own), F.array(*map(F.lit, FIRST_FIELDS)))), lambda k: line(k, F.try_element_at(own, k)))
+    return F.concat_ws("\n\n", *[F.nullif(part, F.lit("")) for part in (render_prompt(template, values), earlier, F.concat_ws("\n", *known, others))])
+
+
 def resource_block(fields: dict[str, Column]) -> Column:
     """Lines ``key: value`` of the fields that are not blank."""
     return F.concat_ws("\n", *[F.when(F.coalesce(strip(v), F.lit("")) != "", F.concat(F.lit(f"{k}: "), v)) for k, v in fields.items()])
 
 
+# Fixed pattern: an address of electronic mail.
+MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
+
 def email_in(text: Column) -> Column:
     """The first thing in a text that looks like an address of electronic mail, or null."""
-    return F.nullif(F.regexp_extract(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0), F.lit(""))
+    return F.nullif(F.regexp_extract(text, MAIL, 0), F.lit(""))
 
 
 # What providers write when they refuse a key.
@@ -171,5 +196,5 @@ def friendly_error(raw: Column, headline: str = "The API key was rejected: check
 
 
 def scoring_form(text: Column) -> Column:
-    """A name as measures compare it: without space at the ends, in lower case, without Latin accents."""
-    return fold_latin(F.lower(strip(text)))
+    """A name as measures compare it: without space at the ends, in lower case, without accents."""
+    return fold_marks(F.lower(strip(text)))

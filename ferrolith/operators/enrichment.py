@@ -20,6 +20,16 @@ def has_identifier(actor: Column) -> Column:
     return F.coalesce(strip(actor["id_value"]), F.lit("")) != ""
 
 
+def entry_has_identifier(entry: Column, member: str = "schema:identifier") -> Column:
+    """The same for an entry of a linked-data document, a variant: its identifier may be an object or a list of objects."""
+    held = F.try_variant_get(entry, f"$['{member}']", "variant")
+    value = "$['schema:value']"
+    one = F.coalesce(F.try_variant_get(held, value, "string"), F.lit("")) != ""
+    several = F.exists(F.try_variant_get(held, "$", "array<variant>"), lambda x: F.coalesce(F.try_variant_get(x, value, "string"), F.lit("")) != "")
+    kind = F.coalesce(F.schema_of_variant(held), F.lit(""))
+    return F.when(kind.startswith("OBJECT"), one).when(kind.startswith("ARRAY"), F.coalesce(several, F.lit(False))).otherwise(False)
+
+
 def is_sure(status: Column) -> Column:
     """A wrong identifier is worse than none: matches that need a review are not attached."""
     return F.coalesce(status == "auto", F.lit(False))

@@ -222,3 +222,9 @@ def person_hits(people: DataFrame, registry: DataFrame, keys: list[str], hit: st
     hits = registry.groupBy(*keys).agg(F.count(hit).alias("hits"), F.min(hit).alias(hit))
     found = named.join(hits, keys)
     return found.withColumns({"status": F.when(F.col("hits") == 1, "auto").otherwise("review"), "confidence": F.when(F.col("hits") == 1, 1.0).otherwise(0.5)})
+
+
+def first_hits(hits: DataFrame, query: str, order: str, most: int = 5) -> DataFrame:
+    """The first hits of each search, in the registry's own order."""
+    place = F.row_number().over(Window.partitionBy(query).orderBy(order))
+    return hits.withColumn("hit", place).where(F.col("hit") <= most)

@@ -99,6 +99,20 @@ def keys_outside(json: Column, allowed: list[str]) -> Column:
     return F.array_except(F.coalesce(F.json_object_keys(json), F.array().cast("array<string>")), F.array(*map(F.lit, allowed)))
 
 
+def key_differences(json: Column, declared: list[str], disallowed: list[str] = ()) -> Column:
+    """Of a JSON object's top-level keys: those that are missing, those that are not declared, and those that must not be there."""
+    keys = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
+    wanted, banned = F.array(*map(F.lit, declared)), F.array(*map(F.lit, disallowed)).cast("array<string>")
+    parts = {"missing": F.array_except(wanted, keys), "extra": F.array_except(keys, wanted), "disallowed": F.array_intersect(keys, banned)}
+    return F.struct(*[F.array_sort(c).alias(n) for n, c in parts.items()])
+
+
+def populated_fields(json: Column) -> Column:
+    """Top-level keys of a JSON object that hold something: null, an empty list and an empty object are nothing, an empty text is something."""
+    held = F.from_json(json, "map<string,variant>")
+    return F.array_sort(F.map_keys(F.map_filter(held, lambda k, v: v.isNotNull() & ~F.coalesce(F.schema_of_variant(v), F.lit("VOID")).isin("VOID", "OBJECT<>", "ARRAY<VOID>") | (F.try_variant_get(v, "$[0]", "variant").isNotNull()))))
+
+
 def leaks(docs: DataFrame, key: str, json: str, allowed: list[str], forbidden: list[str]) -> DataFrame:
     """Top-level keys outside ``allowed`` and ``forbidden`` keys at any depth: (key, name, path), each place once."""
     inside = walk(docs, key, json).where(F.col("name").isNotNull())

@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferrolith.functions.web import main_content, resolve_url
 from ferrolith.operators.enrichment import enrich
 from ferrolith.operators.merging import failure_summary, merge_fields
 from ferrolith.operators.storage import settle
 from ferrolith.operators.validation import pid_problems
 from ferrolith.plans import document
 from ferrolith.plans.schema import RECORD
+from ferrolith.sources.resources import needs_page
 
 #: Envelope fields, which no extractor may set.
 ENVELOPE = ["id", "type", "context", "date_modified", "subject_of"]
@@ -55,6 +57,18 @@ def records_from_merged(merged: DataFrame, key: str = "resource") -> DataFrame:
     return merged.groupBy(key).agg(*[c.cast(RECORD[name]).alias(name) for name, c in columns.items()])
 
 
+def with_pages(resources: DataFrame, pages: DataFrame) -> DataFrame:
+    """``parse_resources`` rows with the text of their pages, where a page is wanted: resources with an address, no content yet and no error.
+
+    ``pages`` (url, html) are pages as fetched, one for an address; bare DOIs are looked up under their resolver's address. A page that is not there leaves
+    the content as it is.
+    """
+    wanted = F.col("error").isNull() & needs_page(F.col("fetched_content"), F.col("url"))
+    found = pages.select(F.col("url").alias("p_url"), main_content(F.col("html")).alias("p_text"))
+    joined = resources.join(found, wanted & (resolve_url(F.col("url")) == F.col("p_url")), "left")
+    return joined.withColumn("fetched_content", F.coalesce(F.when(wanted, F.col("p_text")), F.col("fetched_content"))).drop("p_url", "p_text")
+
+
 def run_batch(
     resources: DataFrame, results: DataFrame, works: DataFrame, organisations: DataFrame, people: DataFrame, today: str, statuses: DataFrame | None = None, allow_partial: bool = True
 ) -> DataFrame:
