@@ -153,10 +153,10 @@ def dc_19(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", one.alias("one"), two.alias("two"))
     kind = rows.schema["one"].dataType
     whole = rows.select(k.alias("k"), members.merged(F.col("one"), F.col("two"), kind).alias("d"))
-    out = whole.select("k", members.ordered(F.col("d"), kind, _EXPORT).alias("d"))
+    out = whole.select("k", members.ordered(F.col("d"), kind, _parse_datatype_string(_EXPORT)).alias("d"))
     required = {"titles", "titles[].title", "publisher.name", "publisher.place.country", "year"}
     return out.select("k", F.to_json("d").alias("document"), F.concat_ws(",", members.missing_members(F.col("d"), out.schema["d"].dataType, required)).alias("missing"))
 
 
 #: An export model: its members in their order.
-_EXPORT = _parse_datatype_string("titles array<struct<title:string,lang:string>>, publisher struct<name:string,place:struct<city:string,country:string>>, version string, year int")
+_EXPORT = "titles array<struct<title:string,lang:string>>, publisher struct<name:string,place:struct<city:string,country:string>>, version string, year int"
