@@ -11,11 +11,15 @@ cover all training documents. The weights of all rows, hashed ones and the tree'
 counts and are then fitted by ``ROUNDS`` distributed gradient updates of the conditional likelihood, one for each of as
 many batches that all training documents are dealt into by a hash of their id and text. An update is a pass over every token
 of its batch, each token's own count left out of its rows; the gradient of a weight is its count in the batch less the
-count the model expects there, and steps are scaled by those counts, so that rows rarely met move little. (Two batches
-gain as much on held-out text as two passes over everything.)
+count the model expects there, steps are scaled by those counts, damped where a batch has few, and shrink with the root of the round's
+number, so that more rounds do not undo what earlier ones gained.
 
 Tables of counts and gradients leave a task as blocks of rows and are summed by block in steps of at most ``FAN`` tasks'
-blocks, so no task reads more as the tasks grow in number; the driver gets one table, of a fixed size. Sums are exact in 64 bits.
+blocks, so no task reads more as the tasks grow in number; the driver gets one table, of a fixed size. Counts are exact in 64
+bits; of a task's gradients the upper 16 bits travel (8 of them significant), which are then summed in 64.
+
+Bounds of the model: words past the tree's leaves (32,767) share the last one and have no context of their own there; classes
+come from the company of the ``ANCHORS`` most frequent words.
 
 Scoring runs over batches of whole texts in numpy: gather rows, add, normalise. Counts of the ``TOP_WORDS`` most
 frequent words are broadcast (a fixed bound); rarer words meet their counts in a join. A 64-bit hash stands for a word.
@@ -53,14 +57,17 @@ ROWS = len(TEMPLATES) << ROW_BITS
 BLOCK_ROWS, FAN = 64, 64
 #: Tokens for each task that gives tables, at least, once there is a task for each core.
 TASK_TOKENS = 2_000_000
-#: The root's row follows the hashed ones; all trained rows in whole blocks.
-ALL_ROWS = ROWS + BLOCK_ROWS
+#: The tree's rows of each level follow the hashed ones; all trained rows in whole blocks.
+TREE_ROWS = (ROWS, ROWS + 1, ROWS + 1 + WAYS)
+ALL_ROWS = ROWS + -(-(1 + WAYS + WAYS**2) // BLOCK_ROWS) * BLOCK_ROWS
 SMOOTH = 0.05
 #: Shares of the logarithms that weights start from: hashed rows, rows of the tree.
 START, TREE_START = 0.3, 0.6
 ANCHORS = 64
 #: Batches of the training texts, each with its gradient update, the counts that hold back rare rows, the longest step of a weight.
-ROUNDS, DAMPING, LONGEST = 2, 4.0, 1.0
+ROUNDS, DAMPING, LONGEST = 4, 2.0, 1.0
+#: Power of the round's number by which steps shrink.
+DECAY = 0.5
 END = np.uint64(0x9D39247E33776D41)
 STEP = 2 << 20
 LOG10 = np.log(10)
@@ -324,7 +331,9 @@ def _gradient(vocabulary, counts, weights):
                     c = met[cell]
                     without[level] += np.float32(START) * np.log((c - np.float32(1 - SMOOTH)) / (c + np.float32(SMOOTH)))
                     np.subtract.at(out, cell, np.float32(1))
-                out[ROWS * WAYS :][:WAYS] -= np.bincount(d[0], minlength=WAYS)
+                for level in range(LEVELS):
+                    seen = np.bincount(above[level] * WAYS + d[level], minlength=WAYS ** (level + 1))
+                    out[TREE_ROWS[level] * WAYS :][: len(seen)] -= seen
                 for lo in range(0, len(leaf), size):
                     part = slice(lo, lo + size)
                     n = len(leaf[part])
@@ -338,41 +347,46 @@ def _gradient(vocabulary, counts, weights):
                         np.clip(total, -80, 80, out=total)
                         np.exp(total, out=total)
                         total /= (total @ ones)[:, None]
+                        met_rows = [rows[k, part] for k in templates]
                         if level == 0:
                             out[ROWS * WAYS :][:WAYS] += total.sum(axis=0)
-                        for k in templates:
-                            np.add((rows[k, part] * WAYS)[:, None], places, out=cell)
+                        else:
+                            met_rows.append(above[level][part] + TREE_ROWS[level])
+                        for own in met_rows:
+                            np.add((own * WAYS)[:, None], places, out=cell)
                             np.add.at(out, cell.reshape(-1), total.reshape(-1))
         yield from _as_blocks(out)
 
     return run
 
 
-def _step(weights: np.ndarray, counts: np.ndarray, surplus: np.ndarray, features: int, share: float) -> None:
-    """One gradient update in place: ``surplus`` is expected less met in a ``share`` of the tokens; ``features`` rows act on each token."""
+def _step(weights: np.ndarray, counts: np.ndarray, surplus: np.ndarray, features: int, share: float, gain: float) -> None:
+    """One gradient update in place, by the part ``gain``: ``surplus`` is expected less met in a ``share`` of the tokens; ``features`` rows act on each token."""
     for lo in range(0, len(weights), 1 << 13):
         part = slice(lo, lo + (1 << 13))
         over = surplus[part]
         size = np.maximum(counts[part].astype(np.float32, copy=False) * np.float32(share) + over / 2, 0)
-        weights[part] -= np.clip(over / (features * size + np.float32(DAMPING * share)), -LONGEST, LONGEST)
+        weights[part] -= np.float32(gain) * np.clip(over / (features * size + np.float32(DAMPING)), -LONGEST, LONGEST)
 
 
 def fit_weights(texts: DataFrame, tasks: int, vocabulary, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Weights of the hashed rows and of the tree; each text is in the batch of one round. Below the root the tree's rows keep the logarithms they start from."""
+    """Weights of the hashed rows and of the tree; each text is in the batch of one round, and steps shrink from round to round."""
     context, above = texts.sparkSession.sparkContext, tree_counts(vocabulary.value)
     hashed, tree = np.float32(START) * _log_share(counts), [np.float32(TREE_START) * _log_share(c) for c in above]
     shared, share = context.broadcast(counts), 1 / max(rounds, 1)
     for k in range(rounds):
         state = context.broadcast((hashed, tree))
         batch = texts.where(F.pmod("draw", F.lit(rounds)) == k).select("text")
+        gain = (1 + k) ** -DECAY
         surplus = _summed(batch, tasks, _gradient(vocabulary, shared, state), ALL_ROWS, np.uint16, np.float64)
         state.destroy()
         for level in range(LEVELS):
             templates = [k for k, t in enumerate(TEMPLATES) if t[0] == level]
             for k in templates:
                 own = slice(k << ROW_BITS, (k + 1) << ROW_BITS)
-                _step(hashed[own], counts[own], surplus[own], 1 + len(templates), share)
-        _step(tree[0], above[0], surplus[ROWS : ROWS + 1], 1 + sum(t[0] == 0 for t in TEMPLATES), share)
+                _step(hashed[own], counts[own], surplus[own], 1 + len(templates), share, gain)
+            own = slice(TREE_ROWS[level], TREE_ROWS[level] + len(above[level]))
+            _step(tree[level], above[level], surplus[own], 1 + len(templates), share, gain)
     shared.destroy()
     return hashed, tree
 
