@@ -4,7 +4,8 @@ Vectors are compared only within a label. Equal vectors of a label are compared
 fitted by spherical k-means on a bounded sample of the distinct vectors (``FIT_ROWS``), one for about ``CELL_ROWS`` of
 them but ``LEAST_CELLS`` at least and ``MOST_CELLS`` at most. Every vector is at home in
 the cell of its nearest centre and a guest in each cell that could be the home of a vector it links with: by the
-angle between the vector and the plane that halves the way between two centres. The bound is exact, so every link
+angle between the vector and the plane that halves the way between two centres, and by the angle between the vector and the
+cell's centre, which is at most that of the cell's widest member at home and the linking angle. Both bounds are exact, so every link
 of a vector is found in its home cell, and no link is lost at a cell's border.
 
 Within a cell, a vector closer to the centre than half the linking angle links with all others that are (the core):
@@ -72,9 +73,38 @@ def fit_centres(distinct: DataFrame, dim: int, n: int, fit_rows: int = FIT_ROWS,
     return centres
 
 
-def _members(shared, threshold: float):
+def _widest(shared):
+    """For each cell, the greatest angle between its centre and a vector at home in it, as far as the task has met them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        widest = np.full(max((first + len(c) for c, first in shared.value.values()), default=0), -1.0)
+        for whole in batches:
+            dims = whole.column(0).to_numpy()
+            for dim in np.unique(dims):
+                vectors = whole.column(1).take(pa.array(np.flatnonzero(dims == dim)))
+                centres, first = shared.value[int(dim)]
+                for lo in range(0, len(vectors), 2000):
+                    dots = _units(vectors.slice(lo, 2000), int(dim)) @ centres.T
+                    home = dots.argmax(axis=1)
+                    np.maximum.at(widest, first + home, np.arccos(np.clip(dots[np.arange(len(home)), home], -1, 1)))
+        met = np.flatnonzero(widest >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(widest[met])], names=["cell", "angle"])
+
+    return run
+
+
+def cell_radii(distinct: DataFrame, shared) -> np.ndarray:
+    """The widest angle of each cell; one number for a cell, below zero for one that is no vector's home."""
+    found = distinct.select("dim", "vector").mapInArrow(_widest(shared), "cell int, angle double").groupBy("cell").agg(F.max("angle").alias("angle")).collect()
+    out = np.full(max((first + len(c) for c, first in shared.value.values()), default=0), -1.0)
+    for row in found:
+        out[row.cell] = row.angle
+    return out
+
+
+def _members(shared, radii, threshold: float):
     """Each distinct vector's row at home and its rows as a guest."""
-    sine, half = math.sqrt(1 - threshold**2), math.cos(math.acos(threshold) / 2)
+    sine, half, link = math.sqrt(1 - threshold**2), math.cos(math.acos(threshold) / 2), math.acos(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -82,6 +112,8 @@ def _members(shared, threshold: float):
             for dim in np.unique(dims):
                 rows = whole.take(pa.array(np.flatnonzero(dims == dim)))
                 centres, first = shared.value[int(dim)]
+                radius = radii.value[first : first + len(centres)]
+                reach = np.where(radius >= 0, np.cos(np.minimum(radius + link, math.pi)) - SLACK, 2.0)  # what a guest's cosine is at least
                 for lo in range(0, rows.num_rows, 2000):
                     batch = rows.slice(lo, 2000)
                     units = _units(batch.column(4), int(dim))
@@ -89,7 +121,7 @@ def _members(shared, threshold: float):
                     at = np.arange(len(units))
                     home = dots.argmax(axis=1)
                     apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 1e-18))
-                    guest = dots[at, home][:, None] - dots <= (sine + SLACK) * apart[home]
+                    guest = (dots[at, home][:, None] - dots <= (sine + SLACK) * apart[home]) & (dots >= reach)
                     guest[at, home] = True
                     r, c = np.nonzero(guest)
                     data = [u.tobytes() for u in units]
@@ -151,7 +183,8 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str =
         centres[dim] = (fit_centres(distinct, dim, n, cell_rows=cell_rows), first)
         first += max(1, len(centres[dim][0]))
     shared = spark.sparkContext.broadcast(centres)
-    members = materialize(distinct.select("gid", "label", "copies", "dim", "vector").mapInArrow(_members(shared, threshold), MEMBER), "members")
+    radii = spark.sparkContext.broadcast(cell_radii(distinct, shared))
+    members = materialize(distinct.select("gid", "label", "copies", "dim", "vector").mapInArrow(_members(shared, radii, threshold), MEMBER), "members")
 
     # rows of a cell go to blocks of their own kind; a pair of blocks is one product, but for two of the core
     sizes = members.groupBy("label", "cell").agg(

@@ -273,6 +273,30 @@ def test_embedding_links_against_brute_force(spark, cell_rows, block):
     assert embedding_dedup.link_vectors(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("n", "clusters", "spread"), [(400, 8, 0.1), (1500, 40, 0.07), (1500, 3, 0.2)])
+def test_clustered_embeddings_against_brute_force(spark, n, clusters, spread):
+    """Groups of real links, of several sizes, with exact copies and repeated ids; cells of forty vectors."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(clusters, 16))[rng.integers(0, clusters, n)] + spread * rng.normal(size=(n, 16)) * rng.uniform(0.2, 3, (n, 1))
+    x[n - 10 :] = x[:10]
+    ids, labels = np.arange(n), rng.integers(0, 3, n)
+    ids[n - 5 :] = ids[:5]
+    rows = spark.createDataFrame([(int(i), [float(v) for v in e], f"l{c}") for i, e, c in zip(ids, x, labels, strict=True)], "vec_id bigint, embedding array<double>, label string").repartition(5)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    link = (u @ u.T >= 0.93) & (labels[:, None] == labels[None])
+    np.fill_diagonal(link, False)
+    assert link.sum() > n
+    comp = ids.copy()
+    while True:
+        new = np.minimum(comp, np.where(link, comp[None], n).min(axis=1))
+        if (new == comp).all():
+            break
+        comp = new
+    wanted = sorted((int(i), int(k), int(c), bool(i == c)) for i, k, c in zip(ids, link.sum(axis=1), comp, strict=True))
+    found = embedding_dedup.link_vectors(rows, cell_rows=40, block=64).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in found) == wanted
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
