@@ -18,6 +18,11 @@ SUBJECTS = [
 ]
 AUTHOR_SCHEMES = ["ORCID", "ROR", "ISNI", "LCNA", "VIAF", "GND", "DAI", "ResearcherID", "ScopusID"]
 CROISSANT = "http://mlcommons.org/croissant/1.1"
+# The terms of a Croissant document that are written here.
+CROISSANT_CONTEXT = {
+    "@language": "en", "@vocab": "http://schema.org/", "sc": "http://schema.org/", "cr": "http://mlcommons.org/croissant/", "dct": "http://purl.org/dc/terms/",
+    "citeAs": "cr:citeAs", "conformsTo": "dct:conformsTo", "isLiveDataset": "cr:isLiveDataset", "sdVersion": "cr:sdVersion", "md5": "cr:md5",
+}
 
 
 def _or_blank(c: Column) -> Column:
@@ -248,3 +253,26 @@ def dataverse_json(citation: DataFrame, key: str = "doc_id", license: str = "CC0
     ]
     head = F.concat(F.lit('{"datasetVersion":{"license":'), F.to_json(F.struct(F.lit(license).alias("name"), F.lit(license_uri).alias("uri"))), F.lit(',"metadataBlocks":{"citation":{"fields":['))
     return citation.select(key, F.concat(head, F.concat_ws(",", *[F.to_json(f) for f in fields]), F.lit('],"displayName":"Citation Metadata"}}}}')).alias("json"))
+
+
+#: Members of a Croissant document, in their order, by column.
+_CROISSANT_MEMBERS = {
+    "conforms_to": "conformsTo", "name": "name", "description": "description", "license": "license", "url": "url", "creator": "creator", "publisher": "publisher",
+    "date_published": "datePublished", "date_created": "dateCreated", "date_modified": "dateModified", "distribution": "distribution", "keywords": "keywords",
+    "version": "version", "in_language": "inLanguage", "same_as": "sameAs",
+}
+
+
+def croissant_documents(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, json) of ``croissant`` rows: linked data with its context, agents and files as typed nodes, a file's digest under the name of its kind; absent
+    members are left out."""
+    agent = lambda a: F.when(a.isNotNull(), F.struct(a["type"].alias("@type"), a["name"].alias("name"), a["url"].alias("url")))
+    digest = lambda d, kind: F.when(d["digest"] == kind, d["checksum"]).alias(kind)
+    file = lambda d: F.struct(
+        F.lit("cr:FileObject").alias("@type"), d["content_url"].alias("@id"), d["content_url"].alias("contentUrl"), F.nullif(d["encoding_format"], F.lit("")).alias("encodingFormat"),
+        d["content_size"].alias("contentSize"), digest(d, "md5"), digest(d, "sha256"),
+    )
+    shaped = {"creator": F.transform("creator", agent), "publisher": agent(F.col("publisher")), "distribution": F.transform("distribution", file)}
+    context = F.struct(*[F.lit(v).alias(k) for k, v in CROISSANT_CONTEXT.items()])
+    members = [shaped.get(c, F.col(c)).alias(n) for c, n in _CROISSANT_MEMBERS.items() if c in rows.columns]
+    return rows.select(key, F.to_json(F.struct(context.alias("@context"), F.lit("sc:Dataset").alias("@type"), *members), {"ignoreNullFields": "true"}).alias("json"))

@@ -32,7 +32,7 @@ STEPS = (("schema:subjectOf", "dcterms:conformsTo"),)
 class Shape:
     """What the nodes of a target must have.
 
-    ``target`` is a class, ``dataset``, ``record``, ``term``, ``variable``, or ``property>class`` for values of a property. ``may_be`` lists kinds of
+    ``target`` is a class, ``dataset``, ``record``, ``term``, ``variable``, or ``property>class`` for values of a property (``dataset:property>class``: of a dataset's own). ``may_be`` lists kinds of
     values (string, number, iri) and classes, none for any; ``pattern`` and ``length`` are for strings. ``has`` are values that must all be there.
     ``lenient``: values that are not valid do not count, and are no fault in themselves.
     """
@@ -55,12 +55,12 @@ _TEXT, _LINK = ("string",), ("string", "iri")
 #: The profile's shapes: datasets, catalogue records, defined terms, variables, files, places and namespaces.
 SHAPES = (
     Shape("resourceIdentifierProperty", "Violation", "dataset", ("schema:identifier",), "an identifier is needed, a string or a PropertyValue", 1, may_be=("string", "schema:PropertyValue")),
-    Shape("resourceIdentifierValue", "Violation", "schema:identifier>schema:PropertyValue", ("schema:url", "schema:value"), "an identifier needs a url or a value", 1, may_be=_TEXT),
-    Shape("resourceIdentifierScheme", "Warning", "schema:identifier>schema:PropertyValue", ("schema:propertyID",), "an identifier should name its scheme", 1),
+    Shape("resourceIdentifierValue", "Violation", "dataset:schema:identifier>schema:PropertyValue", ("schema:url", "schema:value"), "an identifier needs a url or a value", 1, may_be=_TEXT),
+    Shape("resourceIdentifierScheme", "Warning", "dataset:schema:identifier>schema:PropertyValue", ("schema:propertyID",), "an identifier should name its scheme", 1),
     Shape("nameProperty", "Violation", "dataset", ("schema:name",), "a name is needed", 1, may_be=_TEXT),
     Shape("rightsProperty", "Violation", "dataset", ("schema:license", "schema:conditionsOfAccess"), "a license or conditions of access are needed", 1, may_be=("string", "iri", "schema:CreativeWork")),
-    Shape("rightsAddress", "Violation", "schema:license>schema:CreativeWork", ("schema:url",), "a license's work needs an address", 1, may_be=_TEXT, pattern=ADDRESS),
-    Shape("conditionsAddress", "Violation", "schema:conditionsOfAccess>schema:CreativeWork", ("schema:url",), "a work on conditions needs an address", 1, may_be=_TEXT, pattern=ADDRESS),
+    Shape("rightsAddress", "Violation", "dataset:schema:license>schema:CreativeWork", ("schema:url",), "a license's work needs an address", 1, may_be=_TEXT, pattern=ADDRESS),
+    Shape("conditionsAddress", "Violation", "dataset:schema:conditionsOfAccess>schema:CreativeWork", ("schema:url",), "a work on conditions needs an address", 1, may_be=_TEXT, pattern=ADDRESS),
     Shape("dateModifiedProperty", "Violation", "dataset", ("schema:dateModified",), "a date of the last change is needed, with a year and a month at least", 1, may_be=_TEXT, pattern=DATE),
     Shape("accessProperty", "Violation", "dataset", ("schema:url", "schema:distribution"), "an address or a distribution is needed", 1),
     Shape("descriptionProperty", "Warning", "dataset", ("schema:description",), "a description is recommended", 1, may_be=_TEXT),
@@ -76,11 +76,11 @@ SHAPES = (
     Shape("distributionProperty", "Info", "dataset", ("schema:distribution",), "distributions should be downloads or services", may_be=("schema:DataDownload", "schema:WebAPI")),
     Shape("providerProperty", "Info", "dataset", ("schema:provider",), "providers should be persons, organisations or addresses", may_be=("schema:Person", "schema:Organization", "iri")),
     Shape("policiesProperty", "Info", "dataset", ("schema:publishingPrinciples",), "policies should be works or addresses", may_be=("schema:CreativeWork", "iri")),
-    Shape("policyContent", "Info", "schema:publishingPrinciples>schema:CreativeWork", ("schema:url", "schema:description"), "a policy needs an address or a description", 1, may_be=_TEXT),
-    Shape("policyName", "Info", "schema:publishingPrinciples>schema:CreativeWork", ("schema:name",), "a policy should have a name", 1, may_be=_TEXT),
+    Shape("policyContent", "Info", "dataset:schema:publishingPrinciples>schema:CreativeWork", ("schema:url", "schema:description"), "a policy needs an address or a description", 1, may_be=_TEXT),
+    Shape("policyName", "Info", "dataset:schema:publishingPrinciples>schema:CreativeWork", ("schema:name",), "a policy should have a name", 1, may_be=_TEXT),
     Shape("relatedResourceProperty", "Info", "dataset", ("schema:relatedLink",), "related links should be LinkRoles", may_be=("schema:LinkRole",)),
-    Shape("relatedResourceRelation", "Info", "schema:relatedLink>schema:LinkRole", ("schema:linkRelationship",), "a related link needs its relation", 1, may_be=("string", "iri", "schema:DefinedTerm")),
-    Shape("relatedResourceTarget", "Info", "schema:relatedLink>schema:LinkRole", ("schema:target",), "a related link's target should be an EntryPoint", may_be=("schema:EntryPoint",)),
+    Shape("relatedResourceRelation", "Info", "dataset:schema:relatedLink>schema:LinkRole", ("schema:linkRelationship",), "a related link needs its relation", 1, may_be=("string", "iri", "schema:DefinedTerm")),
+    Shape("relatedResourceTarget", "Info", "dataset:schema:relatedLink>schema:LinkRole", ("schema:target",), "a related link's target should be an EntryPoint", may_be=("schema:EntryPoint",)),
     Shape("relatedResourceUrl", "Info", "schema:target>schema:EntryPoint", ("schema:url",), "a related link's target needs an address", 1, may_be=_TEXT),
     Shape("citationProperty", "Info", "dataset", ("schema:citation",), "schema:citation is not recommended", most=0),
     Shape("metadataProfileProperty", "Violation", "record", ("dcterms:conformsTo",), "the record must follow the core and the discovery profile", 1, has=tuple(PROFILES)),
@@ -120,8 +120,8 @@ def _kinds(value) -> list[str]:
     return ["string" if isinstance(value, str) else "boolean" if isinstance(value, bool) else "number"]
 
 
-def _targets(node: dict, classes: list[str], under: str | None) -> list[str]:
-    found = [*classes, *(f"{under}>{c}" for c in classes)]
+def _targets(node: dict, classes: list[str], under: str | None, of_dataset: bool) -> list[str]:
+    found = [*classes, *(f"{under}>{c}" for c in classes), *(f"dataset:{under}>{c}" for c in classes if of_dataset)]
     record = under == "schema:subjectOf" or "dcat:CatalogRecord" in _many(node.get("schema:additionalType"))
     if "schema:Dataset" in classes:
         found.append("record" if record else "dataset")
@@ -134,15 +134,16 @@ def _targets(node: dict, classes: list[str], under: str | None) -> list[str]:
 
 def linked(text: str | None) -> Iterator[tuple]:
     """Nodes (node, place, targets, ...) and links (node, ..., property, at, kinds, value) of a document; blank strings and nulls are left out."""
-    todo = [(v, "$", None) for v in parsed(text)]
+    todo = [(v, "$", None, False) for v in parsed(text)]
     while todo:
-        value, place, under = todo.pop()
+        value, place, under, of_dataset = todo.pop()
         if isinstance(value, list):
-            todo += [(v, f"{place}[{i}]", under) for i, v in enumerate(value)]
+            todo += [(v, f"{place}[{i}]", under, of_dataset) for i, v in enumerate(value)]
         if not isinstance(value, dict):
             continue
         node = value.get("@id") if isinstance(value.get("@id"), str) else place
-        yield place, node, _targets(value, _kinds(value)[1:], under), None, None, None, None
+        targets = _targets(value, _kinds(value)[1:], under, of_dataset)
+        yield place, node, targets, None, None, None, None
         links = [(k, f"{place}.{k}", v) for k, v in value.items() if k != "@id"]
         links += [(f"{a}/{b}", f"{place}.{a}.{b}", o.get(b)) for a, b in STEPS for o in _many(value.get(a)) if isinstance(o, dict)]
         for name, at, held in links:
@@ -150,7 +151,7 @@ def linked(text: str | None) -> Iterator[tuple]:
                 if not isinstance(v, str) or v.strip():
                     own = v if isinstance(v, str) else v.get("@id") if isinstance(v, dict) and isinstance(v.get("@id"), str) else None
                     yield place, None, None, name, at, _kinds(v), own
-        todo += [(v, f"{place}.{k}", k) for k, v in value.items() if isinstance(v, (dict, list))]
+        todo += [(v, f"{place}.{k}", k, "dataset" in targets) for k, v in value.items() if isinstance(v, (dict, list))]
 
 
 def conformance(documents: DataFrame, key: str, json: str, shapes: tuple[Shape, ...] = SHAPES) -> DataFrame:

@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from ferrolith.queries import aggregates, batches, catalogue, crosswalk, documents, entries, evaluating, files, identifiers, joins, layouts, ranking, text, web  # noqa: E402, F401
+from ferrolith.queries import aggregates, batches, catalogue, crosswalk, documents, entries, evaluating, files, identifiers, joins, layouts, outputs, ranking, text, web  # noqa: E402, F401
