@@ -53,15 +53,17 @@ def weighted_ratio(a: str, b: str) -> float:
     """A likeness of names, 0 to 100, that forgives word order and, at a discount, missing words."""
     if not a or not b:
         return 0.0
+    whole, lengths = _ratio(a, b), max(len(a), len(b)) / min(len(a), len(b))
+    scale = 1.0 if lengths < 1.5 else 0.9 if lengths < 8 else 0.6
+    if " " not in a and " " not in b:  # words have no order, and nothing in common but all
+        return whole if lengths < 1.5 else max(whole, scale * _partial(a, b))
     by_order = lambda s: " ".join(sorted(s.split()))
     x, y = set(a.split()), set(b.split())
     common, rest_a, rest_b = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
     joined_a, joined_b = f"{common} {rest_a}".strip(), f"{common} {rest_b}".strip()
     token_set = 100.0 if common and (not rest_a or not rest_b) else max(_ratio(joined_a, joined_b), _ratio(common, joined_a) if common else 0, _ratio(common, joined_b) if common else 0)
-    whole, lengths = _ratio(a, b), max(len(a), len(b)) / min(len(a), len(b))
     if lengths < 1.5:
         return max(whole, 0.95 * _ratio(by_order(a), by_order(b)), 0.95 * token_set)
-    scale = 0.9 if lengths < 8 else 0.6
     return max(whole, scale * _partial(a, b), 0.95 * scale * max(_partial(by_order(a), by_order(b)), 100.0 if common else 0.0))
 
 

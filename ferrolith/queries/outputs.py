@@ -66,3 +66,34 @@ def src_02(spark, sf_dir):
     write_folder(pages.select(F.concat(F.lit("p-"), k, F.when(k % 4 == 0, ".txt").otherwise(".json")).alias("name"), F.when(k % 3 == 0, "{").otherwise("{}").alias("value")), folder)
     write_folder(pages.select(F.concat(F.lit("q-"), k, F.lit(".json")).alias("name"), F.lit("{}").alias("value")), f"{folder}/below")
     return resources.read_resources(spark, folder).select(F.substring_index("path", "/", -1).alias("name"), "error")
+
+
+@query("src_18_objects", "select 'o-' || page_id as name, strlen(url) as length, md5(url) as digest from pages where page_id % 3 <> 0")
+def src_18(spark, sf_dir):
+    """Objects below a prefix; empty ones, which stand for folders, are left out."""
+    k = F.col("page_id")
+    folder = new_folder(spark, "objects")
+    write_folder(table(spark, sf_dir, "pages").select(F.concat(F.lit("o-"), k).alias("name"), F.when(k % 3 == 0, "").otherwise(F.col("url")).alias("value")), folder)
+    return resources.listed_objects(spark, folder).select(F.substring_index("path", "/", -1).alias("name"), "length", F.md5("content").alias("digest"))
+
+
+@query("snk_03_report", """select '| region | nations |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || r_name || ' | ' || n || ' |', chr(10) order by r_name) || chr(10) as report
+from (select r_name, count(*) as n from nation join region on n_regionkey = r_regionkey group by 1)""")
+def snk_03(spark, sf_dir):
+    """A report of a few rows as a Markdown table."""
+    joined = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    counts = joined.groupBy(F.col("r_name").alias("region")).agg(F.count(F.lit(1)).alias("nations")).orderBy("region")
+    return spark.createDataFrame([(sinks.markdown_table(counts),)], "report string")
+
+
+@query("snk_04_overrides", """with o as (select s_suppkey as k, case when s_suppkey % 2 = 0 then 'Oficina "' || s_name || '"' else s_name end as name from supplier where s_suppkey % 5 <> 0)
+select 'overrides:' as line, 1 as n union all select '  - name: "' || replace(name, '"', chr(92) || '"') || '"', 1 from o
+union all select '    country: "CL"', count(*) from o where k % 3 = 0 union all select '    ror_id: "r' || k || '"', 1 from o""")
+def snk_04(spark, sf_dir):
+    """Overrides written for people to edit, line by line: quotes, missing countries, entries without an identifier left out."""
+    k = F.col("s_suppkey")
+    name = F.when(k % 2 == 0, F.concat(F.lit('Oficina "'), "s_name", F.lit('"'))).otherwise(F.col("s_name"))
+    entries = table(spark, sf_dir, "supplier").select(name.alias("name"), F.when(k % 3 == 0, "cl").alias("country"), F.when(k % 5 != 0, F.concat(F.lit("r"), k)).alias("ror_id"), F.lit("").alias("isni_id"), k.alias("at"))
+    folder = new_folder(spark, "overrides")
+    curation.write_overrides_yaml(curation.load_overrides(entries, "at"), folder)
+    return spark.read.text(folder).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
