@@ -54,10 +54,13 @@ def stratified_draw(rows: DataFrame, stratum: str, key: Column, seats: DataFrame
 
 
 def collision_names(rows: DataFrame, name: str, month: str, key: str) -> DataFrame:
-    """A file name of its own for each row: the name where it is unique, else with the month, else with a letter as well."""
+    """A file name of its own for each row: the name where it is unique, else with the month, else with a letter as well, with two where letters run out, and
+    with a number after those."""
     alone, in_month = F.count(F.lit(1)).over(Window.partitionBy(name)), F.count(F.lit(1)).over(Window.partitionBy(name, month))
     place = F.row_number().over(Window.partitionBy(name, month).orderBy(key))
-    final = F.when(alone == 1, F.col(name)).when(in_month == 1, F.concat_ws("_", name, month)).otherwise(F.concat(F.concat_ws("_", name, month), F.chr(96 + place)))
+    two = F.concat(F.chr(96 + F.floor((place - 1) / 26)), F.chr(97 + (place - 1) % 26))
+    letters = F.when(place <= 26, F.chr(96 + place)).when(place <= 702, two).otherwise(place.cast("string"))
+    final = F.when(alone == 1, F.col(name)).when(in_month == 1, F.concat_ws("_", name, month)).otherwise(F.concat(F.concat_ws("_", name, month), letters))
     return rows.withColumn("final_name", final)
 
 

@@ -15,6 +15,7 @@ Any store that pyarrow's file systems reach can hold the folder.
 from __future__ import annotations
 
 import posixpath
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -41,6 +42,8 @@ NAME = "resource_files"
 SCHEMA = "path string, scheme string, length bigint, value string, error string"
 #: Bytes and number of files in one partition.
 PART_BYTES, PART_FILES = 32 << 20, 1_000
+#: How often the folder of an aborted write is looked for again.
+ATTEMPTS = 10
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str, str]:
@@ -172,12 +175,13 @@ class Written(WriterCommitMessage):
 class FolderWriter(DataSourceWriter):
     def __init__(self, folder: str, overwrite: bool):
         self.folder, self.overwrite = folder, overwrite
-        _, inside, _ = _store(folder)
+        store, inside, _ = _store(folder)
         self.aside = f"{posixpath.dirname(inside)}/.{posixpath.basename(inside)}-{uuid.uuid4().hex}"
+        # made here, on the driver, once: a task that outlives an aborted write finds no folder and leaves nothing
+        store.create_dir(self.aside, recursive=True)
 
     def write(self, iterator: Iterator[Row]) -> Written:
         store, _, _ = _store(self.folder)
-        store.create_dir(self.aside, recursive=True)
         n = 0
         for row in iterator:
             if not row["name"] or "/" in row["name"]:
@@ -191,7 +195,6 @@ class FolderWriter(DataSourceWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         store, inside, _ = _store(self.folder)
-        store.create_dir(self.aside, recursive=True)
         there = [f for f in store.get_file_info(fs.FileSelector(self.aside)) if not f.base_name.startswith(".")]
         if len(there) != sum(m.files for m in messages if m):
             store.delete_dir(self.aside)
@@ -205,8 +208,13 @@ class FolderWriter(DataSourceWriter):
 
     def abort(self, messages: list[Written | None]) -> None:
         store, _, _ = _store(self.folder)
-        if store.get_file_info(self.aside).type != fs.FileType.NotFound:
-            store.delete_dir(self.aside)
+        for _ in range(ATTEMPTS):  # tasks that are being stopped may still add a file
+            try:
+                if store.get_file_info(self.aside).type == fs.FileType.NotFound:
+                    return
+                store.delete_dir(self.aside)
+            except OSError:
+                time.sleep(0.2)
 
 
 class ResourceFiles(DataSource):

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, IntegerType, LongType, StringType, StructType
 
+from ferrolith.operators.ranking import collision_names
 from ferrolith.plans.schema import CURIES
+from ferrolith.sources.files import write_folder
 
 
 def as_json(documents: DataFrame, key: str, pretty: bool = False) -> DataFrame:
@@ -23,6 +25,13 @@ def write_documents(documents: DataFrame, path: str, key: str) -> None:
     as_json(documents, key).select("json").write.mode("errorifexists").text(path)
 
 
+def write_document_files(documents: DataFrame, folder: str, key: str, name: str, month: str) -> None:
+    """One file of pretty JSON for each document, named by ``name``, and where documents share one also by ``month`` and a letter."""
+    named = collision_names(documents.select(key, name, month), name, month, key).select(F.col(key).alias("n_key"), F.concat("final_name", F.lit(".json")).alias("name"))
+    texts = as_json(documents.drop(name, month), key, pretty=True)
+    write_folder(texts.join(named, F.col(key).eqNullSafe(F.col("n_key"))).select("name", F.col("json").alias("value")), folder)
+
+
 def markdown_table(rows: DataFrame, most: int = 200) -> str:
     """A small result as a Markdown table; more than ``most`` rows are an error, not a shorter table."""
     found = rows.limit(most + 1).collect()

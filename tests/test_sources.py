@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ferrolith.operators.caching import stored_data
 from ferrolith.sources.files import FolderReader, read_folder, register, write_folder
+from ferrolith.sources.sinks import write_document_files
 from ferrolith.streaming.caching import answered_once
 from ferrolith.streaming.pages import event_windows, read_pages
 
@@ -65,6 +66,14 @@ def test_one_file_for_each_document(spark, tmp_path):
     assert os.listdir(tmp_path / "empty") == []
 
 
+def test_documents_of_one_name_get_files_of_their_own(spark, tmp_path):
+    docs = spark.range(0, 760, 1, 3).select("id", F.when(F.col("id") < 730, "same").when(F.col("id") < 740, "twice").otherwise(F.concat(F.lit("n"), "id")).alias("stem"), F.when(F.col("id") < 730, "01").otherwise(F.col("id").cast("string")).alias("month"), F.lit("é").alias("title")).withColumnRenamed("id", "doc_id")
+    write_document_files(docs, str(tmp_path / "out"), "doc_id", "stem", "month")
+    found = set(os.listdir(tmp_path / "out"))
+    assert len(found) == 760 and {"same_01a.json", "same_01z.json", "same_01aa.json", "same_01zz.json", "same_01703.json", "twice_735.json", "n745.json"} <= found
+    assert (tmp_path / "out" / "n745.json").read_text() == '{\n  "title" : "é"\n}'
+
+
 @pytest.mark.parametrize("wrong", ["raise_error('broken')", "''", "'a/b'", "'n1.json'"])
 def test_nothing_is_left_of_a_failed_write(spark, tmp_path, wrong):
     docs = spark.range(0, 40, 1, 4).select(F.expr(f"case when id = 33 then {wrong} else concat('n', id, '.json') end").cast("string").alias("name"), F.lit("{}").alias("value"))
