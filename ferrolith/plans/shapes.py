@@ -54,57 +54,168 @@ class Shape:
 _TEXT, _LINK = ("string",), ("string", "iri")
 #: The profile's shapes: datasets, catalogue records, defined terms, variables, files, places and namespaces.
 SHAPES = (
-    Shape("resourceIdentifierProperty", "Violation", "dataset", ("schema:identifier",), "an identifier is needed, a string or a PropertyValue", 1, may_be=("string", "schema:PropertyValue")),
-    Shape("resourceIdentifierValue", "Violation", "dataset:schema:identifier>schema:PropertyValue", ("schema:url", "schema:value"), "an identifier needs a url or a value", 1, may_be=_TEXT),
-    Shape("resourceIdentifierScheme", "Warning", "dataset:schema:identifier>schema:PropertyValue", ("schema:propertyID",), "an identifier should name its scheme", 1),
+    Shape(
+        "resourceIdentifierProperty", "Violation", "dataset", ("schema:identifier",),
+        "an identifier is needed, a string or a PropertyValue", 1, may_be=("string", "schema:PropertyValue"),
+    ),
+    Shape(
+        "resourceIdentifierValue", "Violation", "dataset:schema:identifier>schema:PropertyValue", ("schema:url", "schema:value"),
+        "an identifier needs a url or a value", 1, may_be=_TEXT,
+    ),
+    Shape(
+        "resourceIdentifierScheme", "Warning", "dataset:schema:identifier>schema:PropertyValue", ("schema:propertyID",),
+        "an identifier should name its scheme", 1,
+    ),
     Shape("nameProperty", "Violation", "dataset", ("schema:name",), "a name is needed", 1, may_be=_TEXT),
-    Shape("rightsProperty", "Violation", "dataset", ("schema:license", "schema:conditionsOfAccess"), "a license or conditions of access are needed", 1, may_be=("string", "iri", "schema:CreativeWork")),
-    Shape("rightsAddress", "Violation", "dataset:schema:license>schema:CreativeWork", ("schema:url",), "a license's work needs an address", 1, may_be=_TEXT, pattern=ADDRESS),
-    Shape("conditionsAddress", "Violation", "dataset:schema:conditionsOfAccess>schema:CreativeWork", ("schema:url",), "a work on conditions needs an address", 1, may_be=_TEXT, pattern=ADDRESS),
-    Shape("dateModifiedProperty", "Violation", "dataset", ("schema:dateModified",), "a date of the last change is needed, with a year and a month at least", 1, may_be=_TEXT, pattern=DATE),
+    Shape(
+        "rightsProperty", "Violation", "dataset", ("schema:license", "schema:conditionsOfAccess"),
+        "a license or conditions of access are needed", 1, may_be=("string", "iri", "schema:CreativeWork"),
+    ),
+    Shape(
+        "rightsAddress", "Violation", "dataset:schema:license>schema:CreativeWork", ("schema:url",),
+        "a license's work needs an address", 1, may_be=_TEXT, pattern=ADDRESS,
+    ),
+    Shape(
+        "conditionsAddress", "Violation", "dataset:schema:conditionsOfAccess>schema:CreativeWork", ("schema:url",),
+        "a work on conditions needs an address", 1, may_be=_TEXT, pattern=ADDRESS,
+    ),
+    Shape(
+        "dateModifiedProperty", "Violation", "dataset", ("schema:dateModified",),
+        "a date of the last change is needed, with a year and a month at least", 1, may_be=_TEXT, pattern=DATE,
+    ),
     Shape("accessProperty", "Violation", "dataset", ("schema:url", "schema:distribution"), "an address or a distribution is needed", 1),
     Shape("descriptionProperty", "Warning", "dataset", ("schema:description",), "a description is recommended", 1, may_be=_TEXT),
     Shape("creatorProperty", "Warning", "dataset", ("schema:creator",), "a creator is recommended", 1),
     Shape("keywordsProperty", "Warning", "dataset", ("schema:keywords",), "keywords are recommended", 1),
-    Shape("keywordsNoCommaTest", "Warning", "dataset", ("schema:keywords",), "keywords are values of their own, without commas", may_be=("string", "iri", "node"), pattern=r"^[^,]*$"),
-    Shape("metadataIdentifierProperty", "Warning", "dataset", ("schema:subjectOf",), "the record that describes the dataset is recommended", 1),
-    Shape("resourceMetadataProfileProperty", "Warning", "dataset", ("schema:subjectOf/dcterms:conformsTo",), "the record should say which profile it follows", 1),
-    Shape("otherIdentifierProperty", "Info", "dataset", ("schema:sameAs",), "other identifiers should be addresses or strings", may_be=("string", "number", "iri")),
-    Shape("responsiblePartyProperty", "Info", "dataset", ("schema:creator", "schema:editor", "schema:publisher"), "a responsible party is recommended", 1),
-    Shape("contributorProperty", "Info", "dataset", ("schema:contributor",), "contributors should be roles, persons, organisations or addresses", may_be=("schema:Role", "schema:Person", "schema:Organization", "iri")),
-    Shape("datePublishedProperty", "Info", "dataset", ("schema:datePublished",), "a date of publication is recommended, with a year and a month at least", 1, may_be=_TEXT, pattern=DATE),
-    Shape("distributionProperty", "Info", "dataset", ("schema:distribution",), "distributions should be downloads or services", may_be=("schema:DataDownload", "schema:WebAPI")),
-    Shape("providerProperty", "Info", "dataset", ("schema:provider",), "providers should be persons, organisations or addresses", may_be=("schema:Person", "schema:Organization", "iri")),
-    Shape("policiesProperty", "Info", "dataset", ("schema:publishingPrinciples",), "policies should be works or addresses", may_be=("schema:CreativeWork", "iri")),
-    Shape("policyContent", "Info", "dataset:schema:publishingPrinciples>schema:CreativeWork", ("schema:url", "schema:description"), "a policy needs an address or a description", 1, may_be=_TEXT),
-    Shape("policyName", "Info", "dataset:schema:publishingPrinciples>schema:CreativeWork", ("schema:name",), "a policy should have a name", 1, may_be=_TEXT),
-    Shape("relatedResourceProperty", "Info", "dataset", ("schema:relatedLink",), "related links should be LinkRoles", may_be=("schema:LinkRole",)),
-    Shape("relatedResourceRelation", "Info", "dataset:schema:relatedLink>schema:LinkRole", ("schema:linkRelationship",), "a related link needs its relation", 1, may_be=("string", "iri", "schema:DefinedTerm")),
-    Shape("relatedResourceTarget", "Info", "dataset:schema:relatedLink>schema:LinkRole", ("schema:target",), "a related link's target should be an EntryPoint", may_be=("schema:EntryPoint",)),
-    Shape("relatedResourceUrl", "Info", "schema:target>schema:EntryPoint", ("schema:url",), "a related link's target needs an address", 1, may_be=_TEXT),
+    Shape(
+        "keywordsNoCommaTest", "Warning", "dataset", ("schema:keywords",),
+        "keywords are values of their own, without commas", may_be=("string", "iri", "node"), pattern=r"^[^,]*$",
+    ),
+    Shape(
+        "metadataIdentifierProperty", "Warning", "dataset", ("schema:subjectOf",),
+        "the record that describes the dataset is recommended", 1,
+    ),
+    Shape(
+        "resourceMetadataProfileProperty", "Warning", "dataset", ("schema:subjectOf/dcterms:conformsTo",),
+        "the record should say which profile it follows", 1,
+    ),
+    Shape(
+        "otherIdentifierProperty", "Info", "dataset", ("schema:sameAs",),
+        "other identifiers should be addresses or strings", may_be=("string", "number", "iri"),
+    ),
+    Shape(
+        "responsiblePartyProperty", "Info", "dataset", ("schema:creator", "schema:editor", "schema:publisher"),
+        "a responsible party is recommended", 1,
+    ),
+    Shape(
+        "contributorProperty", "Info", "dataset", ("schema:contributor",),
+        "contributors should be roles, persons, organisations or addresses", may_be=("schema:Role", "schema:Person", "schema:Organization", "iri"),
+    ),
+    Shape(
+        "datePublishedProperty", "Info", "dataset", ("schema:datePublished",),
+        "a date of publication is recommended, with a year and a month at least", 1, may_be=_TEXT, pattern=DATE,
+    ),
+    Shape(
+        "distributionProperty", "Info", "dataset", ("schema:distribution",),
+        "distributions should be downloads or services", may_be=("schema:DataDownload", "schema:WebAPI"),
+    ),
+    Shape(
+        "providerProperty", "Info", "dataset", ("schema:provider",),
+        "providers should be persons, organisations or addresses", may_be=("schema:Person", "schema:Organization", "iri"),
+    ),
+    Shape(
+        "policiesProperty", "Info", "dataset", ("schema:publishingPrinciples",),
+        "policies should be works or addresses", may_be=("schema:CreativeWork", "iri"),
+    ),
+    Shape(
+        "policyContent", "Info", "dataset:schema:publishingPrinciples>schema:CreativeWork", ("schema:url", "schema:description"),
+        "a policy needs an address or a description", 1, may_be=_TEXT,
+    ),
+    Shape(
+        "policyName", "Info", "dataset:schema:publishingPrinciples>schema:CreativeWork", ("schema:name",),
+        "a policy should have a name", 1, may_be=_TEXT,
+    ),
+    Shape(
+        "relatedResourceProperty", "Info", "dataset", ("schema:relatedLink",),
+        "related links should be LinkRoles", may_be=("schema:LinkRole",),
+    ),
+    Shape(
+        "relatedResourceRelation", "Info", "dataset:schema:relatedLink>schema:LinkRole", ("schema:linkRelationship",),
+        "a related link needs its relation", 1, may_be=("string", "iri", "schema:DefinedTerm"),
+    ),
+    Shape(
+        "relatedResourceTarget", "Info", "dataset:schema:relatedLink>schema:LinkRole", ("schema:target",),
+        "a related link's target should be an EntryPoint", may_be=("schema:EntryPoint",),
+    ),
+    Shape(
+        "relatedResourceUrl", "Info", "schema:target>schema:EntryPoint", ("schema:url",),
+        "a related link's target needs an address", 1, may_be=_TEXT,
+    ),
     Shape("citationProperty", "Info", "dataset", ("schema:citation",), "schema:citation is not recommended", most=0),
-    Shape("metadataProfileProperty", "Violation", "record", ("dcterms:conformsTo",), "the record must follow the core and the discovery profile", 1, has=tuple(PROFILES)),
+    Shape(
+        "metadataProfileProperty", "Violation", "record", ("dcterms:conformsTo",),
+        "the record must follow the core and the discovery profile", 1, has=tuple(PROFILES),
+    ),
     Shape("metadataSubjectProperty", "Violation", "record", ("schema:about",), "the record must say what it is about", 1),
-    Shape("catalogRecordTypeProperty", "Violation", "record", ("schema:additionalType",), "the record must be marked as a catalogue record", 1, has=("dcat:CatalogRecord",)),
-    Shape("definedTermProperty", "Violation", "term", ("schema:identifier", "schema:name", "schema:termCode"), "a term needs an identifier, a code or a name of three letters", 1, may_be=("string", "schema:PropertyValue"), length=3, lenient=True),
+    Shape(
+        "catalogRecordTypeProperty", "Violation", "record", ("schema:additionalType",),
+        "the record must be marked as a catalogue record", 1, has=("dcat:CatalogRecord",),
+    ),
+    Shape(
+        "definedTermProperty", "Violation", "term", ("schema:identifier", "schema:name", "schema:termCode"),
+        "a term needs an identifier, a code or a name of three letters", 1, may_be=("string", "schema:PropertyValue"), length=3, lenient=True,
+    ),
     Shape("definedTermSet", "Info", "term", ("schema:inDefinedTermSet",), "a term's set should be an address or a string", may_be=_LINK),
     Shape("termCode", "Info", "term", ("schema:termCode",), "a term's code should be a string", may_be=_TEXT),
-    Shape("variableProperty", "Warning", "variable", ("schema:propertyID",), "a variable should name its property", 1, may_be=("string", "iri", "schema:DefinedTerm"), length=5),
+    Shape(
+        "variableProperty", "Warning", "variable", ("schema:propertyID",),
+        "a variable should name its property", 1, may_be=("string", "iri", "schema:DefinedTerm"), length=5,
+    ),
     Shape("nameRequiredProperty", "Violation", "variable", ("schema:name",), "a variable needs a name", 1, may_be=_TEXT),
     Shape("name3Property", "Warning", "variable", ("schema:name",), "a variable's name should have three letters", may_be=_TEXT, length=3),
-    Shape("variableDescription", "Info", "variable", ("schema:description",), "a variable should be described in ten letters or more", 1, may_be=_TEXT, length=10),
-    Shape("variableTechnique", "Info", "variable", ("schema:measurementTechnique",), "a technique should be a string, an address or a term", may_be=("string", "iri", "schema:DefinedTerm")),
+    Shape(
+        "variableDescription", "Info", "variable", ("schema:description",),
+        "a variable should be described in ten letters or more", 1, may_be=_TEXT, length=10,
+    ),
+    Shape(
+        "variableTechnique", "Info", "variable", ("schema:measurementTechnique",),
+        "a technique should be a string, an address or a term", may_be=("string", "iri", "schema:DefinedTerm"),
+    ),
     Shape("variableUnitText", "Info", "variable", ("schema:unitText",), "a unit's text should be a string", may_be=_TEXT),
-    Shape("variableUnitCode", "Info", "variable", ("schema:unitCode",), "a unit's code should be a string, an address or a term", may_be=("string", "iri", "schema:DefinedTerm")),
+    Shape(
+        "variableUnitCode", "Info", "variable", ("schema:unitCode",),
+        "a unit's code should be a string, an address or a term", may_be=("string", "iri", "schema:DefinedTerm"),
+    ),
     Shape("variableMinimum", "Info", "variable", ("schema:minValue",), "the least value should be a number", may_be=("number",)),
     Shape("variableMaximum", "Info", "variable", ("schema:maxValue",), "the greatest value should be a number", may_be=("number",)),
-    Shape("downloadProvider", "Violation", "schema:DataDownload", ("schema:provider",), "a download's provider must be a person or an organisation", may_be=("schema:Person", "schema:Organization")),
-    Shape("downloadChecksum", "Violation", "schema:DataDownload", ("spdx:checksum",), "a checksum must be an spdx:Checksum", may_be=("spdx:Checksum",)),
-    Shape("checksumValue", "Violation", "spdx:checksum>spdx:Checksum", ("spdx:checksumValue",), "a checksum needs its value", 1, may_be=_TEXT),
-    Shape("spatialExtentProperty", "Violation", "schema:Place", ("schema:geo", "schema:name", "schema:identifier"), "a place needs a geometry, a name or an identifier", 1),
-    Shape("geoLatitude", "Violation", "schema:GeoCoordinates", ("schema:latitude",), "coordinates need a latitude, as a number", 1, may_be=("number",)),
-    Shape("geoLongitude", "Violation", "schema:GeoCoordinates", ("schema:longitude",), "coordinates need a longitude, as a number", 1, may_be=("number",)),
-    Shape("geoShapeNode", "Violation", "schema:GeoShape", ("schema:line", "schema:box"), "a shape needs a line or a box, as a string", 1, may_be=_TEXT),
+    Shape(
+        "downloadProvider", "Violation", "schema:DataDownload", ("schema:provider",),
+        "a download's provider must be a person or an organisation", may_be=("schema:Person", "schema:Organization"),
+    ),
+    Shape(
+        "downloadChecksum", "Violation", "schema:DataDownload", ("spdx:checksum",),
+        "a checksum must be an spdx:Checksum", may_be=("spdx:Checksum",),
+    ),
+    Shape(
+        "checksumValue", "Violation", "spdx:checksum>spdx:Checksum", ("spdx:checksumValue",),
+        "a checksum needs its value", 1, may_be=_TEXT,
+    ),
+    Shape(
+        "spatialExtentProperty", "Violation", "schema:Place", ("schema:geo", "schema:name", "schema:identifier"),
+        "a place needs a geometry, a name or an identifier", 1,
+    ),
+    Shape(
+        "geoLatitude", "Violation", "schema:GeoCoordinates", ("schema:latitude",),
+        "coordinates need a latitude, as a number", 1, may_be=("number",),
+    ),
+    Shape(
+        "geoLongitude", "Violation", "schema:GeoCoordinates", ("schema:longitude",),
+        "coordinates need a longitude, as a number", 1, may_be=("number",),
+    ),
+    Shape(
+        "geoShapeNode", "Violation", "schema:GeoShape", ("schema:line", "schema:box"),
+        "a shape needs a line or a box, as a string", 1, may_be=_TEXT,
+    ),
     *(Shape(f"datasetNamespace{i}", "Violation", wrong, ("@type",), "the class is not in the namespace http://schema.org/", most=0) for i, wrong in enumerate(("http://schema.orgDataset/", "https://schema.org/Dataset", "https://schema.orgDataset/"), 1)),
 )
 
