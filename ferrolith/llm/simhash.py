@@ -132,6 +132,22 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
+def pairs_across(grouped: DataFrame, groups: int) -> DataFrame:
+    """Links (x, xc, fp, comp) between fingerprints of different components (fp, comp) that share a cell.
+
+    Both joins are merge joins at every size: Spark takes the rows of ``cells`` for as few as those they are made of, and would send
+    them, dozens of times as many, through the driver.
+    """
+    placed = cells(grouped, groups)
+    # cells that hold several components, and the most frequent of those
+    sizes = placed.groupBy("grid", "cell", "comp").agg(F.count("fp").alias("n"))
+    mixed = sizes.groupBy("grid", "cell").agg(F.max_by("comp", "n").alias("main"), F.count("comp").alias("comps")).where(F.col("comps") > 1).select("grid", "cell", "main")
+    inside = placed.join(mixed.hint("merge"), ["grid", "cell"])
+    few = inside.where(F.col("comp") != F.col("main")).select("grid", "cell", F.col("fp").alias("x"), F.col("comp").alias("xc"))
+    met = few.join(inside.select("grid", "cell", "fp", "comp").hint("merge"), ["grid", "cell"])
+    return met.where((F.col("xc") != F.col("comp")) & _linked(F.col("x"), F.col("fp")))
+
+
 def link_components(distinct: DataFrame, groups: int | None = None) -> DataFrame:
     """``distinct`` fingerprints (fp): those in components of two or more, with the component's smallest (node, root)."""
     groups = groups or best_groups(distinct.count())
@@ -139,13 +155,7 @@ def link_components(distinct: DataFrame, groups: int | None = None) -> DataFrame
     sorted_cells = placed.repartitionByRange("grid", "cell", "fp").sortWithinPartitions("grid", "cell", "fp")
     first = connected_components(sorted_cells.mapInArrow(_neighbours, "a bigint, b bigint"))
     grouped = materialize(distinct.join(first, distinct["fp"] == first["node"], "left").select("fp", F.coalesce("root", "fp").alias("comp")), "fp-components")
-    placed = cells(grouped, groups)
-    # cells that hold several components, and the most frequent of those
-    sizes = placed.groupBy("grid", "cell", "comp").agg(F.count("fp").alias("n"))
-    mixed = sizes.groupBy("grid", "cell").agg(F.max_by("comp", "n").alias("main"), F.count("comp").alias("comps")).where(F.col("comps") > 1).select("grid", "cell", "main")
-    inside = placed.join(mixed, ["grid", "cell"])
-    few = inside.where(F.col("comp") != F.col("main")).select("grid", "cell", F.col("fp").alias("x"), F.col("comp").alias("xc"))
-    pairs = few.join(inside.select("grid", "cell", "fp", "comp"), ["grid", "cell"]).where((F.col("xc") != F.col("comp")) & _linked(F.col("x"), F.col("fp")))
+    pairs = pairs_across(grouped, groups)
     across = connected_components(pairs.select(F.col("xc").alias("a"), F.col("comp").alias("b")))
     roots = grouped.join(across, grouped["comp"] == across["node"], "left").select(F.col("fp").alias("node"), F.coalesce("root", "comp").alias("root"))
     return roots

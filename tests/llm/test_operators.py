@@ -91,6 +91,14 @@ def test_simhash_against_brute_force(spark, clashing):
     assert simhash.near_duplicates(rows.limit(0)).count() == 0
 
 
+def test_simhash_cells_are_never_broadcast(spark):
+    grouped = spark.range(2_000).select(F.xxhash64("id").alias("fp")).withColumn("comp", F.col("fp"))
+    pairs = simhash.pairs_across(grouped, simhash.GROUPS)
+    assert "BroadcastExchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.count() == 0  # and not after the sizes are known
+    assert "BroadcastExchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_keep_one_keeps_each_group_of_a_shared_id(spark, docs):
     kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
     assert sorted(t for i, t in kept if i == 4) == ["another text under the same id", "one two three four five"]
