@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,14 +55,23 @@ def stratified_draw(rows: DataFrame, stratum: str, key: Column, seats: DataFrame
     return kept.withColumns({"pilot": F.col("place") <= F.least(F.lit(pilot), "seats"), "reserve": F.col("place") > F.col("seats")})
 
 
-def collision_names(rows: DataFrame, name: str, month: str, key: str) -> DataFrame:
-    """A file name of its own for each row: the name where it is unique, else with the month, else with a letter as well, with two where letters run out, and
-    with a number after those."""
+def lettered(place: Column) -> Column:
+    """A letter for each of the first 26 places, two letters for those up to 702, and the number after those."""
+    two = F.concat(F.chr(96 + F.floor((place - 1) / 26)), F.chr(97 + (place - 1) % 26))
+    return F.when(place <= 26, F.chr(96 + place)).when(place <= 702, two).otherwise(place.cast("string"))
+
+
+def next_character(place: Column) -> Column:
+    """The character ``place`` after the one before ``a``, of whatever kind, as the reference counts; the number where characters of two bytes' codes run out."""
+    code = F.decode(F.unhex(F.lpad(F.hex(96 + place), 4, "0")), "UTF-16BE")
+    return F.when(place < 0xD800 - 96, code).otherwise(place.cast("string"))
+
+
+def collision_names(rows: DataFrame, name: str, month: str, key: str, suffix: Callable[[Column], Column] = lettered) -> DataFrame:
+    """A file name of its own for each row: the name where it is unique, else with the month, else with the ``suffix`` of its place as well."""
     alone, in_month = F.count(F.lit(1)).over(Window.partitionBy(name)), F.count(F.lit(1)).over(Window.partitionBy(name, month))
     place = F.row_number().over(Window.partitionBy(name, month).orderBy(key))
-    two = F.concat(F.chr(96 + F.floor((place - 1) / 26)), F.chr(97 + (place - 1) % 26))
-    letters = F.when(place <= 26, F.chr(96 + place)).when(place <= 702, two).otherwise(place.cast("string"))
-    final = F.when(alone == 1, F.col(name)).when(in_month == 1, F.concat_ws("_", name, month)).otherwise(F.concat(F.concat_ws("_", name, month), letters))
+    final = F.when(alone == 1, F.col(name)).when(in_month == 1, F.concat_ws("_", name, month)).otherwise(F.concat(F.concat_ws("_", name, month), suffix(place)))
     return rows.withColumn("final_name", final)
 
 

@@ -50,3 +50,11 @@ def test_entry_has_rows(spark):
 
     assert entry.entry(spark).count() > 0
     assert entry.oracle_sql().keys() <= entry.queries().keys()
+
+
+def test_collisions_beyond_the_alphabet_equal_sql(spark, duck, tmp_path):
+    duck.sql(f"copy (select i as s_suppkey, i % 3 as s_nationkey from range(90000) t(i)) to '{tmp_path}/supplier.parquet' (format parquet)")
+    found = QUERIES["win_08_collisions"](spark, str(tmp_path))
+    con = duck.cursor()
+    con.sql(f"create temp view supplier as select * from '{tmp_path}/supplier.parquet'")
+    assert _rows(found.columns, found.collect()) == _rows(found.columns, con.sql(ORACLE_SQL["win_08_collisions"]).project(", ".join(found.columns)).fetchall())
