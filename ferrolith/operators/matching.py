@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from ferrolith.functions.names import normalize_org
+from ferrolith.operators.storage import settle
 
 THRESHOLD, GAP, COUNTRY_PENALTY, WINDOW = 90.0, 5.0, 15.0, 10.0
 
@@ -183,11 +184,38 @@ def scored_candidates(names: DataFrame, entries: DataFrame, threshold: float = T
     return pairs.select("name_key", "entry_key", "score").join(entries.select("entry_id", "entry_key"), "entry_key").select("name_key", "entry_id", "score")
 
 
+def settled_by_equality(names: DataFrame, entries: DataFrame) -> DataFrame:
+    """(name, country, entry_id, score, status) of the ``names`` (name, country, name_key) that are entries' own names in a country that does not speak against them.
+
+    Such an entry has the full score, and the smallest of them is the best candidate. What is left to see is whether another one comes within
+    the gap: a second such entry, or one of another name likelier than 100 - ``GAP``. ``weighted_ratio`` gives at most 95 for anything but the
+    names as they stand, so that the latter differ by fewer than one in twenty of both names' characters: of names of up to 40 characters
+    in all one is the other without a character, which is looked up as such; longer names are ``candidates`` at that likeness.
+    """
+    same_country = lambda a, b: a.isNull() | b.isNull() | (F.upper(a) == F.upper(b))
+    known = entries.where((F.col("entry_key") != "") & F.col("entry_id").isNotNull()).groupBy("entry_key", F.upper("entry_country").alias("entry_country")).agg(F.min("entry_id").alias("id"), F.count("entry_id").alias("n"))
+    equal = names.join(known, (F.col("name_key") == F.col("entry_key")) & same_country(F.col("country"), F.col("entry_country")))
+    found = equal.groupBy("name", "country", "name_key").agg(F.min("id").alias("entry_id"), F.sum("n").alias("n"))
+    single = found.where(F.col("n") == 1).select("name_key", "country").distinct()
+    keys, others = single.select("name_key").distinct(), known.select("entry_key").distinct()
+    without = lambda df, c: df.where(F.length(c) <= 21).select(c, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(F.col(c), F.lit(1), i - 1), F.substring(F.col(c), i + 1, F.length(c)))))).alias("rest"))
+    short = keys.join(without(others, "entry_key"), F.col("name_key") == F.col("rest")).select("name_key", "entry_key")
+    short = short.unionByName(without(keys, "name_key").join(others, F.col("rest") == F.col("entry_key")).select("name_key", "entry_key"))
+    long = [df.where(F.length(c) > 19) for df, c in ((keys, "name_key"), (others, "entry_key"))]
+    long = candidates(long[0], long[1].select("entry_key", F.col("entry_key").alias("entry_id")), 100 - GAP).where(F.col("name_key") != F.col("entry_key")).select("name_key", "entry_key")
+    near = short.unionByName(long).distinct().where(100.0 - name_score("name_key", "entry_key") < GAP)
+    rivals = single.join(near, "name_key").join(known, "entry_key").where(same_country(F.col("country"), F.col("entry_country")))
+    rivals = rivals.select(F.col("name_key").alias("r_key"), F.col("country").alias("r_country")).distinct().withColumn("rival", F.lit(True))
+    whole = found.join(rivals, (F.col("name_key") == F.col("r_key")) & F.col("country").eqNullSafe(F.col("r_country")), "left")
+    return whole.select("name", "country", "entry_id", F.lit(100.0).alias("score"), F.when((F.col("n") > 1) | F.col("rival"), "review").otherwise("auto").alias("status"))
+
+
 def resolve_organisations(names: DataFrame, registry: DataFrame, overrides: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``names`` (name, country) to (name, country, entry_id, score, status, via).
 
     Overrides (name_key, country, entry_id; a null country is for all) come first, with and then without the country;
-    what is left is scored against ``registry`` (entry_id, name, country).
+    what is left is scored against ``registry`` (entry_id, name, country). Names that are an entry's own are settled by equality; only
+    the others are compared with all that are alike.
     """
     asked = names.select("name", "country").distinct().withColumn("name_key", normalize_org(F.col("name")))
     if overrides is None:
@@ -197,10 +225,13 @@ def resolve_organisations(names: DataFrame, registry: DataFrame, overrides: Data
         decided = tiers.where(F.col("entry_id").isNotNull()).select("name", "country", "entry_id", F.lit(100.0).alias("score"), F.lit("auto").alias("status"), F.lit("override").alias("via"))
         left = tiers.where(F.col("entry_id").isNull()).drop("entry_id")
     entries = registry.select("entry_id", F.col("country").alias("entry_country"), normalize_org(F.col("name")).alias("entry_key"))
-    scored = left.join(scored_candidates(left, entries, threshold), "name_key").join(entries.select("entry_id", "entry_country"), "entry_id")
+    equal = settle(settled_by_equality(left, entries))
+    open_names = left.join(equal.select(F.col("name").alias("e_name"), F.col("country").alias("e_country")), F.col("name").eqNullSafe(F.col("e_name")) & F.col("country").eqNullSafe(F.col("e_country")), "left_anti")
+    scored = open_names.join(scored_candidates(open_names, entries, threshold), "name_key").join(entries.select("entry_id", "entry_country"), "entry_id")
     keyed = scored.withColumn("query", F.struct("name", "country"))
     best = best_two_with_gap(keyed, "query", "entry_id", country="entry_country", hint="country", threshold=threshold)
-    found = best.select("name", "country", F.when(F.col("status") != "nomatch", F.col("entry_id")).alias("entry_id"), F.col("adjusted").alias("score"), "status", F.lit("registry").alias("via"))
+    found = best.select("name", "country", F.when(F.col("status") != "nomatch", F.col("entry_id")).alias("entry_id"), F.col("adjusted").alias("score"), "status")
+    found = found.unionByName(equal).withColumn("via", F.lit("registry"))
     whole = left.select("name", "country").join(found.withColumnsRenamed({"name": "f_name", "country": "f_country"}), F.col("name").eqNullSafe(F.col("f_name")) & F.col("country").eqNullSafe(F.col("f_country")), "left")
     whole = whole.select("name", "country", "entry_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("status", F.lit("nomatch")).alias("status"), F.coalesce("via", F.lit("registry")).alias("via"))
     return whole if decided is None else whole.unionByName(decided)

@@ -86,6 +86,25 @@ def test_resolution_with_overrides(spark):
     assert len(got) == 5
 
 
+def test_names_that_equal_an_entry_need_no_candidates(spark, monkeypatch):
+    names = ["acme data", "acme dat", "north lab", "nord lab", "observatory of the southern seas", "observatory of the southern sea", "zeta", "zeta", "supplier 000000001", "supplier 000000002", "plain name"]
+    registry = spark.createDataFrame([(i, n, "NO" if n == "nord lab" else None if i % 2 else "CL") for i, n in enumerate(names)], "entry_id int, name string, country string")
+    asked = spark.createDataFrame([(n.upper(), c) for n in names for c in ("CL", "NO", None)], "name string, country string")
+    naive = {}
+    entries = registry.collect()
+    for name, country in asked.distinct().collect():
+        adjusted = sorted((15.0 * (country is not None and e.country not in (None, country)) - matching.weighted_ratio(name.lower(), e.name), e.entry_id) for e in entries)
+        if adjusted[0][0] == -100:
+            naive[name, country] = (adjusted[0][1], "auto" if adjusted[1][0] - adjusted[0][0] >= 5 else "review")
+    assert {v[1] for v in naive.values()} == {"auto", "review"} and len(naive) < asked.distinct().count()
+    compared = []
+    whole = matching.scored_candidates
+    monkeypatch.setattr(matching, "scored_candidates", lambda names, *a: compared.append(names) or whole(names, *a))
+    got = {(r.name, r.country): (r.entry_id, r.status) for r in matching.resolve_organisations(asked, registry).where("score = 100").collect()}
+    assert got == naive
+    assert compared[0].count() == asked.distinct().count() - len(naive)
+
+
 def test_waves_report_cycles(spark):
     nodes = spark.createDataFrame([(x,) for x in "abcx"], "node string")
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("b", "c")], "node string, needs string")
