@@ -6,7 +6,8 @@ import re
 import unicodedata
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -57,10 +58,32 @@ def fold_marks(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, *_folds()), r"\p{Mn}+", "")
 
 
-@F.pandas_udf(StringType())
-def fold_accents(text: pd.Series) -> pd.Series:
-    """Compatibility decomposition without combining marks, for any script (an Arrow function; Spark has no normaliser)."""
-    return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)))
+#: Bytes of text, at least, that are Python's at once.
+FOLDED_AT_ONCE = 1 << 18
+
+
+def _folded(texts: pa.Array) -> pa.Array:
+    """``fold_accents`` of an Arrow column, some texts at a time: the rest of it, and of what has been made of it, stays Arrow's."""
+    parts, lo, held = [pa.array([], pa.string())], 0, 0
+    for hi, size in enumerate(pc.fill_null(pc.binary_length(texts), 0), 1):
+        held += size.as_py()
+        if held >= FOLDED_AT_ONCE or hi == len(texts):
+            some = texts.slice(lo, hi - lo).to_pylist()
+            parts.append(pa.array([None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)) for s in some], pa.string()))
+            lo, held = hi, 0
+    return pa.concat_arrays(parts)
+
+
+@F.arrow_udf(StringType())
+def _take_apart(text: pa.Array) -> pa.Array:
+    return _folded(text)
+
+
+def fold_accents(text: Column) -> Column:
+    """Compatibility decomposition without combining marks, for any script (an Arrow function; Spark has no normaliser). ASCII stays as it is, and
+    never goes to Python."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.coalesce(F.when(plain, text), _take_apart(F.when(~plain, text)))
 
 
 def expand_abbreviations(text: Column) -> Column:

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +87,16 @@ def test_resolution_with_overrides(spark):
     assert len(got) == 5
 
 
+def test_few_texts_are_python_s_at_once(monkeypatch):
+    texts = pa.array(["é" * 50_000, None, "ﬁn", "", *["Ångström " * 1_000] * 200])
+    wanted = ["e" * 50_000, None, "fin", "", *["Angstrom " * 1_000] * 200]
+    seen = []
+    plain = pa.array
+    monkeypatch.setattr(names.pa, "array", lambda values, *a: seen.append(sum(map(len, filter(None, values)))) or plain(values, *a))
+    assert names._folded(texts).to_pylist() == wanted
+    assert max(seen) <= names.FOLDED_AT_ONCE + 50_000 and names._folded(texts.slice(2, 2)).to_pylist() == ["fin", ""] and names._folded(texts.slice(0, 0)).to_pylist() == []
+
+
 def test_names_that_equal_an_entry_need_no_candidates(spark, monkeypatch):
     names = ["acme data", "acme dat", "north lab", "nord lab", "observatory of the southern seas", "observatory of the southern sea", "zeta", "zeta", "supplier 000000001", "supplier 000000002", "plain name"]
     registry = spark.createDataFrame([(i, n, "NO" if n == "nord lab" else None if i % 2 else "CL") for i, n in enumerate(names)], "entry_id int, name string, country string")
