@@ -41,7 +41,7 @@ _FILES_SQL = """select 'doc-' || doc_id || '.json' as name, case doc_id % 5 when
 @query("snk_01_files", f"select name, strlen(value) as length, md5(value) as digest from ({_FILES_SQL})")
 def snk_01_files(spark, sf_dir):
     """One file for each document, as Spark's own reader finds them."""
-    files = spark.read.format("binaryFile").load(_folder(spark, sf_dir))
+    files = resources.whole_files(spark, _folder(spark, sf_dir))
     return files.select(F.substring_index("path", "/", -1).alias("name"), "length", F.md5("content").alias("digest"))
 
 

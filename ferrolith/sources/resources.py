@@ -30,6 +30,16 @@ def parse_resources(files: DataFrame, text: str = "value", path: str = "path") -
     return ok.select(F.col(path).alias("path"), *[F.when(F.col("error").isNull(), get(k)).alias(k) for k in FIELDS], F.when(F.col("error").isNull(), F.col("v")).alias("extras"), "error")
 
 
+def in_few_tasks(files: DataFrame) -> DataFrame:
+    """Rows of whole small files, in as many tasks as a shuffle has at most: Spark counts 4 MB for opening a file, and would start a task for every 32."""
+    return files.coalesce(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def whole_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """Files of a folder or glob as Spark's own reader finds them: (path, modificationTime, length, content)."""
+    return in_few_tasks(spark.read.format("binaryFile").load(pattern))
+
+
 def read_resources(spark: SparkSession, pattern: str) -> DataFrame:
     """Files of a folder (``*.json`` there, not below), of a glob, or one file; nothing there: one row with an error.
 
@@ -43,7 +53,7 @@ def read_resources(spark: SparkSession, pattern: str) -> DataFrame:
             raise
         missing = spark.createDataFrame([("{}", pattern)], "value string, path string")
         return parse_resources(missing).withColumn("error", F.lit("not found"))
-    return parse_resources(files)
+    return parse_resources(in_few_tasks(files))
 
 
 def unwrap_attributes(v: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ferrolith.operators.caching import stored_data
 from ferrolith.sources.files import FolderReader, read_folder, register, write_folder
+from ferrolith.sources.resources import listed_objects, read_resources, whole_files
 from ferrolith.sources.sinks import write_document_files
 from ferrolith.streaming.caching import answered_once
 from ferrolith.streaming.pages import event_windows, read_pages
@@ -172,3 +173,11 @@ def test_stored_answers_of_both_shapes(spark):
     rows = [('{"data": {"a": 1}, "usage": {}}', '{"a":1}'), ('{"a": 1}', '{"a": 1}'), ('{"data": 1}', '{"data": 1}'), ("no json", "no json"), (None, None), ("[1]", "[1]")]
     found = spark.createDataFrame(rows, "payload string, want string").select(stored_data(F.col("payload")).alias("got"), "want").collect()
     assert [r.got for r in found] == [r.want for r in found]
+
+
+def test_many_small_files_are_read_in_few_tasks(spark, tmp_path):
+    for i in range(400):
+        (tmp_path / f"{i}.json").write_text(f'{{"title": "{i}"}}')
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for files in (whole_files(spark, str(tmp_path)), read_resources(spark, str(tmp_path))):
+        assert files.count() == 400 and files.rdd.getNumPartitions() <= most
