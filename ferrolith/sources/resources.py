@@ -188,7 +188,7 @@ def closed_errors(docs: DataFrame, key: str, json: str, declared: list[tuple[str
 
 def listed_objects(spark: SparkSession, pattern: str) -> DataFrame:
     """(path, length, content) of the objects below a prefix or glob; empty objects, which stand for folders, are left out."""
-    return spark.read.format("binaryFile").load(pattern).where(F.col("length") > 0).select("path", "length", "content")
+    return whole_files(spark, pattern).where(F.col("length") > 0).select("path", "length", "content")
 
 
 def needs_page(content: Column, url: Column) -> Column:

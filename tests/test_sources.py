@@ -179,5 +179,5 @@ def test_many_small_files_are_read_in_few_tasks(spark, tmp_path):
     for i in range(400):
         (tmp_path / f"{i}.json").write_text(f'{{"title": "{i}"}}')
     most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for files in (whole_files(spark, str(tmp_path)), read_resources(spark, str(tmp_path))):
+    for files in (listed_objects(spark, str(tmp_path)), whole_files(spark, str(tmp_path)), read_resources(spark, str(tmp_path))):
         assert files.count() == 400 and files.rdd.getNumPartitions() <= most
