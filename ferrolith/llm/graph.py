@@ -20,7 +20,7 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
     else:
         pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("mu"), F.least("u", "m").alias("m"))
-    hung = pairs.join(least, F.col("u") == F.col("mu"))
+    hung = pairs.join(least.hint("merge"), F.col("u") == F.col("mu"))  # both grow with the graph: never through the driver
     if large:
         out = hung.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:

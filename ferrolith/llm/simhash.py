@@ -15,6 +15,8 @@ Defined cases: texts that are null or hold no word have fingerprint zero, and ze
 fewer than four words is one shingle; rows that share a doc_id each give a row, and are linked through their
 fingerprints; a row with a null doc_id gets the smallest id in its component, null if there is none; an empty table gives no rows;
 other columns are ignored, whatever their names.
+
+Joins whose sides both grow with the documents are merge joins: a broadcast, even one within Spark's threshold, is built on the driver.
 """
 
 from __future__ import annotations
@@ -154,10 +156,10 @@ def link_components(distinct: DataFrame, groups: int | None = None) -> DataFrame
     placed = cells(distinct.select("fp"), GROUPS)
     sorted_cells = placed.repartitionByRange("grid", "cell", "fp").sortWithinPartitions("grid", "cell", "fp")
     first = connected_components(sorted_cells.mapInArrow(_neighbours, "a bigint, b bigint"))
-    grouped = materialize(distinct.join(first, distinct["fp"] == first["node"], "left").select("fp", F.coalesce("root", "fp").alias("comp")), "fp-components")
+    grouped = materialize(distinct.join(first.hint("merge"), distinct["fp"] == first["node"], "left").select("fp", F.coalesce("root", "fp").alias("comp")), "fp-components")
     pairs = pairs_across(grouped, groups)
     across = connected_components(pairs.select(F.col("xc").alias("a"), F.col("comp").alias("b")))
-    roots = grouped.join(across, grouped["comp"] == across["node"], "left").select(F.col("fp").alias("node"), F.coalesce("root", "comp").alias("root"))
+    roots = grouped.join(across.hint("merge"), grouped["comp"] == across["node"], "left").select(F.col("fp").alias("node"), F.coalesce("root", "comp").alias("root"))
     return roots
 
 
@@ -165,10 +167,10 @@ def near_duplicates(docs: DataFrame, groups: int | None = None) -> DataFrame:
     """doc_id, fp, root and component_id of every document; root names the component, component_id is its smallest doc_id."""
     marked = materialize(fingerprints(docs), "fingerprints")
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-distinct")
-    roots = distinct.join(link_components(distinct, groups), F.col("fp") == F.col("node")).select("fp", "root", "least")
+    roots = distinct.join(link_components(distinct, groups).hint("merge"), F.col("fp") == F.col("node")).select("fp", "root", "least")
     ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.select("fp", "root").join(ids, "root")
-    return marked.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+    named = roots.select("fp", "root").join(ids.hint("merge"), "root")
+    return marked.join(named.hint("merge"), "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, groups: int | None = None) -> DataFrame:
@@ -180,11 +182,12 @@ def keep_one(docs: DataFrame, groups: int | None = None) -> DataFrame:
     found = materialize(near_duplicates(docs, groups), "fp-found")
     ids = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component"))
     lone = ids.where((F.col("n") == 1) & (F.col("doc_id") == F.col("component"))).select(F.col("doc_id").alias(f"{TMP}id"))
-    one = docs.join(lone, F.col("doc_id") == F.col(f"{TMP}id"), "left_semi").select(*docs.columns)
+    one = docs.join(lone.hint("merge"), F.col("doc_id") == F.col(f"{TMP}id"), "left_semi").select(*docs.columns)
     # rows whose id does not tell them apart: their group is known by the fingerprint
     shared = ids.where(F.col("n") > 1).select(F.col("doc_id").alias(f"{TMP}id"))
     rows = docs.where(F.col("doc_id").isNull()).unionByName(docs.join(shared, F.col("doc_id") == F.col(f"{TMP}id"), "left_semi").select(*docs.columns))
     heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(f"{TMP}id"), F.col("fp").alias(f"{TMP}fp"), F.col("root").alias(f"{TMP}root")).distinct()
+    heads = heads.where(F.col(f"{TMP}id").isNull()).unionByName(heads.join(shared, f"{TMP}id", "left_semi"))  # those of the other rows are not asked for
     plain = rows.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("doc_row"), "text", F.col("doc_id").alias("own_id"))
     hashed = plain.mapInArrow(_append_fingerprint, StructType([*plain.schema.fields]).add(f"{TMP}own", "long"))
     met = hashed.join(heads, (F.col(f"{TMP}own") == F.col(f"{TMP}fp")) & F.col("own_id").eqNullSafe(F.col(f"{TMP}id")))

@@ -1,5 +1,6 @@
 """The operators of the training-data subpackage: awkward rows, brute force, round trips and held-out accuracy."""
 
+import re
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferrolith.llm import ann, embedding_dedup, language_id, line_dedup, lm_scoring, mixing, packing, quality, simhash, token_output
-from ferrolith.llm.graph import connected_components
+from ferrolith.llm.graph import _step, connected_components
 from ferrolith.llm.tokens import END_ID, default_tokenizer, encoder
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -99,6 +100,18 @@ def test_simhash_cells_are_never_broadcast(spark):
     assert "BroadcastExchange" not in pairs._jdf.queryExecution().executedPlan().toString()
 
 
+def test_near_duplicates_are_never_broadcast(spark):
+    """What grows with the documents stays off the driver, before and after sizes are known; Spark's own choice would be broadcasts here."""
+    rows = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.sha2(F.concat_ws("-", F.col("id"), F.lit(i)), 256) for i in range(9)]).alias("text"))
+    found = simhash.near_duplicates(rows)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan(found)
+    assert found.count() == 300 and "BroadcastExchange" not in plan(found)
+    step = _step(spark.createDataFrame([(2, 1), (3, 2)], "a bigint, b bigint"), large=True)
+    assert "BroadcastExchange" not in plan(step) and sorted(map(tuple, step.collect())) == [(2, 1), (3, 1)]
+    assert re.search(r"SortMergeJoin[^\n]*LeftSemi", plan(simhash.keep_one(rows)))
+
+
 def test_keep_one_keeps_each_group_of_a_shared_id(spark, docs):
     kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
     assert sorted(t for i, t in kept if i == 4) == ["another text under the same id", "one two three four five"]
