@@ -1,16 +1,20 @@
 """Secrets in whole texts: fixed formats, and what looks like them by inferred grammars.
 
 Three fixed patterns (``assign``, ``access``, ``hex``) find credentials whose kind they name. Those are the labelled credentials. For each
-kind the values are put into a prefix tree with counts; states are merged where Hoeffding bounds do not tell their
+kind the prefixes of its values are counted; prefixes are merged where Hoeffding bounds do not tell their
 futures apart, until a probabilistic automaton is left; long runs of credential characters outside of any match give the automaton
 of ordinary text. Every such run in every text is then scored: the logarithm of the best kind's likelihood over ordinary text's, for
 each symbol. A run over its kind's threshold is a span of kind ``like_assign``, ``like_access`` or ``like_hex``.
 
-Thresholds come from values that the automata were not fitted on: halfway between what ``MISSED`` of the kind's values stay below and
+All distinct values in all texts take part, whole and whatever their number: tasks count prefixes, then every step of every value through the
+merged automaton, then scores in narrow bins. The driver and the tasks that merge see only prefixes that enough values share, states and bins.
+
+Thresholds come from values that the automata were not fitted on, one in ``HELD_OUT``: halfway between what ``MISSED`` of the kind's values stay below and
 what ``FALSE`` of ordinary runs stay above, but neither under the latter nor under zero.
 
-Parameters: a kind's automaton is fitted on at most ``MOST`` distinct values (those of the lowest hashes, whatever the partitions) of at most
-``LONGEST`` characters; a kind with under ``LEAST`` values has none and adds nothing. Matching and scoring cover all texts whole.
+Parameters: a prefix has a state of its own only if ``FEWEST`` values and one in ``FINEST`` share it, over at most ``sum(WIDTHS)`` symbols, and if its future
+differs by over ``APART`` from those of all other states; so that automata stay small, whatever they are counted on. A kind with under ``LEAST`` values has
+none and adds nothing. Prefixes are told apart by 64-bit hashes.
 
 Positions are code points, ends exclusive. Letters of keywords match in either ASCII case.
 
@@ -21,7 +25,7 @@ table gives no rows; runs of any length are scored whole; other columns are not
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,10 +35,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ferrolith.llm.buffers import byte_class, runs, steps
-from ferrolith.llm.common import materialize
+from ferrolith.llm.common import TMP, materialize
 
 KINDS = ("assign", "access", "hex")
 OTHER = "other"
@@ -50,11 +53,18 @@ CREDENTIAL, ACCESS, HEX = byte_class(SYMBOLS), byte_class(SYMBOLS[:36]), byte_cl
 #: Runs of at least so many characters are scored.
 CANDIDATE = 16
 
-MOST, LONGEST, LEAST = 2_000, 256, 20
+#: Values that make a kind; values that share a prefix with a state of its own, at least and as a part of all.
+LEAST, FEWEST, FINEST = 20, 3, 1_024
+#: Symbols by which the counted prefixes grow, round by round.
+WIDTHS = (8, 16, 32, 64, 128)
 #: One value in so many is held out of the fit and sets the threshold.
 HELD_OUT = 4
 #: Error of the test that tells two states apart.
 ALPHA = 0.01
+#: Shares that differ by no more are alike, however many values they come from.
+APART = 0.05
+#: Scores are counted in bins of one in so many.
+BINS = 4_096
 MISSED, FALSE = 0.05, 0.001
 
 END = len(SYMBOLS)
@@ -70,8 +80,18 @@ class Automaton:
     logp: np.ndarray
 
 
-def _prefix_tree(values: list[bytes]) -> tuple[list[dict[int, list[int]]], list[int], list[int]]:
-    """Edges (symbol to [child, count]), visits and ends of each state."""
+@dataclass
+class Tree:
+    """Of each node: edges (symbol to [child, count]), visits and ends, and whether what follows it was counted."""
+
+    edges: list[dict[int, list[int]]]
+    visits: list[int]
+    ends: list[int]
+    known: list[bool]
+
+
+def prefix_tree(values: list[bytes]) -> Tree:
+    """The whole tree of some values."""
     edges, visits, ends = [{}], [0], [0]
     for value in values:
         at = 0
@@ -87,19 +107,24 @@ def _prefix_tree(values: list[bytes]) -> tuple[list[dict[int, list[int]]], list[
             at = edge[0]
             visits[at] += 1
         ends[at] += 1
-    return edges, visits, ends
+    return Tree(edges, visits, ends, [True] * len(edges))
 
 
-def infer(values: list[bytes], alpha: float = ALPHA) -> Automaton:
-    """The automaton of some values: prefix-tree states, most visited first, are merged with the first state that is compatible."""
-    edges, visits, ends = _prefix_tree(values)
+def merge(tree: Tree, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
+    """Targets and counts of the automaton: nodes, most visited first, are merged with the first state that is compatible.
+
+    A node with an unknown future goes where most that leave the same state go.
+    """
+    edges, visits, ends, known = tree.edges, tree.visits, tree.ends, tree.known
     reach = (0.5 * np.log(2 / alpha)) ** 0.5
 
     def compatible(one: int, two: int) -> bool:
         todo = [(one, two)]
         while todo:
             a, b = todo.pop()
-            bound = reach * (visits[a] ** -0.5 + visits[b] ** -0.5)
+            if not (known[a] and known[b]):
+                continue
+            bound = max(APART, reach * (visits[a] ** -0.5 + visits[b] ** -0.5))
             if bound >= 1:
                 continue  # too few visits to tell anything apart, here or below
             if abs(ends[a] / visits[a] - ends[b] / visits[b]) > bound:
@@ -112,10 +137,14 @@ def infer(values: list[bytes], alpha: float = ALPHA) -> Automaton:
                     todo.append((to_a[0], to_b[0]))
         return True
 
-    def fold(into: int, tree: int) -> None:
-        todo = [(into, tree)]
+    def fold(into: int, node: int) -> None:
+        todo = [(into, node)]
         while todo:
             a, b = todo.pop()
+            if not known[b]:
+                continue
+            if not known[a]:
+                known[a], visits[a], ends[a] = True, 0, 0
             visits[a] += visits[b]
             ends[a] += ends[b]
             for symbol, (child, count) in edges[b].items():
@@ -129,7 +158,7 @@ def infer(values: list[bytes], alpha: float = ALPHA) -> Automaton:
     kept = [0]
     while True:
         inside = set(kept)
-        fringe = [(visits[to], state, symbol) for state in kept for symbol, (to, _) in edges[state].items() if to not in inside]
+        fringe = [(visits[to], state, symbol) for state in kept for symbol, (to, _) in edges[state].items() if to not in inside and known[to]]
         if not fringe:
             break
         _, state, symbol = max(fringe, key=lambda f: (f[0], -f[1], -f[2]))
@@ -145,10 +174,47 @@ def infer(values: list[bytes], alpha: float = ALPHA) -> Automaton:
     count = np.zeros((len(kept), END + 1))
     for state, i in number.items():
         count[i, END] = ends[state]
+        went = np.zeros(len(kept))
+        for to, n in edges[state].values():
+            if to in number:
+                went[number[to]] += n
+        most = int(went.argmax()) if went.any() else i
         for symbol, (to, n) in edges[state].items():
-            target[i, symbol], count[i, symbol] = number[to], n
+            target[i, symbol], count[i, symbol] = number.get(to, most), n
+    return target.astype(np.int32), count
+
+
+def automaton_of(target: np.ndarray, count: np.ndarray) -> Automaton:
     share = (count + 1 / (END + 1)) / (count.sum(1, keepdims=True) + 1)
-    return Automaton(target.astype(np.int32), np.log(share))
+    return Automaton(target, np.log(share))
+
+
+def infer(values: list[bytes], alpha: float = ALPHA) -> Automaton:
+    """The automaton of a few values at hand, by their whole tree."""
+    return automaton_of(*merge(prefix_tree(values), alpha))
+
+
+def steps_taken(target: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How often the spans [start, end), with their end, leave each state by each symbol."""
+    size = ends - starts
+    order = np.argsort(-size, kind="stable")
+    at, size = starts[order], size[order]
+    state, width = np.zeros(len(at), np.int64), END + 1
+    total = np.zeros(len(target) * width, np.int64)
+    shared = int(size[min(len(size) - 1, 8)]) if len(size) else 0
+    for k in range(shared):
+        n = int(np.searchsorted(-size, -k, side="left"))
+        symbol = CODE[data[at[:n] + k]]
+        np.add.at(total, state[:n] * width + symbol, 1)
+        state[:n] = target[state[:n], symbol]
+    for i in np.flatnonzero(size > shared).tolist():
+        s, left = int(state[i]), CODE[data[at[i] + shared : at[i] + size[i]]]
+        for symbol in left.tolist():
+            total[s * width + symbol] += 1
+            s = int(target[s, symbol])
+        state[i] = s
+    np.add.at(total, state * width + END, 1)
+    return total.reshape(-1, width)
 
 
 def log_likelihood(automaton: Automaton, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -243,92 +309,225 @@ def candidates(data: np.ndarray, offsets: np.ndarray, base: Found) -> tuple[np.n
     return starts[free], ends[free]
 
 
-def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each kind, the task's ``MOST`` distinct values of the lowest hashes."""
-    least: dict[str, dict[bytes, int]] = {k: {} for k in (*KINDS, OTHER)}
-
-    def shrink(kind: str) -> None:
-        least[kind] = dict(sorted(least[kind].items(), key=lambda x: x[1])[:MOST])
-
-    def add(kind: str, value: bytes) -> None:
-        if len(value) <= LONGEST:
-            least[kind][value] = xxhash.xxh3_64_intdigest(value) >> 1
-            if len(least[kind]) >= 4 * MOST:
-                shrink(kind)
-
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every value of each kind, whole."""
     for batch in batches:
         texts = batch.column(0)
         for lo, hi, data, offsets in steps(texts):
             base = base_spans(texts.slice(lo, hi - lo), data, offsets)
-            for kind, start, end in zip(base.kind.tolist(), base.value.tolist(), base.end.tolist(), strict=True):
-                add(KINDS[kind], data[start:end].tobytes())
-            for start, end in zip(*map(np.ndarray.tolist, candidates(data, offsets, base)), strict=True):
-                add(OTHER, data[start:end].tobytes())
-    for kind in least:
-        shrink(kind)
-        if least[kind]:
-            yield pa.RecordBatch.from_pydict({"kind": [kind] * len(least[kind]), "value": list(least[kind]), "hash": list(least[kind].values())})
+            kinds = [KINDS[k] for k in base.kind.tolist()]
+            values = [data[a:b].tobytes() for a, b in zip(base.value.tolist(), base.end.tolist(), strict=True)]
+            values += [data[a:b].tobytes() for a, b in zip(*map(np.ndarray.tolist, candidates(data, offsets, base)), strict=True)]
+            kinds += [OTHER] * (len(values) - len(kinds))
+            hashes = [xxhash.xxh3_64_intdigest(v) >> 1 for v in values]
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.binary()), pa.array(hashes, pa.int64())], names=["kind", "value", "hash"])
 
 
 def labelled_values(docs: DataFrame) -> DataFrame:
-    """kind, value, hash: at most ``MOST`` distinct labelled values of each kind, and runs of ordinary text."""
-    found = docs.select("text").mapInArrow(_samples, "kind string, value binary, hash bigint").distinct()
-    lowest = Window.partitionBy("kind").orderBy("hash", "value")
-    return found.withColumn("n", F.row_number().over(lowest)).where(F.col("n") <= MOST).drop("n")
+    """kind, value, hash: all distinct labelled values of each kind, and runs of ordinary text."""
+    return docs.select("text").mapInArrow(_values, "kind string, value binary, hash bigint").distinct()
 
 
-def _fit(values: pd.DataFrame) -> pd.DataFrame:
-    """One kind's automaton, a row for each state."""
-    values = values.sort_values(["hash", "value"])
-    fitted = [v for v, h in zip(values["value"], values["hash"], strict=True) if h % HELD_OUT]
-    if len(values) < LEAST or not fitted:
-        return pd.DataFrame({n: pd.Series(dtype=object) for n in ("kind", "state", "target", "logp")})
-    automaton = infer(fitted)
-    n = len(automaton.target)
-    return pd.DataFrame({"kind": [values["kind"].iloc[0]] * n, "state": range(n), "target": list(automaton.target), "logp": list(automaton.logp)})
+def _by_kind(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each kind in a batch (kind, value, ...): its rows, the bytes of its values, and each value's span."""
+    for kind in pc.unique(batch.column(0)).to_pylist():
+        rows = batch.filter(pc.equal(batch.column(0), kind))
+        values = rows.column(1).to_pylist()
+        ends = np.cumsum([0, *map(len, values)])
+        yield kind, rows, np.frombuffer(b"".join(values), np.uint8), ends[:-1], ends[1:]
 
 
-def _joined(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all values, and each value's span."""
-    ends = np.cumsum([0, *map(len, values)])
-    return np.frombuffer(b"".join(values), np.uint8), ends[:-1], ends[1:]
+def _mixed(node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The hash of a prefix and one more symbol."""
+    h = (node ^ (symbol.astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
 
-def _ordinary(found: Grammars, values: list[bytes], held: dict[str, list[bytes]]) -> list[bytes]:
-    """The runs that are no credentials: those likelier than ordinary text under a kind, and as typical of it as its own values, go."""
-    keep = np.ones(len(values), bool)
-    for kind, own in held.items():
-        spans, mine = _joined(values), _joined(own)
-        rate = lambda s, k=kind: log_likelihood(found.kinds[k], *s) / (s[2] - s[1] + 1)
-        keep &= (found.ratios(kind, *spans) <= 0) | (rate(spans) < np.quantile(rate(mine), MISSED))
-    return [v for v, k in zip(values, keep.tolist(), strict=True) if k]
+NODES = "kind string, parent bigint, node bigint, symbol int, depth int, visits bigint"
+
+
+def _prefixes(values: DataFrame, front: dict[str, np.ndarray], depth: int, width: int) -> DataFrame:
+    """How many of the values go through each prefix of up to ``width`` symbols more than those of the ``front``, of ``depth`` symbols."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, _, data, starts, ends in _by_kind(batch):
+                if kind not in front:
+                    continue
+                at, left = starts[ends - starts > depth], ends[ends - starts > depth]
+                node = np.zeros(len(at), np.uint64)
+                for k in range(depth):
+                    node = _mixed(node, CODE[data[at + k]])
+                inside = np.isin(node, front[kind])
+                at, left, node = at[inside] + depth, left[inside], node[inside]
+                for k in range(depth + 1, depth + width + 1):
+                    symbol, parent = CODE[data[at]], node
+                    node = _mixed(node, symbol)
+                    found, first, n = np.unique(node, return_index=True, return_counts=True)
+                    columns = [pa.array([kind] * len(found), pa.string()), *(pa.array(x.view(np.int64)) for x in (parent[first], found)), pa.array(symbol[first].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(found), k, np.int32)), pa.array(n.astype(np.int64))], names=["kind", "parent", "node", "symbol", "depth", "visits"])
+                    at = at + 1
+                    more = at < left
+                    at, left, node = at[more], left[more], node[more]
+                    if not len(at):
+                        break
+
+    found = values.select("kind", "value").mapInArrow(run, NODES)
+    return found.groupBy("kind", "node").agg(*[F.min(c).alias(c) for c in ("parent", "symbol", "depth")], F.sum("visits").alias("visits")).select("kind", "parent", "node", "symbol", "depth", "visits")
+
+
+def shared_prefixes(values: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """The nodes that enough of all values go through, and their children, whatever these have: ``NODES``, total and known (a node with children)."""
+    least = F.create_map(*[F.lit(x) for kind, n in sizes.items() for x in (kind, max(FEWEST, -(-n // FINEST)))])[F.col("kind")]
+    total = F.create_map(*[F.lit(x) for kind, n in sizes.items() for x in (kind, n)])[F.col("kind")]
+    front, depth, parts = {kind: np.zeros(1, np.uint64) for kind in sizes}, 0, []
+    for width in WIDTHS:
+        nodes = materialize(_prefixes(values, front, depth, width), "secret-prefixes")
+        often = nodes.where(F.col("visits") >= least)
+        parents = often.select(F.col("kind").alias(f"{TMP}kind"), F.col("node").alias(f"{TMP}node"))
+        below = nodes.where(F.col("depth") > depth + 1).join(parents, (F.col("kind") == F.col(f"{TMP}kind")) & (F.col("parent") == F.col(f"{TMP}node")), "left_semi")
+        parts.append(nodes.where(F.col("depth") == depth + 1).unionByName(below))
+        depth += width
+        ahead: dict[str, list[int]] = {}
+        for row in often.where(F.col("depth") == depth).select("kind", "node").collect():  # at most FINEST of a kind
+            ahead.setdefault(row.kind, []).append(row.node)
+        front = {kind: np.sort(np.asarray(n, np.int64).view(np.uint64)) for kind, n in ahead.items()}
+        if not front:
+            break
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("*", total.cast("bigint").alias("total"), ((F.col("visits") >= least) & (F.col("depth") < depth)).alias("known"))
+
+
+def _merged(rows: pd.DataFrame) -> pd.DataFrame:
+    """One kind's targets, a row for each state."""
+    rows = rows.sort_values(["depth", "parent", "symbol"])
+    number = {0: 0} | {node: i for i, node in enumerate(rows["node"].tolist(), 1)}
+    tree = Tree([{} for _ in number], [int(rows["total"].iloc[0]), *rows["visits"].tolist()], [], [True, *rows["known"].tolist()])
+    for parent, node, symbol, visits in zip(rows["parent"].tolist(), rows["node"].tolist(), rows["symbol"].tolist(), rows["visits"].tolist(), strict=True):
+        tree.edges[number[parent]][symbol] = [number[node], visits]
+    tree.ends = [v - sum(n for _, n in e.values()) if k else 0 for v, e, k in zip(tree.visits, tree.edges, tree.known, strict=True)]
+    target, _ = merge(tree)
+    return pd.DataFrame({"kind": [rows["kind"].iloc[0]] * len(target), "state": range(len(target)), "target": list(target)})
+
+
+def _counted(values: DataFrame, targets: dict[str, np.ndarray]) -> DataFrame:
+    """kind, state, symbol, n: how often all the values leave each state by each symbol."""
+    shared = values.sparkSession.sparkContext.broadcast(targets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = {kind: np.zeros((len(target), END + 1), np.int64) for kind, target in shared.value.items()}
+        for batch in batches:
+            for kind, _, *spans in _by_kind(batch):
+                if kind in taken:
+                    taken[kind] += steps_taken(shared.value[kind], *spans)
+        for kind, n in taken.items():
+            state, symbol = np.nonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(state), pa.string()), pa.array(state.astype(np.int32)), pa.array(symbol.astype(np.int32)), pa.array(n[state, symbol])], names=["kind", "state", "symbol", "n"])
+
+    return values.select("kind", "value").mapInArrow(run, "kind string, state int, symbol int, n bigint").groupBy("kind", "state", "symbol").agg(F.sum("n").alias("n"))
+
+
+def fit(values: DataFrame, sizes: dict[str, int]) -> dict[str, Automaton]:
+    """The automaton of each kind in ``sizes`` (how many values it has): states from prefixes, probabilities from every step of every value."""
+    if not sizes:
+        return {}
+    own = values.where(F.col("kind").isin(*sizes))
+    states = shared_prefixes(own, sizes).groupBy("kind").applyInPandas(_merged, "kind string, state int, target array<int>")
+    tables: dict[str, list] = {}
+    for row in states.orderBy("kind", "state").collect():
+        tables.setdefault(row.kind, []).append(row.target)
+    targets = {kind: np.asarray(rows, np.int32) for kind, rows in tables.items()}
+    counts = {kind: np.zeros(t.shape) for kind, t in targets.items()}
+    for row in _counted(own, targets).collect():  # at most one for each state and symbol
+        counts[row.kind][row.state, row.symbol] = row.n
+    return {kind: automaton_of(targets[kind], counts[kind]) for kind in targets}
+
+
+def _binned(values: DataFrame, score: Callable[[str, np.ndarray, np.ndarray, np.ndarray], dict[tuple[str, str], np.ndarray]]) -> dict[tuple[str, str], tuple[np.ndarray, np.ndarray]]:
+    """The scores of all values by (of, kind): bins in order, and how many scores are in each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, _, *spans in _by_kind(batch):
+                for (of, by), scores in score(kind, *spans).items():
+                    at, n = np.unique(np.floor(scores * BINS).astype(np.int64), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([of] * len(at), pa.string()), pa.array([by] * len(at), pa.string()), pa.array(at), pa.array(n.astype(np.int64))], names=["of", "kind", "bin", "n"])
+
+    found = values.select("kind", "value").mapInArrow(run, "of string, kind string, bin bigint, n bigint").groupBy("of", "kind", "bin").agg(F.sum("n").alias("n"))
+    rows: dict[tuple[str, str], list[tuple[int, int]]] = {}
+    for row in found.collect():  # a score is at most some tens either way: bins are bounded
+        rows.setdefault((row.of, row.kind), []).append((row.bin, row.n))
+    return {key: tuple(np.asarray(sorted(x)).T) for key, x in rows.items()}
+
+
+def _quantile(bins: np.ndarray, n: np.ndarray, q: float) -> float:
+    """As numpy's, over the bins' lower ends."""
+    upto = np.cumsum(n)
+    place = q * (upto[-1] - 1)
+    low, high = (bins[np.searchsorted(upto, int(x), side="right")] / BINS for x in (np.floor(place), np.ceil(place)))
+    return float(low + (high - low) * (place - np.floor(place)))
+
+
+def _ordinary(found: Grammars, typical: dict[str, float], data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which runs are no credentials: those likelier than ordinary text under a kind, and as typical of it as its own values, go."""
+    keep = np.ones(len(starts), bool)
+    for kind, least in typical.items():
+        keep &= (found.ratios(kind, data, starts, ends) <= 0) | (log_likelihood(found.kinds[kind], data, starts, ends) / (ends - starts + 1) < least)
+    return keep
 
 
 def train(docs: DataFrame) -> Grammars:
-    """Automata and thresholds from all texts of ``docs``; the driver sees the sampled values and the automata, both bounded.
+    """Automata and thresholds from all values in all texts of ``docs``; the driver sees states, their counts and bins of scores.
 
-    The sample of ordinary runs holds the very credentials that no pattern matched, and is fitted again without them.
+    The ordinary runs hold the very credentials that no pattern matched, and are fitted again without them.
     """
     values = materialize(labelled_values(docs), "secret-values")
-    states = values.groupBy("kind").applyInPandas(_fit, "kind string, state int, target array<int>, logp array<double>")
-    tables: dict[str, list] = {}
-    for row in states.orderBy("kind", "state").collect():
-        tables.setdefault(row.kind, []).append(row)
-    fitted = {k: Automaton(np.asarray([r.target for r in rows], np.int32), np.asarray([r.logp for r in rows])) for k, rows in tables.items()}
-    sample: dict[str, dict[bool, list[bytes]]] = {k: {True: [], False: []} for k in (*KINDS, OTHER)}
-    for row in values.orderBy("kind", "hash", "value").collect():  # at most MOST short values of each kind
-        sample[row.kind][row.hash % HELD_OUT == 0].append(bytes(row.value))
+    apart = F.col("hash") % HELD_OUT == 0
+
+    def sizes_of(df: DataFrame) -> dict[str, tuple[int, int]]:
+        """By kind: values to fit, and all."""
+        return {r.kind: (r.fitted, r.n) for r in df.groupBy("kind").agg(F.count_if(~apart).alias("fitted"), F.count(F.lit(1)).alias("n")).collect()}
+
+    sizes = {kind: fitted for kind, (fitted, n) in sizes_of(values).items() if n >= LEAST and fitted}
+    if not any(k in sizes for k in KINDS):
+        return Grammars({}, None, {})
+    fitted = fit(values.where(~apart), sizes)
     found = Grammars({k: fitted[k] for k in KINDS if k in fitted}, fitted.get(OTHER), {})
-    held = {k: sample[k][True] for k in found.kinds if sample[k][True]}
-    if found.other and held:
-        rest = {part: _ordinary(found, sample[OTHER][part], held) for part in (True, False)}
-        if rest[False] and len(rest[False]) < len(sample[OTHER][False]):
-            found.other = infer(rest[False])
-        sample[OTHER] = rest
+    shared = values.sparkSession.sparkContext.broadcast(found)
+    held, ordinary = values.where(apart & (F.col("kind") != OTHER)), values.where(F.col("kind") == OTHER)
+
+    def rates(kind: str, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[tuple[str, str], np.ndarray]:
+        known = shared.value.kinds
+        return {("own", kind): log_likelihood(known[kind], data, starts, ends) / (ends - starts + 1)} if kind in known else {}
+
+    typical = {kind: _quantile(*x, MISSED) for (_, kind), x in sorted(_binned(held, rates).items())}
+    if found.other and typical:
+
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, rows, *spans in _by_kind(batch):
+                    yield rows.filter(pa.array(_ordinary(shared.value, typical, *spans)))
+
+        ordinary = materialize(ordinary.select("kind", "value", "hash").mapInArrow(clean, values.schema), "secret-ordinary")
+        rest = sizes_of(ordinary).get(OTHER, (0, 0))[0]
+        if 0 < rest < sizes[OTHER]:
+            found.other = fit(ordinary.where(~apart), {OTHER: rest})[OTHER]
+    last = values.sparkSession.sparkContext.broadcast(found)
+
+    def ratios(kind: str, *spans: np.ndarray) -> dict[tuple[str, str], np.ndarray]:
+        known = last.value
+        if kind == OTHER:
+            return {(OTHER, k): known.ratios(k, *spans) for k in known.kinds}
+        return {("own", kind): known.ratios(kind, *spans)} if kind in known.kinds else {}
+
+    scores = _binned(held.unionByName(ordinary.where(apart)), ratios)
     for kind in found.kinds:
-        own, others = (found.ratios(kind, *_joined(sample[k][True])) for k in (kind, OTHER))
-        above = float(np.quantile(others, 1 - FALSE)) if len(others) else 0.0
-        below = float(np.quantile(own, MISSED)) if len(own) else above
+        own, others = scores.get(("own", kind)), scores.get((OTHER, kind))
+        above = _quantile(*others, 1 - FALSE) if others else 0.0
+        below = _quantile(*own, MISSED) if own else above
         found.thresholds[kind] = max(0.0, above, (above + below) / 2)
     return found
 

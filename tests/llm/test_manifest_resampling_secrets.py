@@ -255,6 +255,43 @@ def test_grammars_find_what_patterns_miss(spark):
     assert not any(found[i] for i, _ in clean)
 
 
+def test_grammars_learn_from_all_values(spark):
+    """Thousands of values, and one that is long: probabilities and threshold are those of a plain count over all of them."""
+    rng = np.random.default_rng(5)
+    values = [f"0{i:04x}" + "".join(rng.choice(list("0123456789abcdef"), 12)) for i in range(3000)] + ["ab" * 200]
+    docs = spark.createDataFrame([(i, " ".join(values[i::30]) + " " + values[i]) for i in range(30)], "doc_id bigint, text string").repartition(3)
+    found = secrets.labelled_values(docs).collect()
+    assert sorted(bytes(r.value).decode() for r in found) == sorted(values) and {r.kind for r in found} == {"hex"}
+    grammars = secrets.train(docs)
+    automaton, count = grammars.kinds["hex"], np.zeros_like(grammars.kinds["hex"].logp)
+    for value in (bytes(r.value) for r in found if r.hash % secrets.HELD_OUT):
+        state = 0
+        for x in [*secrets.CODE[np.frombuffer(value, np.uint8)], secrets.END]:
+            count[state, x] += 1
+            state = automaton.target[state, x]
+    assert count.sum() > 35_000 and np.allclose(automaton.logp, secrets.automaton_of(automaton.target, count).logp)
+    held = [bytes(r.value) for r in found if r.hash % secrets.HELD_OUT == 0]
+    ends = np.cumsum([0, *map(len, held)])
+    own = grammars.ratios("hex", np.frombuffer(b"".join(held), np.uint8), ends[:-1], ends[1:])
+    assert grammars.thresholds["hex"] == pytest.approx(np.quantile(own, secrets.MISSED) / 2, abs=1 / secrets.BINS)
+
+
+def test_shared_prefixes_against_plain_counts(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "WIDTHS", (2, 3))
+    rng = np.random.default_rng(6)
+    values = sorted({"".join(rng.choice(list("ab"), int(n))) for n in rng.integers(1, 9, 300)})
+    frame = spark.createDataFrame([("hex", v.encode()) for v in values], "kind string, value binary").repartition(3)
+    plain = {}
+    for v in values:
+        for k in range(1, min(len(v), 5) + 1):
+            plain[v[:k]] = plain.get(v[:k], 0) + 1
+    plain = {p: n for p, n in plain.items() if len(p) == 1 or plain[p[:-1]] >= secrets.FEWEST}
+    found = secrets.shared_prefixes(frame, {"hex": len(values)}).collect()
+    wanted = [(len(p), secrets.SYMBOLS.index(p[-1]), n, n >= secrets.FEWEST and len(p) < 5) for p, n in plain.items()]
+    assert sorted((r.depth, r.symbol, r.visits, r.known) for r in found) == sorted(wanted)
+    assert len({r.node for r in found}) == len(found) and {r.parent for r in found} <= {0, *(r.node for r in found)}
+
+
 def test_merging_tells_states_apart():
     """(ab)*c: two states in turn, whatever the length; likelihoods of all strings up to a length add up to one or less."""
     rng = np.random.default_rng(4)
