@@ -14,7 +14,7 @@ from ferrolith.queries import query, table
 from ferrolith.queries.crosswalk import _flat
 from ferrolith.queries.documents import records
 from ferrolith.sources import registries
-from ferrolith.sources.files import read_folder, write_folder
+from ferrolith.sources.files import parts_for, read_folder, write_folder
 
 
 def _full(spark, sf_dir):
@@ -102,8 +102,8 @@ def src_19(spark, sf_dir):
     """A folder of truth files, some broken and some without an object, written and scanned."""
     k = F.col("doc_id")
     text = F.when(k % 9 == 0, '{"titles": [').when(k % 9 == 1, "[]").otherwise(F.expr(_TRUTH))
-    folder = new_folder(spark, "truth")
-    write_folder(table(spark, sf_dir, "documents").select(F.format_string("truth-%d.json", k).alias("name"), text.alias("value")), folder)
+    folder, documents = new_folder(spark, "truth"), table(spark, sf_dir, "documents")
+    write_folder(documents.select(F.format_string("truth-%d.json", k).alias("name"), text.alias("value")), folder, parts=parts_for(documents.count()))
     found = folder_problems(read_folder(spark, folder))
     return found.select(F.substring_index("path", "/", -1).alias("name"), "location", "problem")
 

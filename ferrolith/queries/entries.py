@@ -11,7 +11,7 @@ from ferrolith.operators.storage import new_folder
 from ferrolith.plans.records import records_of
 from ferrolith.plans.row_pipeline import with_pages
 from ferrolith.queries import query, table
-from ferrolith.sources.files import read_folder, write_folder
+from ferrolith.sources.files import parts_for, read_folder, write_folder
 from ferrolith.sources.resources import parse_resources
 
 
@@ -106,7 +106,7 @@ def orc_01(spark, sf_dir):
     address = F.when(k % 5 == 3, F.concat(F.lit("10.5555/p."), k)).when(k % 5 != 2, F.col("url"))
     text = F.when(k % 5 == 0, "{").otherwise(F.to_json(F.struct(address.alias("url"), F.when(k % 5 == 1, "given").alias("fetched_content"))))
     folder = new_folder(spark, "resources")
-    write_folder(pages.select(F.format_string("page-%d.json", k).alias("name"), text.alias("value")), folder)
+    write_folder(pages.select(F.format_string("page-%d.json", k).alias("name"), text.alias("value")), folder, parts=parts_for(pages.count()))
     rows = with_pages(parse_resources(read_folder(spark, folder)), pages.select("url", "html"))
     number = F.regexp_extract("path", r"page-([0-9]+)\.json$", 1).cast("bigint")
     own = pages.select(F.col("page_id").alias("o_id"), main_text_digest(F.col("html")).alias("o_digest"))

@@ -11,7 +11,7 @@ from ferrolith.queries import query, table
 from ferrolith.queries.documents import RECORD_SQL, TODAY, records
 from ferrolith.operators.storage import new_folder
 from ferrolith.sources import registries, resources
-from ferrolith.sources.files import read_folder, write_folder
+from ferrolith.sources.files import parts_for, read_folder, write_folder
 
 
 @query("src_01_resources", """select doc_id, case when doc_id % 5 > 1 then 'https://e.org/' || doc_id end as url, case when doc_id % 5 > 2 then source end as title, case when doc_id % 5 > 1 then text end as description,
@@ -25,12 +25,12 @@ def src_01(spark, sf_dir):
 
 
 def _folder(spark, sf_dir):
-    """A folder with a file for each document, every fifth of them broken and every fifth a list."""
-    k = F.col("doc_id")
+    """A folder with a file for each document, every fifth of them broken and every fifth a list; many documents are in parts of it."""
+    k, documents = F.col("doc_id"), table(spark, sf_dir, "documents")
     whole = F.to_json(F.struct(k.alias("id"), "source", "n_chars"))
     value = F.when(k % 5 == 0, F.concat(F.lit('{"id": '), k, F.lit(","))).when(k % 5 == 1, F.concat(F.lit("["), k, F.lit("]"))).otherwise(whole)
     folder = new_folder(spark, "documents")
-    write_folder(table(spark, sf_dir, "documents").select(F.format_string("doc-%d.json", k).alias("name"), value.alias("value")), folder)
+    write_folder(documents.select(F.format_string("doc-%d.json", k).alias("name"), value.alias("value")), folder, parts=parts_for(documents.count()))
     return folder
 
 
@@ -40,7 +40,7 @@ _FILES_SQL = """select 'doc-' || doc_id || '.json' as name, case doc_id % 5 when
 
 @query("snk_01_files", f"select name, strlen(value) as length, md5(value) as digest from ({_FILES_SQL})")
 def snk_01_files(spark, sf_dir):
-    """One file for each document, as Spark's own reader finds them."""
+    """One file for each document, found and read in tasks."""
     files = resources.whole_files(spark, _folder(spark, sf_dir))
     return files.select(F.substring_index("path", "/", -1).alias("name"), "length", F.md5("content").alias("digest"))
 
@@ -48,9 +48,8 @@ def snk_01_files(spark, sf_dir):
 @query("src_03_files", f"select name, strlen(value) as length, error, case when error is null then doc_id end as id from ({_FILES_SQL}) where name like 'doc-1%'")
 def src_03_files(spark, sf_dir):
     """Files of a folder, those whose names begin alike; the broken ones are rows, too."""
-    folder = _folder(spark, sf_dir)
-    files = read_folder(spark, folder).where(F.col("path").startswith(folder.removeprefix("file://") + "/doc-1") & (F.col("scheme") == "file"))
-    return files.select(F.substring_index("path", "/", -1).alias("name"), "length", "error", F.when(F.col("error").isNull(), F.get_json_object("value", "$.id").cast("bigint")).alias("id"))
+    files = read_folder(spark, _folder(spark, sf_dir)).where(F.col("name").startswith("doc-1") & (F.col("scheme") == "file"))
+    return files.select("name", "length", "error", F.when(F.col("error").isNull(), F.get_json_object("value", "$.id").cast("bigint")).alias("id"))
 
 
 @query("src_08_chosen", "select s_suppkey, 'org ' || s_nationkey as organization from supplier where s_suppkey % 3 = 1")

@@ -10,7 +10,7 @@ from ferrolith.plans.crosswalks import croissant, croissant_documents
 from ferrolith.queries import query, table
 from ferrolith.queries.documents import RECORD_SQL, records
 from ferrolith.sources import resources, sinks
-from ferrolith.sources.files import write_folder
+from ferrolith.sources.files import parts_for, write_folder
 
 
 @query("cr_01_json", f"""with {RECORD_SQL} select k as doc_id, 'http://mlcommons.org/croissant/' as context, case when has_file then 'cr:FileObject' end as file, has_file as digested,
@@ -62,9 +62,9 @@ def src_02(spark, sf_dir):
     """A folder's own JSON files, without those of other names and below."""
     k = F.col("page_id")
     pages = table(spark, sf_dir, "pages")
-    folder = new_folder(spark, "listing")
-    write_folder(pages.select(F.concat(F.lit("p-"), k, F.when(k % 4 == 0, ".txt").otherwise(".json")).alias("name"), F.when(k % 3 == 0, "{").otherwise("{}").alias("value")), folder)
-    write_folder(pages.select(F.concat(F.lit("q-"), k, F.lit(".json")).alias("name"), F.lit("{}").alias("value")), f"{folder}/below")
+    folder, parts = new_folder(spark, "listing"), parts_for(pages.count())
+    write_folder(pages.select(F.concat(F.lit("p-"), k, F.when(k % 4 == 0, ".txt").otherwise(".json")).alias("name"), F.when(k % 3 == 0, "{").otherwise("{}").alias("value")), folder, parts=parts)
+    write_folder(pages.select(F.concat(F.lit("q-"), k, F.lit(".json")).alias("name"), F.lit("{}").alias("value")), f"{folder}/below", parts=parts)
     return resources.read_resources(spark, folder).select(F.substring_index("path", "/", -1).alias("name"), "error")
 
 
@@ -72,8 +72,9 @@ def src_02(spark, sf_dir):
 def src_18(spark, sf_dir):
     """Objects below a prefix; empty ones, which stand for folders, are left out."""
     k = F.col("page_id")
+    pages = table(spark, sf_dir, "pages")
     folder = new_folder(spark, "objects")
-    write_folder(table(spark, sf_dir, "pages").select(F.concat(F.lit("o-"), k).alias("name"), F.when(k % 3 == 0, "").otherwise(F.col("url")).alias("value")), folder)
+    write_folder(pages.select(F.concat(F.lit("o-"), k).alias("name"), F.when(k % 3 == 0, "").otherwise(F.col("url")).alias("value")), folder, parts=parts_for(pages.count()))
     return resources.listed_objects(spark, folder).select(F.substring_index("path", "/", -1).alias("name"), "length", F.md5("content").alias("digest"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ferrolith.functions.values import strip
+from ferrolith.sources.stores import files_of, is_folder
 
 #: Rows that a task hands on at once.
 ROWS_AT_ONCE = 10_000
@@ -36,15 +37,23 @@ def in_few_tasks(files: DataFrame) -> DataFrame:
 
 
 def whole_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """Files of a folder or glob as Spark's own reader finds them: (path, modificationTime, length, content)."""
+    """Files of a folder or glob, without hidden and empty ones: (path, modificationTime, length, content).
+
+    A folder that pyarrow reaches is listed in tasks (``stores.files_of``). What Spark's own reader finds otherwise, by a glob or in another store, the
+    driver lists, and it has to hold about a kilobyte for each file.
+    """
+    if is_folder(spark, pattern):
+        return files_of(spark, pattern)
     return in_few_tasks(spark.read.format("binaryFile").load(pattern))
 
 
 def read_resources(spark: SparkSession, pattern: str) -> DataFrame:
     """Files of a folder (``*.json`` there, not below), of a glob, or one file; nothing there: one row with an error.
 
-    Rows come in no order; sort by ``path`` where order matters.
+    Rows come in no order; sort by ``path`` where order matters. Folders are listed as in ``whole_files``.
     """
+    if is_folder(spark, pattern):
+        return parse_resources(files_of(spark, pattern, ".json", as_uris=True).select(F.col("content").cast("string").alias("value"), "path"))
     options = {"pathGlobFilter": "*.json", "recursiveFileLookup": "false"}
     try:
         files = spark.read.options(**options).text(pattern, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))

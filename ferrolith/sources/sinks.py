@@ -25,11 +25,11 @@ def write_documents(documents: DataFrame, path: str, key: str) -> None:
     as_json(documents, key).select("json").write.mode("errorifexists").text(path)
 
 
-def write_document_files(documents: DataFrame, folder: str, key: str, name: str, month: str) -> None:
-    """One file of pretty JSON for each document, named by ``name``, and where documents share one also by ``month`` and a letter."""
+def write_document_files(documents: DataFrame, folder: str, key: str, name: str, month: str, parts: int = 0) -> None:
+    """One file of pretty JSON for each document, named by ``name``, and where documents share one also by ``month`` and a letter; many belong in ``parts``."""
     named = collision_names(documents.select(key, name, month), name, month, key).select(F.col(key).alias("n_key"), F.concat("final_name", F.lit(".json")).alias("name"))
     texts = as_json(documents.drop(name, month), key, pretty=True)
-    write_folder(texts.join(named, F.col(key).eqNullSafe(F.col("n_key"))).select("name", F.col("json").alias("value")), folder)
+    write_folder(texts.join(named, F.col(key).eqNullSafe(F.col("n_key"))).select("name", F.col("json").alias("value")), folder, parts=parts)
 
 
 def markdown_table(rows: DataFrame, most: int = 200) -> str:

@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ferrolith.operators.caching import stored_data
-from ferrolith.sources.files import FolderReader, read_folder, register, write_folder
+from ferrolith.sources.files import FolderReader, FolderStream, read_folder, register, write_folder
 from ferrolith.sources.resources import listed_objects, read_resources, whole_files
 from ferrolith.sources.sinks import write_document_files
 from ferrolith.streaming.caching import answered_once
@@ -181,3 +181,46 @@ def test_many_small_files_are_read_in_few_tasks(spark, tmp_path):
     most = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for files in (listed_objects(spark, str(tmp_path)), whole_files(spark, str(tmp_path)), read_resources(spark, str(tmp_path))):
         assert files.count() == 400 and files.rdd.getNumPartitions() <= most
+
+
+@pytest.mark.parametrize("parts", [0, 7])
+def test_tasks_list_what_a_folder_holds(spark, tmp_path, parts):
+    docs = spark.range(0, 60, 1, 3).select(F.format_string("n%d.json", "id").alias("name"), F.concat(F.lit('{"title":"'), "id", F.lit('"}')).alias("value"))
+    folder = str(tmp_path / "o%20 t")
+    write_folder(docs, folder, parts=parts)
+    (tmp_path / "o%20 t" / "below").mkdir()
+    (tmp_path / "o%20 t" / "below" / "n60.json").write_text("{}")
+    for files in (whole_files(spark, folder), listed_objects(spark, f"file://{folder}"), read_resources(spark, folder)):
+        assert files.inputFiles() == []  # the driver knows of none
+        assert {os.path.basename(r.path) for r in files.select("path").collect()} == {f"n{i}.json" for i in range(60)}
+    assert {r.title for r in read_resources(spark, folder).collect()} == {str(i) for i in range(60)}
+    rows = read_folder(spark, folder)
+    assert {r.name for r in rows.where("error is null").collect()} == {f"n{i}.json" for i in range(60)}
+    assert {r.name for r in rows.where("name like 'n1%' and scheme = 'file'").collect()} == {"n1.json", *(f"n1{i}.json" for i in range(10))}
+    assert sum(len(p.paths) for p in FolderReader(folder, ".json").partitions()) == (0 if parts else 60)
+    assert sum(len(p.paths) for p in FolderStream(folder, ".json").partitions({"time": -1, "path": ""}, FolderStream(folder, ".json").latestOffset())) == 60
+
+
+@pytest.mark.parametrize("wrong", ["raise_error('broken')", "'n1.json'"])
+def test_nothing_is_left_of_a_failed_write_in_parts(spark, tmp_path, wrong):
+    docs = spark.range(0, 40, 1, 4).select(F.expr(f"case when id = 33 then {wrong} else concat('n', id, '.json') end").cast("string").alias("name"), F.lit("{}").alias("value"))
+    with pytest.raises(PySparkException):
+        write_folder(docs, str(tmp_path / "out"), parts=5)
+    assert os.listdir(tmp_path) == []
+
+
+def test_whole_files_are_as_in_spark(spark, tmp_path):
+    for name, data in {"a.json": b"{}", "b c%20é+[1]{x}#?;.json": b"\xff", "_h.json": b"{}", "_h=1.json": b"{}", ".h.json": b"{}", "e.json": b"", "g.json.gz": b"x", "k.json._COPYING_": b"{}"}.items():
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "below.json").mkdir()
+    key = lambda files: sorted(map(tuple, files.collect()))
+    found = key(whole_files(spark, str(tmp_path)))
+    assert len(found) == 4 and found == key(spark.read.format("binaryFile").load(str(tmp_path)))
+    assert {r.path for r in read_resources(spark, str(tmp_path)).collect()} == {r.path for r in read_resources(spark, f"{tmp_path}/*.json").collect()}
+
+
+def test_whole_files_in_parts_are_as_in_spark(spark, tmp_path):
+    docs = spark.range(0, 40).select(F.format_string("n%d.json", "id").alias("name"), F.col("id").cast("string").alias("value"))
+    write_folder(docs, str(tmp_path / "out"), parts=3)
+    own = spark.read.format("binaryFile").load(str(tmp_path / "out")).drop("part")
+    assert sorted(map(tuple, whole_files(spark, str(tmp_path / "out")).collect())) == sorted(map(tuple, own.collect()))
