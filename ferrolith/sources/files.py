@@ -9,7 +9,7 @@ The folder's own files are listed on the driver, those of its parts (sub-folders
 Writing: rows (name, value) become files of those names. Tasks write beside the folder, and the folder appears by one rename when all
 of them are done; a task that runs again writes the same files again, and after a failure nothing is left. The folder must not exist, unless
 it is overwritten; two documents of one name are an error. Many files belong in parts of the folder, dealt out by their names: the driver then holds the
-parts' names alone, and no folder has more files than a store likes.
+parts' names alone, and when it commits counts files one after the other.
 
 Any store that pyarrow's file systems reach can hold the folder.
 """
